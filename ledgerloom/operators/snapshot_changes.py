@@ -7,8 +7,6 @@ digests are equal in two consecutive snapshots are discarded; only rows of the o
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
