@@ -48,12 +48,9 @@ def listing_fields() -> list[Field]:
 def _candidates(listings: DataFrame, fields: list[Field], group: str, key: str, source: str, seen: str) -> DataFrame:
     offered = F.array(*(F.struct(F.lit(f.name).alias("field_name"), F.when(f.usable, f.value.cast("string")).alias("value")) for f in fields))
     long = listings.select(
-        F.col(group).alias("_group"), F.col(key).alias("_key"), F.col(source).alias("_source"), F.col(seen).alias("_seen"),
-        F.explode(offered).alias("_f"),
-    )
-    return long.where("_group is not null and _key is not null and _f.value is not null").select(
-        "_group", "_key", "_source", "_seen", F.col("_f.field_name").alias("field_name"), F.col("_f.value").alias("value")
-    )
+        F.col(group).alias("_group"), F.col(key).alias("_key"), F.col(source).alias("_source"), F.col(seen).alias("_seen"), offered.alias("_offered")
+    ).select("_group", "_key", "_source", "_seen", F.inline_outer("_offered"))
+    return long.where("_group is not null and _key is not null and value is not null")
 
 
 def surviving_fields(listings: DataFrame, authority: DataFrame, fields: list[Field] | None = None, *, group: str = "model_ref", key: str = "listing_id", source: str = "source_id", seen: str = "observed_at") -> DataFrame:
