@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..common import table
 from .canonical import matched
+from .mixing import mix_documents
+from .packing import fill_report, pack_documents
 from .survivors import surviving_fields, surviving_records
 
 
@@ -22,7 +24,23 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return matched(table(spark, sf, "model_listing"), table(spark, sf, "author"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_survivors, p5_found)}
+def p7_pack(spark: SparkSession, sf: str) -> DataFrame:
+    return pack_documents(table(spark, sf, "documents"), table(spark, sf, "pack_limit"))
+
+
+def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
+    return fill_report(p7_pack(spark, sf), table(spark, sf, "pack_limit"))
+
+
+def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mix_documents(table(spark, sf, "documents"), table(spark, sf, "mix_target"))[0]
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mix_documents(table(spark, sf, "documents"), table(spark, sf, "mix_target"))[1]
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_survivors, p5_found, p7_pack, p7_fill, p8_mix, p8_shares)}
 
 _USABLE = """
 rows as (select distinct listing_id, model_ref, source_id, observed_at, max_input_tokens, openrouter from model_listing),
