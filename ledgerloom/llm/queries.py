@@ -8,6 +8,7 @@ from ..common import table
 from .canonical import matched
 from .mixing import mix_documents
 from .packing import fill_report, pack_documents
+from .residue import residue, validation
 from .survivors import surviving_fields, surviving_records
 
 
@@ -40,7 +41,15 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mix_documents(table(spark, sf, "documents"), table(spark, sf, "mix_target"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_survivors, p5_found, p7_pack, p7_fill, p8_mix, p8_shares)}
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return residue(table(spark, sf, "documents"))
+
+
+def p9_validation(spark: SparkSession, sf: str) -> DataFrame:
+    return validation(table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_survivors, p5_found, p7_pack, p7_fill, p8_mix, p8_shares, p9_found, p9_validation)}
 
 _USABLE = """
 rows as (select distinct listing_id, model_ref, source_id, observed_at, max_input_tokens, openrouter from model_listing),
