@@ -101,6 +101,8 @@ def infer(payloads: DataFrame, column: str, *, most_members: int = 1000) -> Node
     root = Node()
     for path, shape in payloads.select(column).mapInArrow(seen, "path string, shape string").distinct().collect():
         root.at(json.loads(path)).shapes.add(shape)
+    if root.members:  # a record that is no object has no members to add to the root's
+        root.element = None
     _merge(root, most_members)
     return root
 
@@ -303,5 +305,6 @@ def endpoint_members(payloads: DataFrame, *, schema: Node | None = None) -> Data
     rows = found[0]
     for more in found[1:]:
         rows = rows.unionAll(more)
-    key = F.col("parent_key").cast("bigint").alias("payload_id")
+    # The root's key is the start of any key below it, however deep the member was delivered.
+    key = F.substring_index("parent_key", "/", 1).try_cast("bigint").alias("payload_id")
     return rows.where("found_value is not null").select(key, "field_name", "item_pos", "found_value").distinct()
