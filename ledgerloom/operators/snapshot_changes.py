@@ -14,6 +14,10 @@ from ..common import slices_for
 from ..functions.days import calendar_day
 
 
+#: A list of snapshots, five numbers each, is broadcast up to this many.
+PLAN_ROWS = 500_000
+
+
 def snapshot_changes(
     rows: DataFrame,
     snapshots: DataFrame,
@@ -63,6 +67,9 @@ def snapshot_changes(
     plan = listed.join(sizes, ["_feed", "_no"]).select(
         "_feed", "_no", "_before", "_after", slices_for(F.col("_rows"), slice_rows).alias("_slices")
     )
+    # The plan has at most as many rows as `listed`; where that is proven small, the records needn't move to meet it.
+    if listed.limit(PLAN_ROWS + 1).count() <= PLAN_ROWS:
+        plan = F.broadcast(plan)
     # One exchange by (feed, number, slice) serves the choice of the row that holds, the sort and the digests.
     held = (
         base.join(plan, ["_feed", "_no"])
