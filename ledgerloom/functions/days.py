@@ -20,7 +20,7 @@ def month_number(name: Column) -> Column:
 
 
 def _day(year: Column, month: Column, day: Column) -> Column:
-    text = F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
+    text = F.concat(year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0"))
     return text.try_cast("date")
 
 

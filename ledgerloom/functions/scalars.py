@@ -61,7 +61,7 @@ def optional_double(value: Column) -> Column:
 
 def cleaned_tags(tags: Column) -> Column:
     """Trimmed tags without the empty ones."""
-    return F.filter(F.transform(tags, F.trim), lambda x: x != "")
+    return F.filter(F.transform(tags, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def known_values(values: Column, allowed: Sequence[str]) -> Column:

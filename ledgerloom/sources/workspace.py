@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PROVIDER = T.StructType.fromDDL("id string, aliases array<string>, name string, description string, docs_url string, headquarters string, icon_url string, status_page_url string")
-AUTHOR = T.StructType.fromDDL("id string, aliases array<string>, name string, description string, headquarters string, icon_url string, website string, huggingface string, github string, twitter string")
-MODEL = T.StructType.fromDDL(
+PROVIDER = "id string, aliases array<string>, name string, description string, docs_url string, headquarters string, icon_url string, status_page_url string"
+AUTHOR = "id string, aliases array<string>, name string, description string, headquarters string, icon_url string, website string, huggingface string, github string, twitter string"
+MODEL = (
     "id string, model string, name string, description string, status string, authors array<struct<id:string,name:string>>, "
     "metadata struct<release_date:string,knowledge_cutoff:string,open_weights:boolean,tags:array<string>>, lineage struct<family:string,root:string,parent:string>, "
     "features struct<modalities:struct<input:array<string>,output:array<string>>,tool_calls:boolean,tools:boolean,reasoning:boolean,streaming:boolean,temperature:boolean>, "
@@ -70,8 +70,9 @@ def read_yaml(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(parse, "path string, place int, record string, problem string")
 
 
-def typed(records: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+def typed(records: DataFrame, ddl: str) -> tuple[DataFrame, DataFrame]:
     """(typed records with their path, rejected (path, problem)): a record outside the schema or without an id is rejected."""
+    schema = T.StructType.fromDDL(ddl)
     wire = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
     row = F.from_json("record", wire, {"columnNameOfCorruptRecord": "_corrupt"})
     tried = records.withColumn("_row", row)
