@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +48,29 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with too few partitions to keep the cores busy, dealt out to as many as there are cores.
+
+    For inputs of work that is heavy for each row. A large table has partitions enough and isn't moved.
+    """
+    if not hasattr(df, "_jdf"):  # a remote session doesn't tell
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below ``spark.checkpoint.dir``, or of this machine where that is unset."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        return tempfile.mkdtemp(prefix="ledgerloom-")
+    if "://" in named and not named.startswith("file://"):
+        raise ValueError(f"{named} is no folder that files can be written to without Spark")
+    path = os.path.join(named.removeprefix("file://"), f"ledgerloom-{uuid.uuid4().hex}")
+    os.makedirs(path)
+    return path
+
+
 def all_of(*conditions: Column) -> Column:
     result = F.lit(True)
     for c in conditions:

@@ -6,11 +6,11 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from ledgerloom.plans import catalog_queries, data_queries
+from ledgerloom.plans import catalog_queries, data_queries, round_trips
 
 FOLDER = Path("/root/testdata/sf0.001")
-QUERIES = {**data_queries.QUERIES, **catalog_queries.QUERIES}
-SQL = {**data_queries.SQL, **catalog_queries.SQL}
+QUERIES = {**data_queries.QUERIES, **catalog_queries.QUERIES, **round_trips.QUERIES}
+SQL = {**data_queries.SQL, **catalog_queries.SQL, **round_trips.SQL}
 pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="the test tables aren't here")
 
 
