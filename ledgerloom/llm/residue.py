@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..common import spread
+
 #: At most about so many documents, chosen by the hash of their key, are read to fit the classifier.
 FIT_DOCUMENTS = 12_000
 #: Hashed dimensions; the weights of that many features are all that workers receive (1 MB).
@@ -281,7 +283,7 @@ def labelled_sample(documents: DataFrame, *, key: str = "doc_id", text: str = "t
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["source", "place", "count", "segment", "label"])
 
-    labelled = picked.mapInArrow(label, "source string, place bigint, count bigint, segment string, label bigint")
+    labelled = spread(picked).mapInArrow(label, "source string, place bigint, count bigint, segment string, label bigint")
     return labelled.distinct().toArrow().sort_by([(c, "ascending") for c in ("segment", "source", "place", "count")])
 
 
@@ -306,7 +308,7 @@ def residue_scores(documents: DataFrame, classifier: Classifier, *, key: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.documents(batch.column(1).to_pylist()))], [key, "score"])
 
     picked = documents.select(F.col(key), F.col(text).cast("string").alias("_text"))
-    return picked.mapInArrow(score, f"`{key}` {dict(picked.dtypes)[key]}, score double")
+    return spread(picked).mapInArrow(score, f"`{key}` {dict(picked.dtypes)[key]}, score double")
 
 
 def residue(documents: DataFrame, *, key: str = "doc_id", threshold: float = THRESHOLD, classifier: Classifier | None = None, **options) -> DataFrame:

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..common import spread
+
 #: A rank file that every executor can read. It is a parameter everywhere and never part of this package.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how byte-level BPE of this family splits a text before merging.
@@ -41,4 +43,4 @@ def with_tokens(documents: DataFrame, *, key: str = "doc_id", text: str = "text"
 
     picked = documents.select(*columns, F.col(text).alias("_text"))
     kinds = ", ".join(f"`{c}` {t}" for c, t in picked.dtypes[:-1])
-    return picked.mapInArrow(count, f"{kinds}, tokens bigint")
+    return spread(picked).mapInArrow(count, f"{kinds}, tokens bigint")
