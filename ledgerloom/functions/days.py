@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: English month names by their first three letters.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
+_ISO = r"^\d{4}-\d{2}-\d{2}(?:[T ].*)?$"
 _YEAR_FIRST = r"^(\d{4})([-/.]?)(\d{1,2})\2(\d{1,2})(?:[T ].*)?$"
 _MONTH_FIRST = r"^(?i)([a-z]{3})[a-z]*\.? (\d{1,2})(?:st|nd|rd|th)?,? (\d{4})$"
 _DAY_FIRST = r"^(?i)(\d{1,2})(?:st|nd|rd|th)?[ -]([a-z]{3})[a-z]*\.?,?[ -](\d{4})$"
@@ -37,7 +38,8 @@ def calendar_day(text: Column) -> Column:
     day_first = F.split(F.regexp_replace(t, _DAY_FIRST, "$3|$2|$1"), r"\|")
     named = lambda p: _day(p.getItem(0), month_number(p.getItem(1)).cast("string"), p.getItem(2))
     return (
-        F.when(t.rlike(_YEAR_FIRST), _day(first.getItem(0), first.getItem(1), first.getItem(2)))
+        F.when(t.rlike(_ISO), F.substring(t, 1, 10).try_cast("date"))
+        .when(t.rlike(_YEAR_FIRST), _day(first.getItem(0), first.getItem(1), first.getItem(2)))
         .when(t.rlike(_MONTH_FIRST), named(month_first))
         .when(t.rlike(_DAY_FIRST), named(day_first))
     )

@@ -74,6 +74,7 @@ def snapshot_changes(
     held = (
         base.join(plan, ["_feed", "_no"])
         .withColumn("_slice", F.pmod(F.xxhash64("_key"), F.col("_slices")).cast("int"))
+        .where("_slice is not null")  # never null; the join below would infer it for its side only and so lose the common exchange
         .repartition("_feed", "_no", "_slice")
         .groupBy("_feed", "_no", "_slice", "_key")
         .agg(F.max("_row").alias("_row"), F.first("_before").alias("_before"), F.first("_after").alias("_after"))
@@ -109,9 +110,11 @@ def snapshot_changes(
         .where("_times = 1")
         .select("_feed", "_no", "_slice", F.col("_chunk").alias("_chunk_u"), "_pair_no", "_new")
     )
+    # The last condition always holds; it keeps the columns the digests read, so that both use one exchange.
+    of_pair = (F.col("_new") & F.col("_before").isNotNull()) | (~F.col("_new") & (F.col("_after") == F.col("_pair_no")))
     rest = held.join(
         unmatched.withColumnsRenamed({"_feed": "_f", "_no": "_n", "_slice": "_s"}),
-        (F.col("_feed") == F.col("_f")) & (F.col("_no") == F.col("_n")) & (F.col("_slice") == F.col("_s")) & F.col("_chunk").eqNullSafe(F.col("_chunk_u")),
+        (F.col("_feed") == F.col("_f")) & (F.col("_no") == F.col("_n")) & (F.col("_slice") == F.col("_s")) & F.col("_chunk").eqNullSafe(F.col("_chunk_u")) & of_pair,
     )
     state = F.struct(*(F.col(f"_v{i}") for i in range(len(names))))
     both = rest.groupBy("_feed", "_pair_no", "_key").agg(
