@@ -225,3 +225,46 @@ def overlaid(left: DataFrame, right: DataFrame, keys: Sequence[str], fields: Seq
 def change_aware_times(created: Column, updated: Column, changed: Column, fresh: Column, now: Column) -> tuple[Column, Column]:
     """(created, updated) of a merged row: those of the source if it is new (swapped if reversed), now for changed ones, else as they were."""
     return F.when(fresh, F.least(created, updated)).otherwise(created), F.when(fresh, F.greatest(created, updated)).when(changed, now).otherwise(updated)
+
+
+def filled_struct(observations: DataFrame, keys: Sequence[str], source: str, policy: Policy, value: str, *, lists: Sequence[str] = ()) -> DataFrame:
+    """(keys, value): a struct field merged member by member, lower ranks filling what higher ones leave open.
+
+    Members named in `lists` are ordered unions instead.
+    """
+    members = observations.schema[value].dataType.fieldNames()
+    flat = observations.select(*keys, source, *(F.col(f"{value}.`{m}`").alias(m) for m in members))
+    own = {m: Policy(policy.resource, f"{policy.path}.{m}", policy.sources, "replace", policy.empty) for m in members if m not in lists}
+    merged = resolve_fields(flat, keys, source, own)
+    for m in lists:
+        merged = merged.join(unioned(flat, keys, source, policy, m), list(keys), "left")
+    return merged.select(*keys, F.struct(*members).alias(value))
+
+
+def flags_merged(observations: DataFrame, keys: Sequence[str], source: str, policy: Policy, flags: str) -> DataFrame:
+    """(keys, flags): a map of flags merged flag by flag; a known false of a higher rank outranks a true below it."""
+    return merged_maps(observations, keys, source, policy, flags)
+
+
+def without_blank_projections(observations: DataFrame, source: str, local: str, flags: str, had_before: Column) -> DataFrame:
+    """Observations in which a local block of flags that are all false, where there was none before, makes no claim."""
+    any_true = F.exists(F.map_values(flags), lambda v: F.coalesce(v, F.lit(False)))
+    blank = (F.col(source) == local) & ~F.coalesce(any_true, F.lit(False)) & ~F.coalesce(had_before, F.lit(False))
+    return observations.withColumn(flags, F.when(~blank, F.col(flags)))
+
+
+def without_stale(observations: DataFrame, value: str, stale: Column, known_before: Column) -> DataFrame:
+    """Observations in which a stale fallback makes no claim where the baseline knows the value."""
+    return observations.withColumn(value, F.when(~(F.coalesce(stale, F.lit(False)) & F.coalesce(known_before, F.lit(False))), F.col(value)))
+
+
+def reattributed(observations: DataFrame, keys: Sequence[str], source: str, value: str, local: str, evidence: DataFrame) -> DataFrame:
+    """Observations in which an unedited local value counts for the source that supplied it.
+
+    `evidence` has (keys, source, value) of the latest evidence of each key; where it states the same
+    value as the local row, that row takes its source.
+    """
+    told = evidence.select(*keys, F.col(source).alias("_by"), F.col(value).alias("_said"))
+    joined = observations.join(told, list(keys), "left")
+    own = (F.col(source) == local) & F.col("_by").isNotNull() & F.col(value).eqNullSafe(F.col("_said"))
+    return joined.withColumn(source, F.when(own, F.col("_by")).otherwise(F.col(source))).drop("_by", "_said")

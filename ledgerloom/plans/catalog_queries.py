@@ -15,9 +15,11 @@ from ..operators import authority as A
 from ..operators import diff as D
 from ..operators import filters as P
 from ..operators import lookup as L
+from ..operators import projections as J
 from ..operators import ranking as R
 from ..operators import setops as U
 from ..operators import views as V
+from ..sources.converters import openai_models
 from ..sources.payloads import decode_records, quarantined, unknown_members
 from ..streaming.publications import decided, newest, frames
 
@@ -628,3 +630,62 @@ def publications_newest(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"with {_PUBLICATIONS} select stream, sequence, 'id: ' || sequence || chr(10) || 'event: catalog' || chr(10) || 'data: {{\"generation_id\":\"' || generation_id || '\",\"sequence\":' || sequence || '}}' || chr(10) || chr(10) frame from p")
 def publication_frames(spark: SparkSession, sf: str) -> DataFrame:
     return frames(_publications(spark, sf))
+
+
+# Wire records and projections.
+
+
+_RECORDS = "r as (select distinct record_id, provider_id, payload::json j from list_payload where json_valid(payload))"
+
+
+@query(f"""with {_RECORDS} select record_id, provider_id, j->>'$.id' id, j->>'$.owned_by' owner, (j->>'$.created')::bigint created,
+coalesce(try_cast(j->>'$.max_model_len' as double), try_cast(j->>'$.context_window' as double), try_cast(j->>'$.context_length' as double))::bigint context_window, try_cast(j->>'$.max_completion_tokens' as bigint) output_tokens from r""")
+def wire_models(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "list_payload").select("record_id", "provider_id", "payload").distinct()
+    # The converter keeps the provider column only, so the record's number rides in it.
+    tagged = rows.select(F.concat_ws("|", "record_id", "provider_id").alias("provider_id"), F.col("payload").alias("record"))
+    parts = F.split("provider_id", r"\|")
+    found = openai_models(tagged)
+    return found.select(parts.getItem(0).cast("bigint").alias("record_id"), parts.getItem(1).alias("provider_id"), "id", "owner", "created", "context_window", "output_tokens")
+
+
+@query("""with p as (select distinct payload_id, payload::json j from endpoint_payload where json_valid(payload)), d as (select payload_id, j->'$.data' d from p where json_type(j, '$.data') = 'OBJECT' and json_type(j, '$.data.architecture.input_modalities') = 'ARRAY'),
+m as (select payload_id, unnest(cast(d->>'$.architecture.input_modalities[*]' as varchar[])) v from d), o as (select payload_id, v, coalesce(list_position(['text', 'image', 'file', 'audio', 'video', 'embeddings'], v), 7) r from m where v is not null group by all)
+select payload_id, string_agg(v, '+' order by r, v) || '->' modality from o group by 1""")
+def modality_strings(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "endpoint_payload").select("payload_id", "payload").distinct()
+    found = rows.select("payload_id", F.try_variant_get(F.try_parse_json("payload"), "$.data.architecture.input_modalities", "array<string>").alias("m")).where("m is not null")
+    shown = J.architecture(F.array_compact("m"), F.array().cast("array<string>"), F.lit(None).cast("string"))
+    return found.where(F.size(F.array_compact("m")) > 0).select("payload_id", shown["modality"].alias("modality"))
+
+
+@query(f"with {_MODELS}, b as (select *, row_number() over (partition by id order by context_window desc nulls last, provider_id) n from models) select id, coalesce(max(context_window), 0) max_context, count(*) offerings, max(provider_id) filter (n = 1) top_provider from b group by 1")
+def model_details(spark: SparkSession, sf: str) -> DataFrame:
+    rows = models(spark, sf).select("id", "provider_id", "context_window")
+    best = R.first_by(rows, ["id"], [F.col("context_window").desc_nulls_last(), F.col("provider_id")])
+    return J.detail(rows.select("id").distinct(), rows, "id", best, "context_window")
+
+
+@query(f"with {_MODELS}, c as (select provider_id, id, min(owned_by) owner, case when bool_or(id like '%embed%') then ['embeddings'] else ['chat_completions'] end ops from models group by all), e as (select *, unnest(ops) operation from c) select e.provider_id, e.id, operation, case when e.id like '%embed%' then 'https://' || e.provider_id || '.example/embeddings/' || e.id else 'https://' || e.provider_id || '.example/chat/' || e.id end url from e join provider p on p.id = e.provider_id")
+def endpoint_urls(spark: SparkSession, sf: str) -> DataFrame:
+    embed = F.col("id").contains("embed")
+    text, none = F.array(F.lit("text")), F.array().cast("array<string>")
+    offers = models(spark, sf).select("provider_id", "id", F.col("owned_by").alias("owner"), J.operations(text, text, F.when(embed, F.array(F.lit("embedding"))).otherwise(none)).alias("ops"))
+    base = lambda kind: F.concat(F.lit("https://"), "id", F.lit(f".example/{kind}/{{model}}"))
+    providers = table(spark, sf, "provider").select(F.col("id").alias("provider_id"), F.explode(F.create_map(F.lit("chat_completions"), base("chat"), F.lit("embeddings"), base("embeddings"))).alias("operation", "base_url"))
+    return J.offering_endpoints(offers, ["provider_id", "id"], "ops", providers.withColumn("by_owner", F.lit(None).cast("map<string,string>")), "owner", "id").select("provider_id", "id", "operation", "url")
+
+
+@query(f"with {_CLAIMS} select model_ref, {_sql_resolved('max_input_tokens', '0')} input_tokens, {_sql_resolved('context_length', '0')} context_window from claims group by 1")
+def filled_limits(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _claims(spark, sf).select("model_ref", "source_id", F.struct(F.col("max_input_tokens").alias("input_tokens"), F.col("context_length").alias("context_window")).alias("limits"))
+    return A.filled_struct(rows, ["model_ref"], "source_id", FIRST, "limits").select("model_ref", "limits.input_tokens", "limits.context_window")
+
+
+@query(f"""with {_CLAIMS}, e as (select model_ref, arg_max(source_id, struct_pack(o := observed_at, s := source_id)) by_, arg_max(max_input_tokens, struct_pack(o := observed_at, s := source_id)) said from claims where source_id <> 'local_catalog' and observed_at is not null and max_input_tokens is not null group by 1)
+select c.model_ref, case when c.source_id = 'local_catalog' and e.by_ is not null and c.max_input_tokens = e.said then e.by_ else c.source_id end source_id, c.max_input_tokens from claims c left join e using (model_ref) where c.max_input_tokens is not null""")
+def reattributed_claims(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _claims(spark, sf).where("max_input_tokens is not null").select("model_ref", "source_id", "max_input_tokens", "observed_at")
+    others = rows.where("source_id <> 'local_catalog' and observed_at is not null")
+    evidence = others.groupBy("model_ref").agg(F.max_by(F.struct("source_id", "max_input_tokens"), F.struct("observed_at", "source_id")).alias("e")).select("model_ref", "e.source_id", "e.max_input_tokens")
+    return A.reattributed(rows.drop("observed_at"), ["model_ref"], "source_id", "max_input_tokens", "local_catalog", evidence)
