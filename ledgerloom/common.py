@@ -71,6 +71,11 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
+def file_uri(path: object) -> str:
+    """The URI of a POSIX path, so that Spark looks for it where Python does, whatever its default file system."""
+    return "file://" + os.path.abspath(os.fspath(path))
+
+
 def all_of(*conditions: Column) -> Column:
     result = F.lit(True)
     for c in conditions:

@@ -239,14 +239,12 @@ def volume_guard(spark: SparkSession, sf: str) -> DataFrame:
     return L.missing_from(rows, rows.join(last, ["feed_id", "snapshot_no"]), ["feed_id", "id"], "feed_id")
 
 
-@query("""with t as (select row_number() over (order by s_suppkey) place, s_suppkey from supplier union all select 1000000 + s_suppkey, s_suppkey + 1000000 from supplier where s_suppkey <= 5),
+@query("""with t as (select s_suppkey place, s_suppkey from supplier union all select 1000000 + s_suppkey, s_suppkey + 1000000 from supplier where s_suppkey <= 5),
 o as (select l_suppkey, bool_or(l_discount >= 0.1) ok from lineitem where l_returnflag = 'R' and l_quantity > 49 group by 1)
 select place, s_suppkey, case when ok is null then 'missing' when not ok then 'unavailable' end reason from t left join o on l_suppkey = s_suppkey""")
 def route_targets(spark: SparkSession, sf: str) -> DataFrame:
     supplier = table(spark, sf, "supplier")
-    from pyspark.sql import Window
-
-    targets = supplier.select(F.row_number().over(Window.orderBy("s_suppkey")).cast("bigint").alias("place"), F.col("s_suppkey").alias("l_suppkey"))
+    targets = supplier.select(F.col("s_suppkey").alias("place"), F.col("s_suppkey").alias("l_suppkey"))
     targets = targets.unionAll(supplier.where("s_suppkey <= 5").select(F.col("s_suppkey") + 1_000_000, F.col("s_suppkey") + 1_000_000))
     offers = table(spark, sf, "lineitem").where("l_returnflag = 'R' and l_quantity > 49")
     return L.routed(targets, offers, ["l_suppkey"], F.col("l_discount") >= 0.1).select("place", F.col("l_suppkey").alias("s_suppkey"), "reason")

@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..common import bounded_rows, shared_folder, table
+from ..common import bounded_rows, file_uri, shared_folder, table
 from ..engine import Engine
 from ..snapshots import GenerationStore
 from ..sources.listings import register
@@ -38,7 +38,7 @@ def workspace_round_trip(spark: SparkSession, sf: str) -> DataFrame:
         found = bounded_rows(table(spark, sf, kind[:-1]).orderBy("id"), 10_000)
         with open(os.path.join(root, f"{kind}.yaml"), "w", encoding="utf-8") as file:
             yaml.safe_dump([{k: v for k, v in r.asDict().items() if v is not None} for r in found], file)
-    read = read_workspace(spark, root)
+    read = read_workspace(spark, file_uri(root))
     return read.authors.select("id", "name", F.size(F.coalesce("aliases", F.array().cast("array<string>"))).cast("bigint").alias("aliases"), "website")
 
 
@@ -56,13 +56,13 @@ def listing_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 def publication_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The decisions on all publications, made by a streaming query that keeps the active generation as state."""
-    root = shared_folder(spark)
+    root = file_uri(shared_folder(spark))
     wanted = _publications(spark, sf).withColumn("generated_at", F.col("generated_at").cast("timestamp"))
-    wanted.write.parquet(os.path.join(root, "in"))
-    source = spark.readStream.schema(wanted.schema).parquet(os.path.join(root, "in"))
-    run = decisions(source).writeStream.format("parquet").option("path", os.path.join(root, "out")).option("checkpointLocation", os.path.join(root, "state"))
+    wanted.write.parquet(f"{root}/in")
+    source = spark.readStream.schema(wanted.schema).parquet(f"{root}/in")
+    run = decisions(source).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state")
     run.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("stream string, sequence bigint, generation_id string, decision string").parquet(os.path.join(root, "out"))
+    return spark.read.schema("stream string, sequence bigint, generation_id string, decision string").parquet(f"{root}/out")
 
 
 QUERIES = {f.__name__: f for f in (generation_round_trip, workspace_round_trip, listing_round_trip, publication_stream)}

@@ -18,6 +18,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import file_uri
+
 
 class Conflict(RuntimeError):
     """The store has changed, or one id would name different content."""
@@ -115,7 +117,7 @@ class GenerationStore:
             raise Conflict(f"generation {generation_id!r} has other content")
         if not known:  # written beside the lock: only the pointer needs it
             for name, df in relations.items():
-                df.write.mode("overwrite").parquet(str(folder / name))
+                df.write.mode("overwrite").parquet(file_uri(folder / name))
         with self._locked():
             if self.current_id() == generation_id:
                 return known or made
@@ -147,7 +149,7 @@ class GenerationStore:
         if generation_id is None:
             raise KeyError("the store is empty")
         self.manifest(generation_id)
-        return self.spark.read.parquet(str(self._folder(generation_id) / name))
+        return self.spark.read.parquet(file_uri(self._folder(generation_id) / name))
 
     def read_if_changed(self, name: str, known_id: str | None) -> DataFrame | None:
         return None if self.current_id() == known_id else self.read(name)
