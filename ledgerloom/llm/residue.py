@@ -49,13 +49,15 @@ _PLACEHOLDER = re.compile(
     r"|<[a-z]+(?:[._ -][a-z]+)+>|<[A-Z]+(?:[._ -][A-Z]+)*>|(?<!\w)\{[A-Za-z]+(?:[._-][A-Za-z]+)+\}|(?<!\w)\{[A-Z]+\}|(?<!\w)\{[a-z]+[A-Z]\w*\}"
     r"|\[object Object\]|#REF!|#N/A|#VALUE!|#NAME\?|#DIV/0!|(?<![\w%])%[sd](?![\w%])|\{\d\}|\bNaN\b|\bNULL\b|\bundefined\b(?! (?:term|word|notion|concept))"
 )
+# The next three are matched against lower case; without one of the words the first can't match.
+_NOTICE_WORDS = ("script", "skript", "js", "browser")
 _NOTICE = re.compile(
-    r"(?i)<noscript|\bnoscript\b|\bscripts? blocker\b|checking your browser|browser is not supported|"
+    r"<noscript|\bnoscript\b|\bscripts? blocker\b|checking your browser|browser is not supported|"
     r"\b(?:javascript|js|scripts?|scripting|skripte?)\b.{0,60}\b(?:enable[ds]?|disabled|required?s?|requires|turn(?:ed)? (?:it )?on|switch(?:ed)? on|activ\w*|allowed|needed|abgeschaltet|erlaubt|benötigt|einschalten|schalten|ein|deaktiviert|autorisés|nécessaires?|désactivé|necesarios?|permitid\w+|your settings|must be|continue)\b|"
     r"\b(?:enable|activate|turn on|switch on|requires?|needs?|run|allow|without|with|aktivieren|erfordert|benötigt|schalten|activez|activer|nécessite|exécution|autoriser|avec|active|activar|habilite|requiere|necesita|permitir|must|in order to continue|müssen)\b.{0,60}\b(?:javascript|js|scripts?|scripting|skripte?)\b"
 )
 _ERROR = re.compile(
-    r"(?i)\b(?:error|erreur|fehler|code|código|http(?: status)?|status)\W{0,4}(?:4\d\d|5\d\d)\b|\b(?:4\d\d|5\d\d)\b\W{0,3}\b(?:not found|forbidden|bad gateway|gateway time|service unavailable|internal server|too many|gone|unauthorized|bad request|error)|"
+    r"\b(?:error|erreur|fehler|code|código|http(?: status)?|status)\W{0,4}(?:4\d\d|5\d\d)\b|\b(?:4\d\d|5\d\d)\b\W{0,3}\b(?:not found|forbidden|bad gateway|gateway time|service unavailable|internal server|too many|gone|unauthorized|bad request|error)|"
     r"^\W*(?:401|403|404|408|410|429|500|502|503|504)\W*(?:-|–|$)|"
     r"(?:could not|cannot|can't|failed to|unable to) (?:be )?(?:found|loaded?|displayed?|reached?|service|opened)|can't seem to find|not be found|timed out\b|no longer available|does not exist|has been moved or deleted|down for maintenance|"
     r"session (?:has )?(?:expired|timed out)|access denied|do not have permission|rate limit exceeded|too many requests|retry after \d|try again (?:later|in a few)|check the (?:link|address)|sign in again|"
@@ -67,7 +69,7 @@ _ERROR = re.compile(
     r"\"(?:error|status)\"\s*:|<title>|</?h1>"
 )
 _FILLER = re.compile(
-    r"(?i)^lorem ipsum|\b(?:body copy|dummy (?:content|text)|sample text|placeholder,? do not publish|text to follow|to be (?:added|supplied)|goes (?:here|in this block)|will appear here|not yet entered|pending editorial|replace this paragraph|type your speech|content pending)\b|"
+    r"^lorem ipsum|\b(?:body copy|dummy (?:content|text)|sample text|placeholder,? do not publish|text to follow|to be (?:added|supplied)|goes (?:here|in this block)|will appear here|not yet entered|pending editorial|replace this paragraph|type your speech|content pending)\b|"
     r"^blindtext|blindtext für|^text folgt|nachgereicht|noch einzutragen|hier eingefügt|absatz ersetzen|hier steht|platzhalter|"
     r"reste à saisir|sera inséré|remplissage|insérer ici|texte à venir|remplacer ce paragraphe|"
     r"se insertará|por cargar|texto pendiente|escriba aquí|texto de relleno|sustituya este párrafo|reemplace este"
@@ -133,7 +135,9 @@ def weak_label(segment: str) -> int | None:
         return 1
     if sum(w in _LATIN for w in letters) >= max(2, 0.5 * len(letters)):
         return 1
-    if _NOTICE.search(segment) or _ERROR.search(segment) or _FILLER.search(segment):
+    low = segment.lower()
+    notice = any(k in low for k in _NOTICE_WORDS) and _NOTICE.search(low)
+    if notice or _ERROR.search(low) or _FILLER.search(low):
         if _SPEECH.search(segment) and not re.search(r"(?i)requested|asked for|that resource|sitting file|archive|transcript|browser|</|\"", segment):
             return 0
         return None if segment.endswith("?") else 1
