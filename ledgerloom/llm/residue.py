@@ -27,16 +27,17 @@ from ..common import spread
 FIT_DOCUMENTS = 12_000
 #: Hashed dimensions; the weights of that many features are all that workers receive (1 MB).
 DIMENSIONS = 1 << 18
-THRESHOLD = 0.4
+THRESHOLD = 0.25
 _MASK = DIMENSIONS - 1
 
 _QUOTED = re.compile(r"\"[^\"\n]{0,400}\"|“[^”\n]{0,400}”|„[^“”\n]{0,400}[“”]|«\s[^»\n]{0,400}\s»|‹\s[^›\n]{0,400}\s›")
 _QUOTE = re.compile("[\"“„«‹]")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”»)\]]*\s+(?=\S)|\n+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|\d+|[^\w\s]+|_+")
-_MARKS = re.compile(r"[{}\[\]<>@%$#_«»&|\\]|:\w+[.\w-]*:|\b(?:NaN|NULL|undefined|None)\b")
+_MARKS = re.compile(r"[{}\[\]<>@%$#_«»&|\\]|:\w[\w. -]*:|\b(?:NaN|NULL|undefined|None)\b")
 _RARE = tuple(crc32(f"rare {case}".encode()) for case in ("lower", "title", "upper"))
-_CUE = crc32(b"a mark of a template")
+#: Times that the cue counts among the features, so that long sentences don't drown it.
+_CUES = 6
 _VALUES = ("NaN", "NULL", "undefined", "None")
 _LONG = 60
 
@@ -46,7 +47,7 @@ _PLACEHOLDER = re.compile(
     rf"\{{\{{\{{?\s*{_NAME}\s*\}}\}}\}}?|[$#]\{{\s*{_NAME}\s*\}}|\{{%\s*{_NAME}\s*%\}}|<%=?\s*{_NAME}\s*%>|<#\s*{_NAME}\s*#>|\[\[\s*{_NAME}\s*\]\]"
     rf"|@@\s*{_NAME}\s*@@|%\({_NAME}\)[sd]|\b__{_NAME}__\b|\[(?:INSERT|TODO:?|ADD|ENTER|FILL)\s+{_NAME}\]|\[{_NAME} HERE\]|&lt;{_NAME}&gt;|«{_NAME}»"
     r"|(?<![\w%])%[A-Za-z]+(?:[._ -][A-Za-z]+)*%(?!\w)|(?<![\w$])\$[A-Za-z]+(?:[._ -][A-Za-z]+)*\$(?!\w)|(?<![\w:]):[A-Za-z]+(?:[._ -][A-Za-z]+)*:(?!\w)"
-    r"|<[a-z]+(?:[._ -][a-z]+)+>|<[A-Z]+(?:[._ -][A-Z]+)*>|(?<!\w)\{[A-Za-z]+(?:[._-][A-Za-z]+)+\}|(?<!\w)\{[A-Z]+\}|(?<!\w)\{[a-z]+[A-Z]\w*\}"
+    r"|<[a-z]+(?:[._ -][a-z]+)+>|<(?!/?(?:html|head|title|body|h\d|p|noscript|br|hr|div|span|b|i|a|li|ul)\b)[A-Za-z]+(?:[._ -][A-Za-z]+)*>|(?<!\w)\{(?!as )[A-Za-z]+(?:[._ -][A-Za-z]+)*\}"
     r"|\[object Object\]|#REF!|#N/A|#VALUE!|#NAME\?|#DIV/0!|(?<![\w%])%[sd](?![\w%])|\{\d\}|\bNaN\b|\bNULL\b|\bundefined\b(?! (?:term|word|notion|concept))"
 )
 # The next three are matched against lower case; without one of the words the first can't match.
@@ -59,7 +60,7 @@ _NOTICE = re.compile(
 _ERROR = re.compile(
     r"\b(?:error|erreur|fehler|code|código|http(?: status)?|status)\W{0,4}(?:4\d\d|5\d\d)\b|\b(?:4\d\d|5\d\d)\b\W{0,3}\b(?:not found|forbidden|bad gateway|gateway time|service unavailable|internal server|too many|gone|unauthorized|bad request|error)|"
     r"^\W*(?:401|403|404|408|410|429|500|502|503|504)\W*(?:-|–|$)|"
-    r"(?:could not|cannot|can't|failed to|unable to) (?:be )?(?:found|loaded?|displayed?|reached?|service|opened)|can't seem to find|not be found|timed out\b|no longer available|does not exist|has been moved or deleted|down for maintenance|"
+    r"(?:could not|cannot|can't|failed to|unable to) (?:be )?(?:found|load(?:ed)?|display(?:ed)?|reach(?:ed)?|service|open(?:ed)?)|can't seem to find|not be found|timed out\b|no longer available|does not exist|has been moved or deleted|down for maintenance|"
     r"session (?:has )?(?:expired|timed out)|access denied|do not have permission|rate limit exceeded|too many requests|retry after \d|try again (?:later|in a few)|check the (?:link|address)|sign in again|"
     r"upstream connect error|reset reason|database connection failed|expects parameter|application error|java\.lang\.|exception:|\bat render|stack trace|something went wrong|contact support|^\W*oops|^\W*warning:|\b(?:incident|request|ticket|reference|référence|réf|kennung|incidencia|vorgang)\W+(?:id\W+)?[0-9a-f]{8}\b|"
     r"internal server error|service unavailable|bad gateway|gateway timeout|\bnot found\b|page not found|"
@@ -90,7 +91,7 @@ def quotes_removed(text: str) -> str:
     """A text without what stands in quotation marks; JSON and HTML, whose quotes are syntax, stay as they are."""
     if not _QUOTE.search(text):
         return text
-    return text if re.match(r"\s*[{\[<]", text) and re.search(r"\"\s*:|</", text) else _QUOTED.sub(' "" ', text)
+    return text if re.match(r"\s*[{\[<]", text) and re.search(r"\"\s*:|</", text) else _QUOTED.sub(" ", text)
 
 
 def segments(text: str) -> list[str]:
@@ -127,21 +128,28 @@ def _repeated(words: list[str]) -> float:
     return sum(w in words[max(0, i - 2) : i] for i, w in enumerate(words)) / len(words)
 
 
-def weak_label(segment: str) -> int | None:
-    """1 for residue, 0 for speech, None where the cues disagree."""
-    words = [w.lower() for w in _WORD.findall(segment)]
-    letters = [w for w in words if w[0].isalpha()]
-    if _MARKS.search(segment) and _PLACEHOLDER.search(segment) or len(letters) >= 5 and _repeated(letters) > 0.7:
-        return 1
-    if sum(w in _LATIN for w in letters) >= max(2, 0.5 * len(letters)):
-        return 1
+def cue(segment: str) -> str:
+    """The kind of cue in a segment: a template's mark, filler, a phrase of pages, such a phrase in speech or in a question, or none."""
+    letters = [w.lower() for w in _WORD.findall(segment) if w[0].isalpha()]
+    if _MARKS.search(segment) and _PLACEHOLDER.search(segment):
+        return "mark"
+    if len(letters) >= 5 and _repeated(letters) > 0.7 or len(letters) >= 3 and len(set(letters)) == 1 or sum(w in _LATIN for w in letters) >= max(2, 0.5 * len(letters)):
+        return "filler"
     low = segment.lower()
     notice = any(k in low for k in _NOTICE_WORDS) and _NOTICE.search(low)
     if notice or _ERROR.search(low) or _FILLER.search(low):
         if _SPEECH.search(segment) and not re.search(r"(?i)requested|asked for|that resource|sitting file|archive|transcript|browser|</|\"", segment):
-            return 0
-        return None if segment.endswith("?") else 1
-    return 0
+            return "spoken"
+        return "asked" if segment.endswith("?") else "phrase"
+    return ""
+
+
+_LABELS = {"mark": 1, "filler": 1, "phrase": 1, "spoken": 0, "asked": None, "": 0}
+
+
+def weak_label(segment: str) -> int | None:
+    """1 for residue, 0 for speech, None where the cues disagree."""
+    return _LABELS[cue(segment)]
 
 
 @lru_cache(maxsize=100_000)
@@ -166,10 +174,11 @@ def _case(raw: str) -> int:
     return 0 if not raw[0].isupper() else 2 if len(raw) > 1 and raw.isupper() else 1
 
 
-def features(segment: str, index: int, count: int, known: bytes, blind: bool = False) -> list[int]:
-    """Hashed features: words and pairs of words, n-grams of the shape around marks, length, repetition, place and title.
+def features(segment: str, index: int, count: int, known: bytes, blind: bool = False, cued: bool = True) -> list[int]:
+    """Hashed features: words and pairs of words, n-grams of the shape around marks, length, repetition, place and title, and the cue.
 
-    Words that aren't known are told apart by their case only; `blind` takes every capitalised word for such.
+    Words that aren't known are told apart by their case only; `blind` takes every capitalised word for
+    such.  Without `cued` the cue is left out, so that words and shapes have to tell.
     """
     raw = _WORD.findall(segment)
     words = [_word(w) for w in raw]
@@ -182,7 +191,6 @@ def features(segment: str, index: int, count: int, known: bytes, blind: bool = F
     result.append((last * 0x01000193 ^ 7) + 0x51ED270B)
     if _MARKS.search(segment):
         result += [crc32(f"v{w}".encode()) for w in raw if w in _VALUES]
-        result += [_CUE] * bool(_PLACEHOLDER.search(segment))
         shape = re.sub(r"\d+", "9", re.sub(r"[^\W\d_]*[^\W\d_A-Z][^\W\d_]*", "a", re.sub(r"\b[^\W\d_a-z]+\b", "A", segment)))
         for mark in _MARKS.finditer(shape):
             for n in (2, 3, 4, 6):
@@ -195,6 +203,8 @@ def features(segment: str, index: int, count: int, known: bytes, blind: bool = F
         ("title", "<title>" in segment or "<h1>" in segment), ("end", segment[-1] in ".!?…"), ("latin", min(3, sum(w in _LATIN for w in letters))),
     ):
         result.append(_word_id(f"{name}={value}"))
+    if cued and (kind := cue(segment)):
+        result += [_word_id(f"cue {kind}")] * _CUES
     return [i & _MASK for i in result]
 
 
@@ -249,7 +259,7 @@ def fit(rows: Rows, known: bytes, *, epochs: int = 6, rate: float = 0.5, l2: flo
     bias, bias_seen = -3.0, 1e-6
     labels, sizes, flat = (np.array(x) for x in (rows.labels, rows.sizes, rows.flat))
     positives = max(1, int(labels.sum()))
-    heavy = min(20.0, (len(labels) - positives) / positives)
+    heavy = min(6.0, (len(labels) - positives) / positives)
     order = np.random.RandomState(7)
     starts = np.cumsum(sizes) - sizes
     for _ in range(epochs if positives < len(labels) else 0):
@@ -299,6 +309,8 @@ def train(sample: pa.Table) -> Classifier:
         rows.add(features(s, i, n, known), y)
         if not y and len(s) < 60:  # short speech once more with its names hidden, so that names of other texts don't tell
             rows.add(features(s, i, n, known, blind=True), 0)
+        if y:  # residue once more without its cue, so that its words tell where a cue is missing
+            rows.add(features(s, i, n, known, cued=False), 1)
     return fit(rows, known)
 
 
