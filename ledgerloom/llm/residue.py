@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 from zlib import crc32
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -75,6 +76,17 @@ _FILLER = re.compile(
     r"reste à saisir|sera inséré|remplissage|insérer ici|texte à venir|remplacer ce paragraphe|"
     r"se insertará|por cargar|texto pendiente|escriba aquí|texto de relleno|sustituya este párrafo|reemplace este"
 )
+#: Every alternative of the three patterns above holds one of these, so a text without any is settled by one pass.
+_STEMS = (
+    "error", "erreur", "fehler", "code", "código", "http", "status", "not found", "forbidden", "gateway", "unavailable", "internal server", "too many", "gone", "unauthorized", "bad request",
+    "401", "403", "404", "408", "410", "429", "500", "502", "503", "504", "could not", "cannot", "can't", "failed to", "unable to", "not be found", "timed out", "no longer", "not exist", "moved or deleted",
+    "maintenance", "session", "denied", "permission", "rate limit", "retry", "try again", "check the", "sign in", "upstream", "reset reason", "connection failed", "expects parameter", "java", "exception",
+    "render", "stack trace", "went wrong", "support", "oops", "warning", "inciden", "request", "ticket", "referen", "réf", "kennung", "vorgang", "konnte nicht", "nicht gefunden", "existiert nicht", "verfügbar",
+    "überlastet", "gewartet", "wartung", "verweigert", "berechtigung", "versuchen sie", "startseite", "abgelaufen", "introuvable", "existe", "disponible", "refusé", "répond pas", "expiré", "réessayez", "retour à",
+    "n'a pas pu", "no se ", "mantenimiento", "no responde", "inténtelo", "caducado", "denegado", "volver al", "<title", "h1>", "lorem", "body copy", "dummy", "sample text", "placeholder", "to follow", "to be added",
+    "to be supplied", "goes here", "goes in", "appear here", "not yet", "pending", "replace this", "type your", "blindtext", "text folgt", "nachgereicht", "einzutragen", "eingefügt", "ersetzen", "hier steht",
+    "platzhalter", "à saisir", "inséré", "remplissage", "insérer", "à venir", "remplacer", "insertará", "por cargar", "texto", "escriba", "sustituya", "reemplace", *_NOTICE_WORDS,
+)
 #: Words of invented Latin that layout programs fill in.
 _LATIN = frozenset(
     "lorem ipsum dolum dolor sitar ametro amet conset consectetur adipis adipiscing elitum tincid tincidunt volupt nullat vestib vestibulum massaq "
@@ -128,14 +140,26 @@ def _repeated(words: list[str]) -> float:
     return sum(w in words[max(0, i - 2) : i] for i, w in enumerate(words)) / len(words)
 
 
-def cue(segment: str) -> str:
+@lru_cache(maxsize=1)
+def _stems() -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton()
+    for stem in _STEMS:
+        found.add_word(stem, stem)
+    found.make_automaton()
+    return found
+
+
+def cue(segment: str, letters: list[str] | None = None) -> str:
     """The kind of cue in a segment: a template's mark, filler, a phrase of pages, such a phrase in speech or in a question, or none."""
-    letters = [w.lower() for w in _WORD.findall(segment) if w[0].isalpha()]
+    if letters is None:
+        letters = [w.lower() for w in _WORD.findall(segment) if w[0].isalpha()]
     if _MARKS.search(segment) and _PLACEHOLDER.search(segment):
         return "mark"
     if len(letters) >= 5 and _repeated(letters) > 0.7 or len(letters) >= 3 and len(set(letters)) == 1 or sum(w in _LATIN for w in letters) >= max(2, 0.5 * len(letters)):
         return "filler"
     low = segment.lower()
+    if next(_stems().iter(low), None) is None:
+        return ""
     notice = any(k in low for k in _NOTICE_WORDS) and _NOTICE.search(low)
     if notice or _ERROR.search(low) or _FILLER.search(low):
         if _SPEECH.search(segment) and not re.search(r"(?i)requested|asked for|that resource|sitting file|archive|transcript|browser|</|\"", segment):
@@ -203,7 +227,7 @@ def features(segment: str, index: int, count: int, known: bytes, blind: bool = F
         ("title", "<title>" in segment or "<h1>" in segment), ("end", segment[-1] in ".!?…"), ("latin", min(3, sum(w in _LATIN for w in letters))),
     ):
         result.append(_word_id(f"{name}={value}"))
-    if cued and (kind := cue(segment)):
+    if cued and (kind := cue(segment, letters)):
         result += [_word_id(f"cue {kind}")] * _CUES
     return [i & _MASK for i in result]
 
