@@ -8,13 +8,14 @@ kind varies keeps a typed branch for each kind beside its canonical value.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..common import bounded_rows
 from .nested_tables import _reject
 
 #: Bits of the kinds in a tagged union.
@@ -44,10 +45,10 @@ def canonical(value: object) -> str:
     return json.dumps(value, sort_keys=True, ensure_ascii=False).lower()
 
 
-def leaves_of(text: str | None) -> Iterator[tuple[str, int, str, str]] | None:
+def leaves_of(text: str | None, *, nulls: bool = False) -> Iterator[tuple[str, int, str | None, str | None]] | None:
     """(dotted path, kind, text, canonical value) of each value of a record that is neither null nor an object.
 
-    None if the text is no valid JSON object.
+    None if the text is no valid JSON object.  With `nulls` an explicit null is a leaf of kind 0.
     """
     if text is None:
         return None
@@ -55,10 +56,10 @@ def leaves_of(text: str | None) -> Iterator[tuple[str, int, str, str]] | None:
         record = json.loads(text, parse_constant=_reject, parse_float=_Number)
     except (ValueError, RecursionError):
         return None
-    return _walk(record) if isinstance(record, dict) else None
+    return _walk(record, nulls) if isinstance(record, dict) else None
 
 
-def _walk(record: dict) -> Iterator[tuple[str, int, str, str]]:
+def _walk(record: dict, nulls: bool) -> Iterator[tuple[str, int, str | None, str | None]]:
     open_ = [("", record)]
     while open_:
         prefix, inner = open_.pop()
@@ -76,13 +77,15 @@ def _walk(record: dict) -> Iterator[tuple[str, int, str, str]]:
                 yield path, KINDS["string"], value, canonical(value)
             elif isinstance(value, list):
                 yield path, KINDS["array"], json.dumps(value, ensure_ascii=False), canonical(value)
+            elif nulls:
+                yield path, 0, None, None
 
 
-def leaves(payloads: DataFrame, *, payload: str = "payload") -> DataFrame:
+def leaves(payloads: DataFrame, *, payload: str = "payload", nulls: bool = False) -> DataFrame:
     """The leaves of all readable records, one row each; Python reads each Arrow batch of texts once.
 
-    A path names no row of its own where a record holds null; a readable record without any leaf
-    gives one row with a null path, so that it still counts as a record of its file.
+    A path names no row of its own where a record holds null, unless `nulls` asks for it; a readable
+    record without any leaf gives one row with a null path, so that it still counts as a record of its file.
     """
     columns = ["feed_id", "file_no", "record_id", payload]
 
@@ -90,7 +93,7 @@ def leaves(payloads: DataFrame, *, payload: str = "payload") -> DataFrame:
         for batch in batches:
             rows: list[tuple] = []
             for feed, file, record, text in zip(*(c.to_pylist() for c in batch.columns)):
-                found = leaves_of(text)
+                found = leaves_of(text, nulls=nulls)
                 if found is None:
                     continue
                 found = list(found)
@@ -204,29 +207,78 @@ EFFORT = ("capabilities.effort.supported", "capabilities.reasoning_effort.suppor
 CONTEXT = ("max_model_len", "maxModelLen", "context_window", "contextWindow", "limits.context_window", "context_length")
 
 
+#: Column types of the typed branches; arrays stay JSON text.
+BRANCHES = {"boolean": "boolean", "integer": "bigint", "decimal": "double", "string": "string", "array": "string"}
+
+#: More distinct paths than this are no schema but data in the names of members.
+MOST_PATHS = 5_000
+
+
+def inferred(values: DataFrame) -> dict[str, int]:
+    """The fused schema: each path of the leaves with the bits of all kinds met, 0 for one that is always null."""
+    fused = values.where("path is not null").groupBy("path").agg(F.bit_or("kind").alias("kinds"))
+    return {r.path: r.kinds for r in sorted(bounded_rows(fused, MOST_PATHS), key=lambda r: r.path)}
+
+
+def field_names(paths: Iterable[str]) -> dict[str, str]:
+    """A member name for each path: the path, with a number behind it where another differs in case only."""
+    paths, names, taken = [*paths], {}, set()
+    reserved = {p.lower() for p in paths}
+    for path in paths:
+        name, n = path or "(empty)", 1
+        while name.lower() in taken or (n > 1 or not path) and name.lower() in reserved:
+            n += 1
+            name = f"{path or '(empty)'}~{n}"
+        taken.add(name.lower())
+        names[path] = name
+    return names
+
+
 def unified(payloads: DataFrame, *, effort: tuple[str, ...] = EFFORT, context: tuple[str, ...] = CONTEXT) -> DataFrame:
     """One consistent table of all readable records, whatever fields their files used.
 
     Columns: feed_id, file_no, record_id, id; `effort_supported boolean` and `context_limit bigint`,
     the canonical values; for each the path it came from and the typed branches of its tagged union
-    (`..._boolean`, `..._integer`, `..._decimal`, `..._string`), of which one is set.
+    (`..._boolean`, `..._integer`, `..._decimal`, `..._string`), of which one is set; and `fields`, the
+    fused schema of all paths met in any record, with a member for each path under its dotted name.
+    A member is a struct of the canonical text `value` and a typed branch for each kind that the path
+    was met with (arrays as JSON text).  It is null where the record lacks the path and a struct of
+    nulls where the record holds null; a path that is null everywhere has `value` only.
 
     Of several spellings in one record the first of the list holds.  1, "true" and true mean support,
     0, "false" and false none, others null.  A context limit is a whole number in any kind, else
-    null.  Records without either field still have a row; repeated rows count once.
+    null.  Records without either field still have a row; repeated rows count once.  Paths that differ
+    in case only are members of their own, later ones with a number (``a``, ``A~2``).  A number that a
+    branch can't hold is null there and whole in `value`.  Should a record hold a path twice, a value
+    goes before null, then the first kind.
     """
-    values = leaves(payloads)
+    values = leaves(payloads, nulls=True)
+    schema = inferred(values)
     ranks = {p: i for i, p in enumerate((*effort, *context))}
     rank = F.create_map(*(F.lit(x) for pair in ranks.items() for x in pair))[F.col("path")]
-    first = lambda paths: F.min(F.when(F.col("path").isin(*paths), F.struct(rank.alias("r"), "path", "kind", "value", "same")))
-    rows = values.groupBy("feed_id", "file_no", "record_id").agg(F.max("id").alias("id"), first(effort).alias("_e"), first(context).alias("_c"))
+    keys = ["feed_id", "file_no", "record_id"]
+    # Both aggregations run on one exchange by record.
+    leaf = F.min(F.struct((F.col("kind") == 0).alias("void"), "kind", "value", "same")).alias("_leaf")
+    each = values.repartition(*keys).groupBy(*keys, "path").agg(F.max("id").alias("id"), leaf).select(*keys, "path", "id", "_leaf.kind", "_leaf.value", "_leaf.same")
+    first = lambda paths: F.min(F.when(F.col("path").isin(*paths) & (F.col("kind") > 0), F.struct(rank.alias("r"), "path", "kind", "value", "same")))
+    held = F.collect_list(F.when(F.col("path").isNotNull(), F.struct("path", F.struct("kind", "value", "same"))))
+    rows = each.groupBy(*keys).agg(F.max("id").alias("id"), first(effort).alias("_e"), first(context).alias("_c"), F.map_from_entries(held).alias("_held"))
     branch = lambda s, kind: F.when(F.col(f"{s}.kind") == KINDS[kind], F.col(f"{s}.value"))
     supported = F.when(F.col("_e.same").isin("true", "1"), True).when(F.col("_e.same").isin("false", "0"), False)
     limit = F.when(F.col("_c.same").rlike(r"^\d{1,18}$"), F.col("_c.same")).try_cast("bigint")
+
+    def member(path: str, kinds: int) -> Column:
+        leaf = F.try_element_at("_held", F.lit(path))
+        typed = [F.when(leaf["kind"] == bit, leaf["value"]).try_cast(BRANCHES[kind]).alias(kind) for kind, bit in KINDS.items() if kinds & bit]
+        return F.when(leaf.isNotNull(), F.struct(leaf["same"].alias("value"), *typed))
+
+    names = field_names(schema)
+    fields = [F.struct(*(member(p, kinds).alias(names[p]) for p, kinds in schema.items())).alias("fields")] if schema else []
     return rows.select(
         "feed_id", "file_no", "record_id", "id",
         supported.alias("effort_supported"), F.col("_e.path").alias("effort_path"),
         branch("_e", "boolean").try_cast("boolean").alias("effort_boolean"), branch("_e", "integer").try_cast("bigint").alias("effort_integer"), branch("_e", "string").alias("effort_string"),
         limit.alias("context_limit"), F.col("_c.path").alias("context_path"),
         branch("_c", "integer").try_cast("bigint").alias("context_integer"), branch("_c", "decimal").try_cast("double").alias("context_decimal"), branch("_c", "string").alias("context_string"),
+        *fields,
     )

@@ -63,3 +63,22 @@ def test_one_consistent_table(spark, rows):
         (1, "a"): (True, 10, 10, None, None), (2, "a"): (False, 10, None, 10.0, None), (3, "a"): (True, 12, None, None, "12"),
         (4, "b"): (None, None, None, None, "long"), (5, "c"): (None,) * 5, (5, None): (None,) * 5,
     }
+
+
+def test_every_field_reaches_the_consistent_table(spark, tmp_path):
+    records = [
+        (1, 1, {"id": "a", "active": True, "metadata": {"tags": ["X", 1], "description": "A b"}, "parent": None, "max_model_len": 1, "unheard of": 10**20}),
+        (1, 2, {"id": "a", "active": "TRUE", "metadata": {"tags": []}, "Active": 1, "max_model_len": 2.0, "": 0}), (1, 3, {}), (1, 4, "broken"),
+    ]
+    unified(frame(spark, records + records)).write.parquet(str(tmp_path / "out"))
+    found = spark.read.parquet(str(tmp_path / "out"))
+    got = {(r.record_id, r.file_no): r.fields.asDict(recursive=True) for r in found.collect() if r.record_id < len(records)}
+    assert set(got) == {(0, 1), (1, 2), (2, 3)}
+    assert got[0, 1] == {
+        "(empty)": None, "Active": None, "active~2": {"value": "true", "boolean": True, "string": None}, "id": {"value": "a", "string": "a"},
+        "max_model_len": {"value": "1", "integer": 1, "decimal": None}, "metadata.description": {"value": "a b", "string": "A b"},
+        "metadata.tags": {"value": '["x", 1]', "array": '["X", 1]'}, "parent": {"value": None}, "unheard of": {"value": str(10**20), "integer": None},
+    }
+    assert got[1, 2]["active~2"] == {"value": "true", "boolean": None, "string": "TRUE"} and got[1, 2]["Active"] == {"value": "1", "integer": 1}
+    assert got[1, 2]["max_model_len"] == {"value": "2", "integer": None, "decimal": 2.0} and got[1, 2]["(empty)"] == {"value": "0", "integer": 0} and got[1, 2]["parent"] is None
+    assert not any(got[2, 3].values())
