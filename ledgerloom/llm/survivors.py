@@ -83,22 +83,28 @@ def surviving_fields(listings: DataFrame, authority: DataFrame, fields: list[Fie
     )
 
 
-def surviving_records(listings: DataFrame, authority: DataFrame, fields: list[Field] | None = None, *, group: str = "model_ref", key: str = "listing_id", source: str = "source_id", seen: str = "observed_at") -> DataFrame:
+def surviving_records(listings: DataFrame, authority: DataFrame, fields: list[Field] | None = None, *, group: str = "model_ref", key: str = "listing_id", source: str = "source_id", seen: str = "observed_at", trusted: bool = False) -> DataFrame:
     """One row for each group of two or more keys: the most complete record and the value that survives for each field.
 
-    `key` is the record with the most usable fields, then the best sum of priorities, then the latest,
-    then the smallest key.  Each field is a struct (value, key) of where its value came from.  The
+    `key` is the record with the most usable fields, then the latest, then the smallest key.  With
+    `trusted` the record whose source has the best priorities comes before the latest: listed for the
+    most of the fields, then the lowest sum of priorities over them.  Each field is a struct (value, key) of where its value came from.  The
     cases are those of surviving_fields; a group without a usable value has no row.
     """
     fields = listing_fields() if fields is None else fields
     usable = [F.when(f.usable, 1).otherwise(0) for f in fields]
     complete = sum(usable[1:], usable[0])
-    best = Window.partitionBy("_group").orderBy(F.col("_complete").desc(), F.col("_seen").desc_nulls_last(), "_key")
-    whole = (
-        listings.select(F.col(group).alias("_group"), F.col(key).alias("_key"), F.col(seen).alias("_seen"), complete.alias("_complete"))
-        .where("_group is not null and _key is not null")
-        .withColumn("_n", F.row_number().over(best)).where("_n = 1").select("_group", "_key", "_complete")
-    )
+    records = listings.select(
+        F.col(group).alias("_group"), F.col(key).alias("_key"), F.col(source).alias("_source"), F.col(seen).alias("_seen"), complete.alias("_complete")
+    ).where("_group is not null and _key is not null")
+    trust: list[Column] = []
+    if trusted:
+        ranks = authority.where(F.col("field_name").isin(*(f.name for f in fields))).groupBy("field_name", F.col("source_id").alias("_of")).agg(F.min("priority").alias("_priority"))
+        sums = ranks.groupBy("_of").agg(F.count("_priority").alias("_listed"), F.sum("_priority").alias("_sum"))
+        records = records.join(bounded_side(sums), F.col("_source") == F.col("_of"), "left")
+        trust = [F.coalesce("_listed", F.lit(0)).desc(), F.coalesce("_sum", F.lit(0)).asc()]
+    best = Window.partitionBy("_group").orderBy(F.col("_complete").desc(), *trust, F.col("_seen").desc_nulls_last(), "_key")
+    whole = records.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("_group", "_key", "_complete")
     each = surviving_fields(listings, authority, fields, group=group, key=key, source=source, seen=seen)
     pick = lambda name: F.max(F.when(F.col("field_name") == name, F.struct("value", F.col(key).alias("from_key"))))
     wide = each.groupBy(F.col(group).alias("_g")).agg(*(pick(f.name).alias(f"_f{i}") for i, f in enumerate(fields)))

@@ -42,3 +42,26 @@ def test_prices(spark):
     bad = ["-1", "NaN", "null", "", "free", "1.2.3", "€5", "5 EUR", "variable", "Infinity", "0x10", "x" * 10_000, None]
     df = spark.createDataFrame([(t,) for t in [*good, *bad]], "t string")
     assert {r.t: r.p for r in df.select("t", dollar_price(F.col("t")).alias("p")).collect()} == good | dict.fromkeys(bad)
+
+
+def test_trust_decides_between_records_that_are_as_complete(spark):
+    day = dt.timedelta(days=1)
+    data = [
+        ("a", 1, "good", T, 9, (8, None)), ("a", 2, "fair", T + day, 9, (8, None)), ("a", 3, "other", T + 2 * day, 9, (8, None)),
+        ("b", 4, "good", T, 9, None), ("b", 5, "other", T + day, 9, None), ("b", 6, None, T + 2 * day, 9, None),
+        ("c", 7, "good", T, None, None), ("c", 8, "other", T, 9, None), ("d", 9, "good", T, 9, None), ("d", 10, "good", T + day, 9, None),
+    ]
+    got = {r.model_ref: r.listing_id for r in surviving_records(*frames(spark, data, AUTHORITY), trusted=True).collect()}
+    assert got == {"a": 2, "b": 4, "c": 8, "d": 10}
+    assert p2_order(spark, data) == got
+
+
+def p2_order(spark, data):
+    """The same by sorting: most usable fields, priorities with 99 for unlisted, latest, smallest key."""
+    fields = ("max_input_tokens", "openrouter.context_length", "openrouter.prompt")
+    rank = lambda s: sum(min((p for f, of, p in AUTHORITY if (f, of) == (name, s)), default=99) for name in fields)
+    usable = lambda r: (r[4] is not None) + (r[5] is not None and r[5][0] is not None)
+    best = {}
+    for r in sorted(data, key=lambda r: (-usable(r), rank(r[2]), -r[3].timestamp(), r[1])):
+        best.setdefault(r[0], r[1])
+    return best
