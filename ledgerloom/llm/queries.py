@@ -18,7 +18,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_survivors(spark: SparkSession, sf: str) -> DataFrame:
-    return surviving_records(table(spark, sf, "model_listing"), table(spark, sf, "source_authority"), trusted=True)
+    return surviving_records(table(spark, sf, "model_listing"), table(spark, sf, "source_authority"), trusted=True, every_group=True)
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:

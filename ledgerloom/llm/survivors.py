@@ -83,13 +83,14 @@ def surviving_fields(listings: DataFrame, authority: DataFrame, fields: list[Fie
     )
 
 
-def surviving_records(listings: DataFrame, authority: DataFrame, fields: list[Field] | None = None, *, group: str = "model_ref", key: str = "listing_id", source: str = "source_id", seen: str = "observed_at", trusted: bool = False) -> DataFrame:
+def surviving_records(listings: DataFrame, authority: DataFrame, fields: list[Field] | None = None, *, group: str = "model_ref", key: str = "listing_id", source: str = "source_id", seen: str = "observed_at", trusted: bool = False, every_group: bool = False) -> DataFrame:
     """One row for each group of two or more keys: the most complete record and the value that survives for each field.
 
     `key` is the record with the most usable fields, then the latest, then the smallest key.  With
     `trusted` the record whose source has the best priorities comes before the latest: listed for the
     most of the fields, then the lowest sum of priorities over them.  Each field is a struct (value, key) of where its value came from.  The
-    cases are those of surviving_fields; a group without a usable value has no row.
+    cases are those of surviving_fields; a group without a usable value has no row, or with `every_group`
+    its best record with null fields.
     """
     fields = listing_fields() if fields is None else fields
     usable = [F.when(f.usable, 1).otherwise(0) for f in fields]
@@ -109,4 +110,7 @@ def surviving_records(listings: DataFrame, authority: DataFrame, fields: list[Fi
     pick = lambda name: F.max(F.when(F.col("field_name") == name, F.struct("value", F.col(key).alias("from_key"))))
     wide = each.groupBy(F.col(group).alias("_g")).agg(*(pick(f.name).alias(f"_f{i}") for i, f in enumerate(fields)))
     named = [c for i, f in enumerate(fields) for c in (F.col(f"_f{i}.value").alias(f.name.replace(".", "_")), F.col(f"_f{i}.from_key").alias(f"{f.name.replace('.', '_')}_from"))]
-    return whole.join(wide, F.col("_group") == F.col("_g")).select(F.col("_group").alias(group), F.col("_key").alias(key), F.col("_complete").alias("usable_fields"), *named)
+    if every_group:
+        keys = records.groupBy("_group").agg(F.min("_key").alias("_low"), F.max("_key").alias("_high")).where("_low <> _high")
+        whole = whole.join(keys.select(F.col("_group").alias("_several")), F.col("_group") == F.col("_several"), "left_semi")
+    return whole.join(wide, F.col("_group") == F.col("_g"), "left" if every_group else "inner").select(F.col("_group").alias(group), F.col("_key").alias(key), F.col("_complete").alias("usable_fields"), *named)

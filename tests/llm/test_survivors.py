@@ -56,6 +56,18 @@ def test_trust_decides_between_records_that_are_as_complete(spark):
     assert p2_order(spark, data) == got
 
 
+
+def test_a_group_without_usable_value_keeps_its_best_record(spark):
+    data = [
+        ("useless", 1, "other", T, None, None), ("useless", 2, "good", T, 0, (0, "NaN")), ("useless", 2, "good", T, 0, (0, "NaN")),
+        ("alone", 3, "good", T, None, None), ("alone", 3, "good", T, 5, None), ("fine", 4, "good", T, 5, None), ("fine", 5, "good", T, None, None),
+        (None, 6, "good", T, 1, None), (None, 7, "good", T, 1, None), ("keyless", 8, "good", T, 1, None), ("keyless", None, "good", T, 1, None),
+    ]
+    found = surviving_records(*frames(spark, data, AUTHORITY), trusted=True, every_group=True).collect()
+    got = {r.model_ref: (r.listing_id, r.usable_fields, r.max_input_tokens, r.max_input_tokens_from, r.openrouter_prompt) for r in found}
+    assert len(found) == 2 and got == {"useless": (2, 0, None, None, None), "fine": (4, 1, "5", 4, None)}
+
+
 def p2_order(spark, data):
     """The same by sorting: most usable fields, priorities with 99 for unlisted, latest, smallest key."""
     fields = ("max_input_tokens", "openrouter.context_length", "openrouter.prompt")
