@@ -31,16 +31,26 @@ def zero_as_null(number: Column) -> Column:
     return F.when(number != 0, number)
 
 
-def parse_date(text: Column) -> Column:
-    """A date from ISO dates, year and month, US slashes, month names or, last, a leading plausible year."""
+#: An RFC 3339 time with the ranges that Go's time.Parse checks; its day is checked on its own.
+_RFC3339 = r"^\d{4}-\d{2}-\d{2}T(?:[01]?\d|2[0-3]):[0-5]\d:[0-5]\d(?:[.,]\d+)?(?:Z|[+-](?:[01]\d|2[0-4]):(?:[0-5]\d|60))$"
+
+
+def parse_date(text: Column, *, instants: bool = False) -> Column:
+    """A date from ISO dates, year and month, US slashes, month names or, last, a leading plausible year.
+
+    With `instants` also from RFC 3339 times, whose day is the one written, in the zone written.
+    """
     t = F.trim(text)
     year = F.regexp_extract(t, r"^(\d{4})", 1).try_cast("int")
     first = lambda pattern, form: F.when(t.rlike(pattern), F.try_to_timestamp(t, F.lit(form))).cast("date")
+    written = [F.when(t.rlike(_RFC3339), F.try_to_timestamp(F.substring(t, 1, 10), F.lit("yyyy-MM-dd"))).cast("date")] if instants else []
     return F.coalesce(
         first(r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
         first(r"^\d{4}-\d{2}$", "yyyy-MM"),
+        *written,
         first(r"^\d{2}/\d{2}/\d{4}$", "MM/dd/yyyy"),
         first(r"^[A-Z][a-z]+ \d{1,2}, \d{4}$", "MMMM d, yyyy"),
+        first(r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$", "MMM d, yyyy"),
         F.when((year > 1900) & (year < 3000), F.try_to_timestamp(F.concat(year.cast("string"), F.lit("-01-01")), F.lit("yyyy-MM-dd")).cast("date")),
     )
 

@@ -507,6 +507,13 @@ def parse_dates(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("shutdown_date", S.parse_date(F.col("shutdown_date")).cast("string").alias("shutdown_day"))
 
 
+@query(None)
+def parse_dates_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole column, RFC 3339 times by their day; the SQL of parse_dates has neither them nor month names and nulls."""
+    rows = table(spark, sf, "model_snapshot").select("shutdown_date").distinct()
+    return rows.select("shutdown_date", S.parse_date(F.col("shutdown_date"), instants=True).cast("string").alias("shutdown_day"))
+
+
 @query("select o_orderkey, epoch(case when o_orderstatus = 'F' then o_orderdate else null end)::bigint a, coalesce(epoch(case when o_orderstatus = 'F' then o_orderdate end)::bigint, 0) created from orders")
 def epoch_created(spark: SparkSession, sf: str) -> DataFrame:
     known = F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate"))

@@ -22,6 +22,15 @@ def test_parse_date(spark):
     assert values(spark, texts, S.parse_date) == [d and dt.date(*d) for d in texts.values()]
 
 
+def test_parse_date_of_instants_and_short_months(spark):
+    texts = {
+        "2026-08-12T00:00:00Z": (2026, 8, 12), " 2026-08-12T23:59:59.123456789-05:00 ": (2026, 8, 12), "2026-08-12T00:30:00+09:00": (2026, 8, 12), "2024-02-29T12:00:00Z": (2024, 2, 29),
+        "2026-02-30T00:00:00Z": (2026, 1, 1), "2026-08-12T24:00:00Z": (2026, 1, 1), "2026-08-12T00:00:00": (2026, 1, 1), "2026-08-12 00:00:00Z": (2026, 1, 1), "2026-08-12T00:00:00+25:00": (2026, 1, 1),
+        "Jun 12, 2027": (2027, 6, 12), "May 1, 2027": (2027, 5, 1), "June 12, 2027": (2027, 6, 12), "Xyz 1, 2027": None, "Feb 30, 2027": None, "2026-08-12": (2026, 8, 12), "20260812": (2026, 1, 1), "": None, None: None,
+    }
+    assert values(spark, texts, lambda c: S.parse_date(c, instants=True)) == [d and dt.date(*d) for d in texts.values()]
+
+
 def test_identities(spark):
     assert values(spark, ["a/b", "a", "a/b/c", "/b", None], lambda c: S.definition_parts(c)["slug"]) == ["b", None, None, None, None]
     assert values(spark, ["a", "a:b", "a:b:c"], lambda c: S.split_variant(c)["variant"]) == ["", "b", None]
