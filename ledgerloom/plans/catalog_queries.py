@@ -596,6 +596,14 @@ def payload_records(spark: SparkSession, sf: str) -> DataFrame:
     return decode_records(listed, "payload_id", "payload", "data.endpoints", shape, limit=3).report.select("payload_id", "accepted", "truncated")
 
 
+@query(None)
+def payload_records_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole report of all envelopes, lists and objects, without a limit."""
+    rows = table(spark, sf, "endpoint_payload").select("payload_id", "payload").distinct()
+    shape = T.StructType.fromDDL("model_id string, name string, tag string")
+    return decode_records(rows, "payload_id", "payload", "data.endpoints", shape).report
+
+
 @query("""with p as (select distinct record_id, payload::json j from list_payload where json_valid(payload)), k as (select record_id, unnest(json_keys(j)) path from p)
 select record_id, path from k where path not in ('id', 'object', 'created', 'owned_by')""")
 def unknown_fields(spark: SparkSession, sf: str) -> DataFrame:
