@@ -392,6 +392,13 @@ def snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:
     return D.change_rows(changes, ["o_orderkey"]).where("path is null or path = 'status'")
 
 
+@query(None)
+def snapshot_diff_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All changes, those of the price too."""
+    changes = D.field_changes(*_versions(spark, sf), ["o_orderkey"], {"status": "o_orderstatus", "price": "o_totalprice"})
+    return D.change_rows(changes, ["o_orderkey"])
+
+
 @query(f"with {_CHANGES} select count(*) filter (change_type = 'added') added, count(*) filter (change_type = 'updated') updated, count(*) filter (change_type = 'removed') removed, count(*) total from c where change_type is not null")
 def diff_summary(spark: SparkSession, sf: str) -> DataFrame:
     return D.summary(D.field_changes(*_versions(spark, sf), ["o_orderkey"], ["o_orderstatus", "o_totalprice"]))
@@ -571,6 +578,14 @@ def split_variants(spark: SparkSession, sf: str) -> DataFrame:
     return named.select("s_suppkey", parts["base"].alias("base"), parts["variant"].alias("variant"), S.plain_decimal(F.col("s_acctbal")).alias("plain"))
 
 
+@query(None)
+def split_variants_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All suppliers, those with a whole balance too."""
+    named = table(spark, sf, "supplier").withColumn("v", F.concat("s_name", F.when(F.col("s_suppkey") % 2 == 0, ":beta").otherwise("")))
+    parts = S.split_variant(F.col("v"))
+    return named.select("s_suppkey", parts["base"].alias("base"), parts["variant"].alias("variant"), S.plain_decimal(F.col("s_acctbal")).alias("plain"))
+
+
 # Sources and exports.
 
 
