@@ -103,7 +103,8 @@ class Canon:
 
     @staticmethod
     def _pairs(word: str) -> set[str]:
-        return {word[i : i + 2] for i in range(len(word) - 1)} | {f"^{word[:1]}"}
+        """Pairs of neighbours in either order, so that a swap keeps its own pair."""
+        return {"".join(sorted(word[i : i + 2])) for i in range(len(word) - 1)} | {f"^{word[:1]}"}
 
     def _kind(self, word: str) -> str | None:
         """The kind of organisation a word stands for: spelled out, cut short or misspelled."""
@@ -144,9 +145,10 @@ class Canon:
         kept = [w for w in found if w not in _NOISE] or found
         shared = Counter(i for pair in {p for w in kept for p in self._pairs(w)} for i in self.near.get(pair, ()))
         best: dict[str, float] = {}
-        for i, n in shared.items():
+        # An edit breaks two pairs at most, so words within the edits that ALIKE allows still share one.
+        for i in shared:
             form, entry = self.forms[i]
-            if n >= 2 and (score := self._score(kept, form)) > best.get(entry, 0.0):
+            if (score := self._score(kept, form)) > best.get(entry, 0.0):
                 best[entry] = score
         order = sorted(best.items(), key=lambda x: (-x[1], x[0]))
         if not order or len(order) > 1 and order[0][1] - order[1][1] < MARGIN:
@@ -180,7 +182,12 @@ class Canon:
             return 1.0
         if w in self.kinds:
             return 0.95 if self._kind(x) == w else 0.9 if len(x) >= 2 and w.startswith(x) else 0.0
-        return 0.0 if min(len(w), len(x)) < 4 or len(w) < 5 else 1 - edits(w, x, 5) / max(len(w), len(x))
+        if min(len(w), len(x)) < 4 or len(w) < 5:
+            return 0.0
+        longer = max(len(w), len(x))
+        most = int(longer * (1 - ALIKE) + 1e-9)  # more edits than this are less than ALIKE
+        far = edits(w, x, most)
+        return 1 - far / longer if far <= most else 0.0
 
     def match(self, value: str | None) -> str | None:
         """The entry a value means, "unmatched", or null for null and blank."""

@@ -41,3 +41,10 @@ def test_table(spark, rows):
 def test_words_and_edits():
     assert words("Ça-Va_Ltd2024") == ["ca", "va", "ltdze24"] or words("Ça-Va") == ["ca", "va"]
     assert edits("abcd", "abdc") == 1 and edits("abcd", "abcd") == 0 and edits("", "abcdef", 3) == 4 and edits("kitten", "sitting") == 3
+
+
+def test_likeness_is_bounded_by_its_threshold_alone():
+    known = Canon([("lumen", "Lumen", []), ("abcde", "Abcde", []), ("long", "Interplanetarywordsmith", [])])
+    assert known._alike("interplanetarywordsmith", "intxxxxxxxxxxxxxxxxxxxx") == 0.0 and known.match("Intxxxxxxxxxxxxxxxxxxxx") == "unmatched"
+    assert known.match("Intxxxxxxxxrywordsmith") == "long"  # nine edits of 23
+    assert known.match("Lamon") == "lumen" and known.match("Badce") == "abcde" and known.match("Lamox") == "unmatched"
