@@ -34,36 +34,45 @@ def bounded_rows(df: DataFrame, most: int) -> list:
     return rows
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with checkpoint(), whose files every executor can read again.
+def _named_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``; a new folder of this machine only where that is unset in a local session."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder that all executors share")
+    return tempfile.mkdtemp(prefix="ledgerloom-")
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset
-    (a local session, as in tests) a folder of this machine is taken.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with checkpoint(), whose files every executor can read again."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="ledgerloom-checkpoint-"))
+        context.setCheckpointDir(_named_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+#: A scan above so many bytes on disk is left where it is.
+SPREAD_BYTES = 256 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """A scan with too few partitions to keep the cores busy, dealt out to as many as there are cores.
+    """A small scan with too few partitions to keep the cores busy, dealt out to as many as there are cores.
 
-    For inputs of work that is heavy for each row. A large table has partitions enough and isn't moved.
+    For inputs of work that is heavy for each row.  Only a scan of at most `SPREAD_BYTES` is moved; a
+    larger one is split by ``spark.sql.files.maxPartitionBytes`` where it is read.
     """
     if not hasattr(df, "_jdf"):  # a remote session doesn't tell
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    cores, run = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution()
+    if run.optimizedPlan().stats().sizeInBytes().bitLength() > SPREAD_BYTES.bit_length():
+        return df
+    return df.repartition(cores) if run.toRdd().getNumPartitions() < cores else df
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below ``spark.checkpoint.dir``, or of this machine where that is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        return tempfile.mkdtemp(prefix="ledgerloom-")
+    """A new folder that driver and executors share, below the one of `_named_folder`."""
+    named = _named_folder(spark)
     if "://" in named and not named.startswith("file://"):
         raise ValueError(f"{named} is no folder that files can be written to without Spark")
     path = os.path.join(named.removeprefix("file://"), f"ledgerloom-{uuid.uuid4().hex}")
