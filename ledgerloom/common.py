@@ -65,7 +65,7 @@ def spread(df: DataFrame) -> DataFrame:
     if not hasattr(df, "_jdf"):  # a remote session doesn't tell
         return df
     cores, run = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution()
-    if run.optimizedPlan().stats().sizeInBytes().bitLength() > SPREAD_BYTES.bit_length():
+    if int(run.optimizedPlan().stats().sizeInBytes()) > SPREAD_BYTES:
         return df
     return df.repartition(cores) if run.toRdd().getNumPartitions() < cores else df
 
