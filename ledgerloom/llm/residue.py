@@ -38,6 +38,8 @@ _LONG, _STEP = 60, 30
 _NEAR = 8
 #: Bytes of text that are worked on at once.
 _CHUNK = 1 << 20
+#: Windows whose features are made at once when the classifier is fitted, so that the driver holds little.
+_ROWS = 5_000
 
 _QUOTED = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|„[^“”\n]*[“”]|«\s[^»\n]*\s»|‹\s[^›\n]*\s›")
 _QUOTE = re.compile("[\"“„«‹]")
@@ -230,8 +232,9 @@ class Cut:
     def label(self, window: int) -> int:
         """The weak label of a window; what surrounds a mark in reported speech or a question is no residue."""
         kind = cue(self.text(window))
-        if kind == "phrase" and self.inner()[window]:
-            kind = cue(self._text(self.outer[0][window], self.outer[1][window]))
+        first, last = self.outer[0][window], self.outer[1][window]
+        if kind == "phrase" and (first < self.first[window] or last > self.last[window]):
+            kind = cue(self._text(first, last))
         return _LABELS[kind]
 
     def inner(self) -> np.ndarray:
@@ -358,25 +361,28 @@ def segments(text: str) -> list[str]:
     return [found.text(i) for i in np.flatnonzero(~found.inner())]
 
 
-def labelled(text: str) -> tuple[list[str], list[int | None]]:
-    """The windows of a text and their weak labels; null where the surroundings of a mark say the same in fewer words."""
-    found = cut([_prepared(text)])
+def labelled(texts: list[str]) -> tuple[Cut, list[int | None]]:
+    """The windows of texts and their weak labels; null where the surroundings of a mark say the same in fewer words."""
+    found = cut([_prepared(t) for t in texts])
     labels: list[int | None] = [found.label(i) for i in range(len(found.first))]
     inner = found.inner()
     said = {int(found.outer[0][i]) for i in np.flatnonzero(inner) if labels[i]}
     for i in np.flatnonzero(~inner):
         if labels[i] and int(found.first[i]) in said:
             labels[i] = None
-    return [found.text(i) for i in range(len(found.first))], labels
+    return found, labels
 
 
 def _prepared(text: str) -> str:
     return "\n".join(map(quotes_removed, text.split("\n"))) if _QUOTE.search(text) else text
 
 
-def vocabulary(found: Cut, least: int = 3, frequent: int = 200) -> bytes:
-    """For each hashed word 1 where at least `least` windows hold it and 2 for the most frequent. Other words, mostly names, count as one word."""
-    counts = np.bincount((found.folded[found.kind == _LOWER] & _MASK).astype(np.int64), minlength=DIMENSIONS)
+def vocabulary(parts: list[str], least: int = 3, frequent: int = 200) -> bytes:
+    """For each hashed word 1 where it occurs at least `least` times and 2 for the most frequent. Other words, mostly names, count as one word."""
+    counts = np.zeros(DIMENSIONS, np.int64)
+    for at in range(0, len(parts), _ROWS):
+        found = cut(parts[at : at + _ROWS], whole=True)
+        counts += np.bincount((found.folded[found.kind == _LOWER] & _MASK).astype(np.int64), minlength=DIMENSIONS)
     flags = (counts >= least).astype(np.uint8)
     often = np.argsort(-counts, kind="stable")[:frequent]
     flags[often[counts[often] >= least]] = 2
@@ -530,10 +536,13 @@ def labelled_sample(documents: DataFrame, *, key: str = "doc_id", text: str = "t
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                parts, labels = labelled(t)
-                any_ = any(labels)
-                rows += [(s, i, len(parts), p, y) for i, (p, y) in enumerate(zip(parts, labels)) if y or y == 0 and not any_]
+            texts, sources = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for at in range(0, len(texts), 100):
+                found, labels = labelled(texts[at : at + 100])
+                places, counts = numbered(found.owner)
+                positive = {int(found.owner[i]) for i, y in enumerate(labels) if y}
+                kept = [i for i, y in enumerate(labels) if y or y == 0 and int(found.owner[i]) not in positive]
+                rows += [(sources[at + int(found.owner[i])], int(places[i]), int(counts[i]), found.text(i), labels[i]) for i in kept]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["source", "place", "count", "segment", "label"])
 
@@ -545,28 +554,26 @@ def train(sample: pa.Table) -> Classifier:
     _, places, counts, parts, labels = sample.columns
     places, counts, labels = places.to_numpy(), counts.to_numpy(), labels.to_numpy()
     parts = parts.to_pylist()
-    found = cut(parts, whole=True)
-    if not len(found.first):
-        return Classifier(np.zeros(DIMENSIONS, np.float32), -3.0, bytes(DIMENSIONS))
-    known = vocabulary(found)
-    own = found.owner
-    place, count, label = places[own], counts[own], labels[own]
+    known = vocabulary(parts)
+    everything = np.arange(len(parts))
     # Short speech once more with its names hidden, so that names of other texts don't tell.
-    short = np.array([len(parts[i]) < 60 for i in own]) & (label == 0)
-    rows, sizes, said = [], [], []
-    for blind, chosen in ((False, np.arange(len(own))), (True, np.flatnonzero(short))):
-        slots, table = features(found, place, count, known, blind)
-        wide = found.last - found.first
-        owner = np.repeat(np.arange(len(own)), wide)
-        flat = np.concatenate((slots.ravel(), table.ravel()))
-        of = np.concatenate((np.repeat(owner, _PER_TOKEN), np.repeat(np.arange(len(own)), table.shape[1])))
-        keep = flat != _NONE
-        if blind:
-            keep &= np.isin(of, chosen)
-        order = np.argsort(of[keep], kind="stable")
-        rows.append(flat[keep][order])
-        sizes.append(np.bincount(of[keep], minlength=len(own))[chosen])
-        said.append(label[chosen])
+    short = everything[np.fromiter((len(p) < 60 for p in parts), bool, len(parts)) & (labels == 0)]
+    rows, sizes, said = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for blind, chosen in ((False, everything), (True, short)):
+        for at in range(0, len(chosen), _ROWS):
+            some = chosen[at : at + _ROWS]
+            found = cut([parts[i] for i in some], whole=True)
+            if not len(found.first):
+                continue
+            own = some[found.owner]
+            slots, table = features(found, places[own], counts[own], known, blind)
+            flat = np.concatenate((slots.ravel(), table.ravel())).astype(np.int32)
+            of = np.concatenate((np.repeat(np.arange(len(own)), (found.last - found.first) * _PER_TOKEN), np.repeat(np.arange(len(own)), table.shape[1])))
+            keep = flat != _NONE
+            flat, of = flat[keep], of[keep]
+            rows.append(flat[np.argsort(of, kind="stable")])
+            sizes.append(np.bincount(of, minlength=len(own)))
+            said.append(labels[own])
     return fit(np.concatenate(rows), np.concatenate(sizes), np.concatenate(said), known)
 
 
