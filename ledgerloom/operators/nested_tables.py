@@ -1,13 +1,15 @@
 """Deeply nested semi-structured records to related flat tables.
 
-A merged schema is inferred over all records, then each array level becomes a child table that
-carries the surrogate key of its parent and the element's ordinal.
+A merged schema is inferred over all records, at any depth, then each array level becomes a child
+table that carries the surrogate key of its parent and the element's ordinal.  An object whose member
+names are data becomes a child table too, with a row for each member and its name.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -16,25 +18,106 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _LOOKS_LIKE_JSON = r"^\s*[\[{]"
+#: The table of the elements of records that are arrays, and the column with the name of a map's member.
+LIST, MEMBER = "[]", "member_name"
+
+
+#: An object with more member names than this over all records is a map whose names are data.
+MOST_MEMBERS = 1000
 
 
 @dataclass
 class Node:
-    """A path of the merged schema: the shapes its values take, its members, its elements."""
+    """A path of the merged schema: the shapes its values take, its members, its elements.
+
+    A map has no members; its values are elements.
+    """
 
     shapes: set[str] = field(default_factory=set)
     members: dict[str, Node] = field(default_factory=dict)
     element: Node | None = None
 
-    def at(self, path: list) -> Node:
-        node = self
-        for step in path:
-            if step is None:
-                node.element = node.element or Node()
-                node = node.element
-            else:
-                node = node.members.setdefault(step, Node())
-        return node
+    @property
+    def is_map(self) -> bool:
+        return "map" in self.shapes
+
+    def member(self, name: str, most: int) -> Node:
+        """The node of a member; beyond `most` names the object turns into a map."""
+        if self.is_map:
+            return self.item()
+        found = self.members.get(name)
+        if found is None:
+            if len(self.members) >= most:
+                self.to_map(most)
+                return self.item()
+            found = self.members[name] = Node()
+        return found
+
+    def item(self) -> Node:
+        if self.element is None:
+            self.element = Node()
+        return self.element
+
+    def to_map(self, most: int) -> None:
+        self.shapes.add("map")
+        inner, self.members = self.members, {}
+        for child in inner.values():
+            self.item().join(child, most)
+
+    def join(self, other: Node, most: int) -> None:
+        """Take in what another node of the same path has met."""
+        open_ = [(self, other)]
+        while open_:
+            mine, theirs = open_.pop()
+            if theirs.is_map and not mine.is_map:
+                mine.to_map(most)
+            mine.shapes |= theirs.shapes
+            open_ += [(mine.member(name, most), child) for name, child in theirs.members.items()]
+            if theirs.element is not None:
+                open_.append((mine.item(), theirs.element))
+
+    def add(self, value: object, most: int) -> None:
+        """Take in one value."""
+        open_ = [(self, value)]
+        while open_:
+            node, value = open_.pop()
+            kind = kind_of(value)
+            if kind == "string" and _embedded(value):
+                ok, inner = read_json(value)
+                if ok:
+                    node.shapes.add("embedded")
+                    value, kind = inner, kind_of(inner)
+            node.shapes.add(kind)
+            if kind == "object":
+                open_ += [(node.member(k, most), v) for k, v in value.items()]
+            elif kind == "array":
+                item = node.item() if value else None
+                open_ += [(item, v) for v in value]
+
+    def lines(self) -> list[list]:
+        """The node and all below it as [place of the parent, name or null for an element, shapes], parents first."""
+        found: list[list] = []
+        open_: list[tuple[int, str | None, Node]] = [(-1, None, self)]
+        while open_:
+            parent, name, node = open_.pop()
+            found.append([parent, name, sorted(node.shapes)])
+            at = len(found) - 1
+            open_ += [(at, k, child) for k, child in node.members.items()]
+            if node.element is not None:
+                open_.append((at, None, node.element))
+        return found
+
+    @staticmethod
+    def read(lines: list[list]) -> Node:
+        nodes: list[Node] = []
+        for parent, name, shapes in lines:
+            node = Node(set(shapes))
+            if parent >= 0 and name is None:
+                nodes[parent].element = node
+            elif parent >= 0:
+                nodes[parent].members[name] = node
+            nodes.append(node)
+        return nodes[0]
 
 
 def _reject(constant: str) -> None:
@@ -51,80 +134,62 @@ def read_json(text: str | None) -> tuple[bool, object]:
         return False, None
 
 
-def kind_of(value: object) -> str:
-    if isinstance(value, bool):
-        return "boolean"
-    return {dict: "object", list: "array", str: "string", type(None): "null"}.get(type(value), "number")
+_KINDS = {dict: "object", list: "array", str: "string", type(None): "null", bool: "boolean"}
 
 
-def shapes(text: str | None, depth: int = 24) -> Iterator[tuple[str, str]]:
-    """The distinct (path as JSON array, shape) of one record; null in a path stands for any element.
+def kind_of(value: object) -> str:
+    return _KINDS.get(type(value), "number")
 
-    JSON held as text has the shape "embedded" and that of what it holds.
-    """
-    ok, value = read_json(text)
-    open_: list[tuple[tuple, object]] = [((), value)] if ok else []
-    while open_:
-        path, value = open_.pop()
-        kind = kind_of(value)
-        if kind == "string" and re.match(_LOOKS_LIKE_JSON, value):
-            ok, inner = read_json(value)
-            if ok:
-                yield json.dumps(path), "embedded"
-                value, kind = inner, kind_of(inner)
-        yield json.dumps(path), kind
-        if len(path) < depth:
-            if kind == "object":
-                open_ += [((*path, k), v) for k, v in value.items()]
-            elif kind == "array":
-                open_ += [((*path, None), v) for v in value]
+
+def _embedded(text: str) -> bool:
+    """Whether a text looks like JSON of an object or array."""
+    return text[:1] in "[{" and text != "" or text[:1].isspace() and text.lstrip()[:1] in ("[", "{")
 
 
-def infer(payloads: DataFrame, column: str, *, most_members: int = 1000) -> Node:
-    """The merged schema of all JSON texts of `column`, in one pass.
+def infer(payloads: DataFrame, column: str, *, most_members: int = MOST_MEMBERS) -> Node:
+    """The merged schema of all JSON texts of `column`, in one pass over the payloads.
 
-    Each partition hands on only the distinct paths and shapes it has met, so what reaches the driver
-    is bounded by the number of paths.  An object with more than `most_members` member names is taken
-    for a map with data as keys, and stays one JSON text.
+    Each partition hands on one merged schema, one task merges these, and the driver receives one.
+    An object with more than `most_members` member names is a map with data as names, in a partition
+    or when they are merged; from then on its values share one node.  So a node never has more members
+    than that, wherever it is held, whatever the data.
     """
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[tuple[str, str]] = set()
+        root = Node()
         for batch in batches:
-            for text in batch.column(0):
-                fresh = set(shapes(text.as_py())) - found
-                if fresh:
-                    found |= fresh
-                    paths, kinds = zip(*fresh)
-                    yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(kinds)], ["path", "shape"])
+            for text in batch.column(0).to_pylist():
+                ok, value = read_json(text)
+                if ok:
+                    root.add(value, most_members)
+        yield pa.RecordBatch.from_arrays([pa.array([json.dumps(root.lines())])], ["schema"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root = Node()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                root.join(Node.read(json.loads(text)), most_members)
+        yield pa.RecordBatch.from_arrays([pa.array([json.dumps(root.lines())])], ["schema"])
 
+    parts = payloads.select(column).mapInArrow(seen, "schema string")
     root = Node()
-    for path, shape in payloads.select(column).mapInArrow(seen, "path string, shape string").distinct().collect():
-        root.at(json.loads(path)).shapes.add(shape)
-    if root.members:  # a record that is no object has no members to add to the root's
-        root.element = None
-    _merge(root, most_members)
-    return root
-
-
-def _merge(node: Node, most_members: int) -> None:
-    """Where arrays and objects meet, an object is an array of one, so its members join the elements'."""
-    if len(node.members) > most_members:
-        node.members = {}
-    if node.element and node.members:
-        _join(node.element, Node({"object"}, node.members))
-        node.members = {}
-    for child in [*node.members.values(), *([node.element] if node.element else [])]:
-        _merge(child, most_members)
+    for row in parts.repartition(1).mapInArrow(merged, "schema string").collect():
+        root.join(Node.read(json.loads(row.schema)), most_members)
+    return _settled(root, most_members)
 
 
-def _join(left: Node, right: Node) -> None:
-    left.shapes |= right.shapes
-    if right.element:
-        left.element = left.element or Node()
-        _join(left.element, right.element)
-    for name, child in right.members.items():
-        _join(left.members.setdefault(name, Node()), child)
+def _settled(root: Node, most_members: int) -> Node:
+    """Where arrays and objects meet below the root, an object is an array of one, so its members join the elements'."""
+    open_ = [root]
+    while open_:
+        node = open_.pop()
+        if node is not root and node.element is not None and node.members:
+            node.element.join(Node({"object"}, node.members), most_members)
+            node.members = {}
+        open_ += node.members.values()
+        if node.element is not None:
+            open_.append(node.element)
+    return root
 
 
 def _is_container(value: Column) -> Column:
@@ -145,11 +210,14 @@ def as_text(value: Column) -> Column:
 def elements(value: Column, node: Node, separator: str | None = ",") -> Column:
     """A variant as array of variants, whatever shape it was delivered in.
 
-    An array stays; a text is split at `separator` and trimmed; an object or another scalar is an
-    array of one; null and a missing member are null.  Shapes that `node` hasn't met cost nothing.
+    An array stays; a text is split at `separator` and trimmed; a map gives its values; an object or
+    another scalar is an array of one; null and a missing member are null.  Shapes that `node` hasn't
+    met cost nothing.
     """
     array = F.try_variant_get(value, "$", "array<variant>")
-    others = node.shapes - {"array", "null", "embedded"}
+    if node.is_map:
+        array = F.coalesce(array, F.map_values(F.try_variant_get(value, "$", "map<string,variant>")))
+    others = node.shapes - {"array", "null", "embedded", "map"} - ({"object"} if node.is_map else set())
     if not others:
         return array
     other = F.array(value)
@@ -173,27 +241,32 @@ class Tables:
     root: DataFrame
     separator: str | None = ","
 
-    def _walk(self, node: Node, name: str = "", base: str = "_v", path: str = "$") -> Iterator[tuple[str, Node, str, str]]:
-        """(dotted name, node, embedding, path) of each scalar and array below a row.
+    def _walk(self, node: Node, root: bool = False) -> Iterator[tuple[str, Node, str, str]]:
+        """(dotted name, node, embedding, path) of each scalar, array and map below a row.
 
         A path leads from the row's variant, or from a member that holds JSON as text; such a member
         is the embedding ``base:path`` that has to be read first.
         """
-        if "embedded" in node.shapes and path != "$":
-            base, path = f"{base}:{path}", "$"
-        if node.element is None and node.members:
-            for m, child in sorted(node.members.items()):
-                yield from self._walk(child, f"{name}.{m}" if name else m, base, path + _step(m))
-        else:
-            yield name, node, base, path
+        open_ = [("", node, "_v", "$")]
+        while open_:
+            name, node, base, path = open_.pop()
+            if "embedded" in node.shapes and path != "$":
+                base, path = f"{base}:{path}", "$"
+            if root and not name and node.element is not None:
+                yield LIST, node, base, path
+            elif node.element is not None or not node.members:
+                yield name, node, base, path
+                continue
+            children = sorted(node.members.items(), reverse=True)
+            open_ += [(f"{name}.{m}" if name else m, child, base, path + _step(m)) for m, child in children]
 
     def paths(self) -> list[str]:
-        """The paths of all array tables, parents first."""
+        """The paths of all array and map tables, parents first."""
         found: list[str] = []
-        open_ = [("", self.schema)]
+        open_ = deque([("", self.schema)])
         while open_:
-            prefix, node = open_.pop(0)
-            for name, child, _, _ in self._walk(node):
+            prefix, node = open_.popleft()
+            for name, child, _, _ in self._walk(node, not prefix):
                 if child.element is not None and name:
                     found.append(f"{prefix}.{name}" if prefix else name)
                     open_.append((found[-1], child.element))
@@ -219,26 +292,78 @@ class Tables:
         best = max((p for p in ["", *self.paths()] if p != path and (not p or path.startswith(f"{p}."))), key=len)
         above, node = self._rows(best)
         name = path[len(best) + 1 :] if best else path
-        wanted = [w for w in self._walk(node) if w[0] == name and w[1].element is not None]
+        wanted = [w for w in self._walk(node, not best) if w[0] == name and w[1].element is not None]
         if not wanted:
             raise KeyError(path)
         staged, (value,) = self._staged(above, wanted)
         child = wanted[0][1]
         staged = staged.select(F.col("row_key").alias("parent_key"), value.alias("_raw"))
-        staged = staged.select("parent_key", elements(F.col("_raw"), child, self.separator).alias("_all"))
+        # A record that is no array isn't one in its own place either: its members are in the root's row.
+        shape = Node({"array"} | (child.shapes & {"map"})) if name == LIST else child
+        values = elements(F.col("_raw"), shape, self.separator)
+        if child.is_map:
+            names = F.map_keys(F.try_variant_get("_raw", "$", "map<string,variant>"))
+            values = F.arrays_zip(values.alias("e"), F.coalesce(names, F.array().cast("array<string>")).alias("m"))
+        else:
+            values = F.transform(values, lambda e: F.struct(e.alias("e")))
+        staged = staged.select("parent_key", values.alias("_all"))
         # The outer form keeps the optimizer from testing the array's size in a filter that reads the text again.
-        inner = staged.select("parent_key", F.posexplode_outer("_all").alias("ordinal", "_e")).where(F.col("_e").isNotNull() & ~F.is_variant_null("_e"))
-        element = unwrap(F.col("_e")) if "embedded" in child.element.shapes else F.col("_e")
+        inner = staged.select("parent_key", F.posexplode_outer("_all").alias("ordinal", "_x")).where(F.col("_x.e").isNotNull() & ~F.is_variant_null("_x.e"))
+        element = unwrap(F.col("_x.e")) if "embedded" in child.element.shapes else F.col("_x.e")
         key = F.concat("parent_key", F.lit(f"/{name}["), F.col("ordinal").cast("string"), F.lit("]"))
-        return inner.select(key.alias("row_key"), "parent_key", "ordinal", element.alias("_v")), child.element
+        named = [F.col("_x.m").alias(MEMBER)] if child.is_map else []
+        return inner.select(key.alias("row_key"), "parent_key", "ordinal", *named, element.alias("_v")), child.element
 
     def table(self, path: str = "") -> DataFrame:
-        """(row_key, parent_key, ordinal, the row's scalar members as text by dotted name)."""
+        """(row_key, parent_key, ordinal, the row's scalar members as text by dotted name); a map's table has the member's name as `MEMBER`."""
         rows, node = self._rows(path)
-        wanted = [w for w in self._walk(node) if w[1].element is None and not (w[0] and w[1].shapes <= {"object", "null"} and w[1].members)]
+        wanted = [w for w in self._walk(node) if w[1].element is None]
         staged, values = self._staged(rows, wanted)
         named = [as_text(v).alias(w[0] or "value") for w, v in zip(wanted, values)]
-        return staged.select("row_key", *(["parent_key", "ordinal"] if path else []), *named)
+        return staged.select("row_key", *(["parent_key", "ordinal"] if path else []), *(c for c in (MEMBER,) if c in rows.columns), *named)
+
+    def leaves(self, wanted: dict[str, tuple[str, str]]) -> DataFrame:
+        """(parent_key, leaf, ordinal, text) of chosen scalar members of several child tables of the root.
+
+        `wanted` names each leaf by (path of the table, dotted name of the member).  All of them come
+        from one reading of the payload: an array with an entry for each leaf of each element, exploded
+        once.  A path or member that the schema hasn't met gives no rows.
+        """
+        by_path: dict[str, dict[str, str]] = {}
+        for leaf, (path, name) in wanted.items():
+            by_path.setdefault(path, {})[leaf] = name
+        apart = [p for p in by_path if any(p.startswith(f"{q}.") for q in self.paths())]
+        found = [self.table(p).select("parent_key", F.lit(leaf).alias("leaf"), "ordinal", F.col(f"`{n}`").alias("text")) for p in apart for leaf, n in by_path[p].items() if p in self.paths() and n in self.table(p).columns]
+        arrays = [w for w in self._walk(self.schema, True) if w[0] in by_path and w[0] not in apart and w[1].element is not None]
+        if arrays:
+            staged, values = self._staged(self.root, arrays)
+            parts = []
+            for (path, node, _, _), value in zip(arrays, values):
+                inner = list(self._walk(node.element))
+                chosen = [(leaf, *next(((b, p) for n, c, b, p in inner if (n or "value") == name and c.element is None), (None, None))) for leaf, name in by_path[path].items()]
+                chosen = [c for c in chosen if c[1] is not None]
+                if any(b.count(":") for _, b, _ in chosen):  # JSON as text below an element needs a stage of its own
+                    found += [self.table(path).select("parent_key", F.lit(leaf).alias("leaf"), "ordinal", F.col(f"`{by_path[path][leaf]}`").alias("text")) for leaf, _, _ in chosen]
+                    continue
+                parts += [F.transform(elements(value, node, self.separator), self._entry(node.element, leaf, p)) for leaf, _, p in chosen]
+            if parts:
+                every = F.flatten(F.array(*(F.coalesce(p, F.array().cast("array<struct<leaf:string,ordinal:int,text:string>>")) for p in parts)))
+                staged = staged.select(F.col("row_key").alias("parent_key"), F.explode_outer(every).alias("_l"))
+                found.append(staged.select("parent_key", "_l.leaf", "_l.ordinal", "_l.text"))
+        if not found:
+            return self.root.sparkSession.createDataFrame([], "parent_key string, leaf string, ordinal int, text string")
+        rows = found[0]
+        for more in found[1:]:
+            rows = rows.unionAll(more)
+        return rows.where("text is not null")
+
+    @staticmethod
+    def _entry(node: Node, leaf: str, path: str):  # noqa: ANN205
+        def entry(element: Column, ordinal: Column) -> Column:
+            value = unwrap(element) if "embedded" in node.shapes else element
+            return F.struct(F.lit(leaf).alias("leaf"), ordinal.cast("int").alias("ordinal"), F.try_variant_get(value, path, "string").alias("text"))
+
+        return entry
 
     def all(self) -> dict[str, DataFrame]:
         return {p: self.table(p) for p in ["", *self.paths()]}
@@ -258,6 +383,7 @@ def flatten(df: DataFrame, key: str, payload: str, *, separator: str | None = ",
     - a member that is an array in some records is one in all: an object or a number is an array of
       one, a text is split at `separator` (None: not split), null and missing have no rows;
     - a null element has no row but takes an ordinal, and so does a repeated element;
+    - a record that is itself an array has a root row, and its elements are the table ``[]``;
     - scalars are text, so members of different kinds meet; missing and null members are null;
     - repeated rows count once; an empty table gives an empty root and no child.
 
@@ -290,21 +416,13 @@ def endpoint_members(payloads: DataFrame, *, schema: Node | None = None) -> Data
     place of the input modalities counts.  A missing path gives no rows.
     """
     tables = flatten(payloads, "payload_id", "payload", schema=schema, distinct=False)
-    known = set(tables.paths())
-    found = []
-    for path, column, field_name, value in (
-        ("data.endpoints", "provider_name", "provider_name", F.nullif(F.trim("_x"), F.lit(""))),
-        ("data.endpoints", "context_length", "context_length", whole_number(F.col("_x"))),
-        ("data.architecture.input_modalities", "value", "input_modality", F.nullif(F.trim("_x"), F.lit(""))),
-    ):
-        if path in known and column in (t := tables.table(path)).columns:
-            t = t.select("parent_key", "ordinal", F.col(f"`{column}`").alias("_x"))
-            found.append(t.select(F.lit(field_name).alias("field_name"), F.col("parent_key"), F.col("ordinal").alias("item_pos"), value.alias("found_value")))
-    if not found:
-        return payloads.sparkSession.createDataFrame([], "payload_id bigint, field_name string, item_pos int, found_value string")
-    rows = found[0]
-    for more in found[1:]:
-        rows = rows.unionAll(more)
+    found = tables.leaves({
+        "provider_name": ("data.endpoints", "provider_name"),
+        "context_length": ("data.endpoints", "context_length"),
+        "input_modality": ("data.architecture.input_modalities", "value"),
+    })
+    value = F.when(F.col("leaf") == "context_length", whole_number(F.col("text"))).otherwise(F.nullif(F.trim("text"), F.lit("")))
     # The root's key is the start of any key below it, however deep the member was delivered.
     key = F.substring_index("parent_key", "/", 1).try_cast("bigint").alias("payload_id")
-    return rows.where("found_value is not null").select(key, "field_name", "item_pos", "found_value").distinct()
+    rows = found.select(key, F.col("leaf").alias("field_name"), F.col("ordinal").alias("item_pos"), value.alias("found_value"))
+    return rows.where("found_value is not null").distinct()

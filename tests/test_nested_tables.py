@@ -1,6 +1,6 @@
 import json
 
-from ledgerloom.operators.nested_tables import endpoint_members, flatten, whole_number
+from ledgerloom.operators.nested_tables import endpoint_members, flatten, infer, whole_number
 from pyspark.sql import functions as F
 
 SCHEMA = "payload_id bigint, payload string, row_key string, ordinal int"
@@ -59,3 +59,40 @@ def test_whole_numbers(spark):
     cases = {"131072": "131072", "131072.0": "131072", "1.31072e5": "131072", "131,072": "131072", " 7 ": "7", "1.5": None, "x": None, "": None, None: None}
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     assert {r.t: r.n for r in df.select("t", whole_number(F.col("t")).alias("n")).collect()} == cases
+
+
+def test_forty_levels(spark, rows):
+    record = {"n": 40, "leaf": "bottom"}
+    for level in range(39, 0, -1):
+        record = {"n": level, "kids": [{"skip": level}, record]}
+    tables = flatten(frame(spark, [(1, record)]), "payload_id", "payload")
+    deepest = ".".join(["kids"] * 39)
+    assert deepest in tables.paths() and len(tables.paths()) == 39
+    flat = {"n": 0, "deep": {}}
+    inner = flat["deep"]
+    for level in range(60):
+        inner["d"] = inner = {"level": level}
+    table = flatten(frame(spark, [(1, flat)]), "payload_id", "payload").table()
+    assert [r[f"deep{'.d' * 60}.level"] for r in table.collect()] == ["59"]
+    fifth = tables.table(".".join(["kids"] * 5))
+    assert rows(fifth.select("ordinal", "n", "skip")) == sorted([(0, None, "5"), (1, "6", None)], key=repr)
+
+
+def test_members_that_are_data(spark):
+    data = [(i, {"kind": "m", "by_name": {f"n{i}-{j}": {"size": j, "tags": ["a", "b"]} for j in range(50)}}) for i in range(100)]
+    schema = infer(frame(spark, data), "payload")
+    assert schema.members["by_name"].is_map and not schema.members["by_name"].members and len(schema.lines()) < 10
+    tables = flatten(frame(spark, data), "payload_id", "payload", schema=schema)
+    assert tables.paths() == ["by_name", "by_name.tags"]
+    found = tables.table("by_name").collect()
+    assert len(found) == 5000 and {(r.parent_key, r.member_name, r.size) for r in found} == {(str(i), f"n{i}-{j}", str(j)) for i in range(100) for j in range(50)}
+    assert tables.table("by_name.tags").count() == 10_000
+
+
+def test_roots_of_both_shapes(spark, rows):
+    tables = flatten(frame(spark, [(1, {"id": "a", "xs": [1]}), (2, [{"id": "b"}, None, {"id": "c", "xs": [2, 3]}]), (3, "7")]), "payload_id", "payload")
+    assert tables.paths() == ["[]", "xs", "[].xs"]
+    assert rows(tables.table("[]").select("parent_key", "ordinal", "id")) == [("2", 0, "b"), ("2", 2, "c")]
+    assert rows(tables.table("[].xs").select("parent_key", "value")) == [("2/[][2]", "2"), ("2/[][2]", "3")]
+    assert rows(tables.table("xs").select("parent_key", "value")) == [("1", "1")]
+    assert rows(tables.table().select("row_key", "id")) == [("1", "a"), ("2", None), ("3", None)]
