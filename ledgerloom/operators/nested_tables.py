@@ -317,7 +317,7 @@ class Tables:
     def table(self, path: str = "") -> DataFrame:
         """(row_key, parent_key, ordinal, the row's scalar members as text by dotted name); a map's table has the member's name as `MEMBER`."""
         rows, node = self._rows(path)
-        wanted = [w for w in self._walk(node) if w[1].element is None]
+        wanted = [w for w in self._walk(node, not path) if w[1].element is None]
         staged, values = self._staged(rows, wanted)
         named = [as_text(v).alias(w[0] or "value") for w, v in zip(wanted, values)]
         return staged.select("row_key", *(["parent_key", "ordinal"] if path else []), *(c for c in (MEMBER,) if c in rows.columns), *named)
