@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 #: English month names by their first three letters.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
-_ISO = r"^\d{4}-\d{2}-\d{2}(?:[T ].*)?$"
-_YEAR_FIRST = r"^(\d{4})([-/.]?)(\d{1,2})\2(\d{1,2})(?:[T ].*)?$"
-_MONTH_FIRST = r"^(?i)([a-z]{3})[a-z]*\.? (\d{1,2})(?:st|nd|rd|th)?,? (\d{4})$"
-_DAY_FIRST = r"^(?i)(\d{1,2})(?:st|nd|rd|th)?[ -]([a-z]{3})[a-z]*\.?,?[ -](\d{4})$"
+_ISO = r"^\s*\d{4}-\d{2}-\d{2}(?:[T\s].*)?$"
+_YEAR_FIRST = r"^\s*(\d{4})([-/.]?)(\d{1,2})\2(\d{1,2})(?:[T\s].*)?$"
+_MONTH_FIRST = r"^(?i)\s*([a-z]{3})[a-z]*\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})\s*$"
+_DAY_FIRST = r"^(?i)\s*(\d{1,2})(?:st|nd|rd|th)?(?:\s+|-)([a-z]{3})[a-z]*\.?,?(?:\s+|-)(\d{4})\s*$"
 
 
 def month_number(name: Column) -> Column:
@@ -32,13 +32,13 @@ def calendar_day(text: Column) -> Column:
     behind a ``T`` or blank, which is ignored), ``Aug 12, 2026``, ``August 12 2026`` and
     ``12 Aug 2026``.  Days that the calendar lacks are unreadable.
     """
-    t = F.trim(F.regexp_replace(text, r"\s+", " "))
+    t = F.trim(text)
     first = F.split(F.regexp_replace(t, _YEAR_FIRST, "$1|$3|$4"), r"\|")
     month_first = F.split(F.regexp_replace(t, _MONTH_FIRST, "$3|$1|$2"), r"\|")
     day_first = F.split(F.regexp_replace(t, _DAY_FIRST, "$3|$2|$1"), r"\|")
     named = lambda p: _day(p.getItem(0), month_number(p.getItem(1)).cast("string"), p.getItem(2))
     return (
-        F.when(t.rlike(_ISO), F.substring(t, 1, 10).try_cast("date"))
+        F.when(t.rlike(_ISO), F.substring(F.ltrim(t), 1, 10).try_cast("date"))
         .when(t.rlike(_YEAR_FIRST), _day(first.getItem(0), first.getItem(1), first.getItem(2)))
         .when(t.rlike(_MONTH_FIRST), named(month_first))
         .when(t.rlike(_DAY_FIRST), named(day_first))

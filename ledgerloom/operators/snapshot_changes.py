@@ -27,7 +27,7 @@ def snapshot_changes(
     key: str = "id",
     received: str = "received_at",
     compared: dict[str, Column],
-    chunk_rows: int = 64,
+    chunk_rows: int = 16,
     slice_rows: int = 200_000,
 ) -> DataFrame:
     """Rows (feed, number, key, change_kind) of every snapshot against the one before it.
@@ -45,11 +45,13 @@ def snapshot_changes(
       of the one before it is removed; empty tables give no rows;
     - keys are compared exactly; other columns are never read, so their names don't matter.
 
-    A snapshot above `slice_rows` rows is split by the hash of its keys into slices that are each
-    sorted and cut on their own, so no task has to sort a huge snapshot.  Any cut gives the right
-    result: a chunk is dropped only if both snapshots have a chunk of the same content, and a key
-    occurs once in a snapshot.  The digest is two xxhash64 of all rows, folded with XOR so that it
-    aggregates before the shuffle, with the number of rows and the first and last key.
+    A feed is split by the hash of its keys into slices of about `slice_rows` rows, the same number for
+    all of its snapshots, so no task has to sort a huge feed and a growing snapshot is still cut where
+    the one before it was.  All snapshots of a slice meet in one exchange, behind which everything else
+    happens in place: rows are sorted and cut, a chunk keeps its rows beside its digest, chunks whose
+    digest the neighbouring snapshot holds as well are discarded for that pair, and the keys of the
+    others are compared with their next and last occurrence.  Any cut gives the right result: a chunk is
+    discarded only if both snapshots have a chunk of the same content, and a key occurs once in a snapshot.
     """
     listed = snapshots.select(F.col(feed).alias("_feed"), F.col(number).alias("_no")).dropna().distinct()
     order = Window.partitionBy("_feed").orderBy("_no")
@@ -58,76 +60,57 @@ def snapshot_changes(
         F.lag("_no").over(order).alias("_before"),
         F.lead("_no").over(order).alias("_after"),
     )
-    names = list(compared)
+    values = [f"_v{i}" for i in range(len(compared))]
     base = rows.select(
         F.col(feed).alias("_feed"), F.col(number).alias("_no"), F.col(key).alias("_key"),
-        F.struct(F.col(received).alias("_at"), *(c.alias(f"_v{i}") for i, c in enumerate(compared.values()))).alias("_row"),
+        F.struct(F.col(received).alias("_at"), *(c.alias(v) for v, c in zip(values, compared.values()))).alias("_row"),
     ).where("_feed is not null and _no is not null and _key is not null")
-    sizes = base.groupBy("_feed", "_no").agg(F.count(F.lit(1)).alias("_rows"))
-    plan = listed.join(sizes, ["_feed", "_no"]).select(
-        "_feed", "_no", "_before", "_after", slices_for(F.col("_rows"), slice_rows).alias("_slices")
-    )
+    sizes = base.groupBy("_feed").agg(F.count(F.lit(1)).alias("_rows"))
+    plan = listed.join(sizes, "_feed").select("_feed", "_no", "_before", "_after", slices_for(F.col("_rows"), slice_rows).alias("_slices"))
     # The plan has at most as many rows as `listed`; where that is proven small, the records needn't move to meet it.
     if listed.limit(PLAN_ROWS + 1).count() <= PLAN_ROWS:
         plan = F.broadcast(plan)
-    # One exchange by (feed, number, slice) serves the choice of the row that holds, the sort and the digests.
     held = (
         base.join(plan, ["_feed", "_no"])
         .withColumn("_slice", F.pmod(F.xxhash64("_key"), F.col("_slices")).cast("int"))
-        .where("_slice is not null")  # never null; the join below would infer it for its side only and so lose the common exchange
-        .repartition("_feed", "_no", "_slice")
-        .groupBy("_feed", "_no", "_slice", "_key")
+        .repartition("_feed", "_slice")
+        .groupBy("_feed", "_slice", "_no", "_key")
         .agg(F.max("_row").alias("_row"), F.first("_before").alias("_before"), F.first("_after").alias("_after"))
     )
-    in_slice = Window.partitionBy("_feed", "_no", "_slice").orderBy("_key")
+    in_snapshot = Window.partitionBy("_feed", "_slice", "_no").orderBy("_key")
     cut = F.pmod(F.xxhash64(F.lit("cut"), "_key"), F.lit(chunk_rows)) == 0
-    values = [f"_row._v{i}" for i in range(len(names))]
-    held = held.select(
-        "_feed", "_no", "_slice", "_key", "_before", "_after", *(F.col(v) for v in values),
-        F.last(F.when(cut, F.col("_key")), ignorenulls=True).over(in_slice).alias("_chunk"),
-    )
-    # Nulls are hashed as such: xxhash64 skips null, so each value goes with its null flag.
-    content = [x for i in range(len(names)) for x in (F.col(f"_v{i}"), F.col(f"_v{i}").isNull())]
-    digests = held.groupBy("_feed", "_no", "_slice", "_chunk", "_before", "_after").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.bit_xor(F.xxhash64("_key", *content)).alias("_h1"),
-        F.bit_xor(F.xxhash64(F.lit("second"), *content, "_key")).alias("_h2"),
-        F.min("_key").alias("_low"),
-        F.max("_key").alias("_high"),
+    record = F.struct("_key", *(F.col(f"_row.{v}").alias(v) for v in values))
+    chunks = (
+        held.select("_feed", "_slice", "_no", "_before", "_after", record.alias("_record"), F.count(F.when(cut, True)).over(in_snapshot).alias("_chunk"))
+        .groupBy("_feed", "_slice", "_no", "_chunk")
+        .agg(F.first("_before").alias("_before"), F.first("_after").alias("_after"), F.sort_array(F.collect_list("_record")).alias("_records"))
     )
-    sides = lambda df: df.withColumn("_pair", F.explode(F.array(
-        F.struct(F.when(F.col("_before").isNotNull(), F.col("_no")).alias("no"), F.lit(True).alias("new")),
-        F.struct(F.col("_after").alias("no"), F.lit(False).alias("new")),
-    ))).where("_pair.no is not null")
-    unmatched = (
-        sides(digests)
-        .groupBy("_feed", F.col("_pair.no").alias("_pair_no"), "_n", "_h1", "_h2", "_low", "_high")
-        .agg(
-            F.count(F.lit(1)).alias("_times"),
-            F.first("_no").alias("_no"), F.first("_slice").alias("_slice"),
-            F.first("_chunk").alias("_chunk"), F.first("_pair.new").alias("_new"),
+    # Nulls are hashed as such: xxhash64 skips null, so the values go with their null flags.
+    flags = F.transform("_records", lambda r: F.array(*(r[v].isNull() for v in values)))
+    digest = F.struct(F.xxhash64("_records", flags).alias("a"), F.xxhash64(F.lit("second"), flags, "_records").alias("b"), F.size("_records").alias("n"))
+    same = Window.partitionBy("_feed", "_slice", "_digest").orderBy("_no")
+    kept = (
+        chunks.withColumn("_digest", digest)
+        .select(
+            "_feed", "_slice", "_no", "_before", "_after", "_records",
+            (F.col("_before").isNotNull() & ~F.lag("_no").over(same).eqNullSafe(F.col("_before"))).alias("_newer"),
+            (F.col("_after").isNotNull() & ~F.lead("_no").over(same).eqNullSafe(F.col("_after"))).alias("_older"),
         )
-        .where("_times = 1")
-        .select("_feed", "_no", "_slice", F.col("_chunk").alias("_chunk_u"), "_pair_no", "_new")
+        .where("_newer or _older")
     )
-    # The last condition always holds; it keeps the columns the digests read, so that both use one exchange.
-    of_pair = (F.col("_new") & F.col("_before").isNotNull()) | (~F.col("_new") & (F.col("_after") == F.col("_pair_no")))
-    rest = held.join(
-        unmatched.withColumnsRenamed({"_feed": "_f", "_no": "_n", "_slice": "_s"}),
-        (F.col("_feed") == F.col("_f")) & (F.col("_no") == F.col("_n")) & (F.col("_slice") == F.col("_s")) & F.col("_chunk").eqNullSafe(F.col("_chunk_u")) & of_pair,
-    )
-    state = F.struct(*(F.col(f"_v{i}") for i in range(len(names))))
-    both = rest.groupBy("_feed", "_pair_no", "_key").agg(
-        F.max(F.when(F.col("_new"), state)).alias("_now"), F.max(F.when(~F.col("_new"), state)).alias("_then")
-    )
-    kind = (
-        F.when(F.col("_then").isNull(), "added")
-        .when(F.col("_now").isNull(), "removed")
-        .when(~F.col("_now").eqNullSafe(F.col("_then")), "changed")
+    rest = kept.select("_feed", "_slice", "_no", "_before", "_after", "_newer", "_older", F.explode("_records").alias("_r")).select(
+        "_feed", "_slice", "_no", "_before", "_after", "_newer", "_older", F.col("_r._key").alias("_key"), F.struct(*(F.col(f"_r.{v}") for v in values)).alias("_state")
     )
-    return both.select(
-        F.col("_feed").alias(feed), F.col("_pair_no").alias(number), F.col("_key").alias(key), kind.alias("change_kind")
-    ).where("change_kind is not null")
+    times = Window.partitionBy("_feed", "_slice", "_key").orderBy("_no")
+    rest = rest.select(
+        "_feed", "_no", "_key", "_after",
+        F.when(F.col("_newer") & ~F.lag("_no").over(times).eqNullSafe(F.col("_before")), "added")
+        .when(F.col("_newer") & ~F.lag("_state").over(times).eqNullSafe(F.col("_state")), "changed").alias("_now"),
+        (F.col("_older") & ~F.lead("_no").over(times).eqNullSafe(F.col("_after"))).alias("_gone"),
+    ).where("_now is not null or _gone")
+    both = F.array(F.struct(F.col("_no").alias("no"), F.col("_now").alias("kind")), F.struct(F.col("_after").alias("no"), F.when(F.col("_gone"), "removed").alias("kind")))
+    found = rest.select("_feed", "_key", F.explode(both).alias("_c")).where("_c.kind is not null")
+    return found.select(F.col("_feed").alias(feed), F.col("_c.no").alias(number), F.col("_key").alias(key), F.col("_c.kind").alias("change_kind"))
 
 
 def listing_changes(rows: DataFrame, observations: DataFrame, **options) -> DataFrame:

@@ -77,3 +77,13 @@ def test_other_compared_columns(spark):
     rows = spark.createDataFrame([(1, 1, "a", 1.5, at(0)), (1, 2, "a", 2.5, at(1))], "f int, n int, k string, price double, r timestamp_ntz")
     got = snapshot_changes(rows, rows.select("f", "n"), feed="f", number="n", key="k", received="r", compared={"price": F.col("price")})
     assert [tuple(r) for r in got.collect()] == [(1, 2, "a", "changed")]
+
+
+def test_a_feed_that_grows_past_a_slice(spark):
+    """One number of slices holds for all snapshots of a feed, so one that grows is still cut where the one before it was."""
+    sizes = {1: 40, 2: 60, 3: 260, 4: 30}
+    records = [(7, n, f"k{i:03}", i % 3 == 0, None, at(n)) for n, size in sizes.items() for i in range(size)]
+    records += [(8, n, "k", n == 2, None, at(n)) for n in (1, 2)]
+    got = changes(spark, records, [(f, n, "complete") for f in (7, 8) for n in sizes if f == 7 or n < 3], slice_rows=50, chunk_rows=4)
+    expected = [(7, 2, f"k{i:03}", "added") for i in range(40, 60)] + [(7, 3, f"k{i:03}", "added") for i in range(60, 260)] + [(7, 4, f"k{i:03}", "removed") for i in range(30, 260)]
+    assert got == sorted([*expected, (8, 2, "k", "changed")])
