@@ -7,6 +7,7 @@ kind varies keeps a typed branch for each kind beside its canonical value.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterable, Iterator
 from decimal import Decimal
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import bounded_rows
+from ..common import bounded_side, durable
 from .nested_tables import _reject
 
 #: Bits of the kinds in a tagged union.
@@ -50,13 +51,19 @@ def leaves_of(text: str | None, *, nulls: bool = False) -> Iterator[tuple[str, i
 
     None if the text is no valid JSON object.  With `nulls` an explicit null is a leaf of kind 0.
     """
+    record = _record(text)
+    return None if record is None else _walk(record, nulls)
+
+
+def _record(text: str | None) -> dict | None:
+    """The JSON object of a text; None if it is no valid one."""
     if text is None:
         return None
     try:
         record = json.loads(text, parse_constant=_reject, parse_float=_Number)
     except (ValueError, RecursionError):
         return None
-    return _walk(record, nulls) if isinstance(record, dict) else None
+    return record if isinstance(record, dict) else None
 
 
 def _walk(record: dict, nulls: bool) -> Iterator[tuple[str, int, str | None, str | None]]:
@@ -81,7 +88,12 @@ def _walk(record: dict, nulls: bool) -> Iterator[tuple[str, int, str | None, str
                 yield path, 0, None, None
 
 
-def leaves(payloads: DataFrame, *, payload: str = "payload", nulls: bool = False) -> DataFrame:
+def _digest(text: str | None) -> str | None:
+    """A text, or its 128-bit hash where that is shorter."""
+    return text if text is None or len(text) <= 32 else hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+def leaves(payloads: DataFrame, *, payload: str = "payload", nulls: bool = False, short: bool = False) -> DataFrame:
     """The leaves of all readable records, one row each; Python reads each Arrow batch of texts once.
 
     A path names no row of its own where a record holds null, unless `nulls` asks for it; a readable
@@ -98,6 +110,8 @@ def leaves(payloads: DataFrame, *, payload: str = "payload", nulls: bool = False
                     continue
                 found = list(found)
                 model = next((v for p, _, v, _ in found if p == "id"), None)
+                if short:
+                    found = [(p, k, None, _digest(c)) for p, k, _, c in found]
                 rows += [(feed, file, record, model, *leaf) for leaf in found] or [(feed, file, record, None, None, None, None, None)]
                 if len(rows) > 50_000:
                     yield _batch(rows)
@@ -115,7 +129,51 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
 
-def schema_changes(payloads: DataFrame, *, share: float = 0.9) -> DataFrame:
+#: Parts that a file's records are dealt into where they have to move to meet what is known of the file.
+SALTS = 16
+
+
+def file_kinds(payloads: DataFrame, *, payload: str = "payload") -> DataFrame:
+    """(feed_id, file_no, path, kinds): the tagged union of each path of each file, 0 where it is always null, and a row with a null path for each file.
+
+    Python reads each text once and fuses the kinds of a batch before they leave the worker; the rest
+    fuses before the shuffle.  A file without readable records has the row with the null path only.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[tuple, int] = {}
+            for feed, file, text in zip(*(c.to_pylist() for c in batch.columns)):
+                found[feed, file, None] = 0
+                for path, kind in kinds_of(text):
+                    found[feed, file, path] = found.get((feed, file, path), 0) | kind
+            if found:
+                keys = list(zip(*found))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[0], pa.int64()), pa.array(keys[1], pa.int32()), pa.array(keys[2], pa.string()), pa.array(found.values(), pa.int32())], ["feed_id", "file_no", "path", "kinds"]
+                )
+
+    picked = payloads.select("feed_id", "file_no", payload).where("feed_id is not null and file_no is not null")
+    return picked.mapInArrow(read, "feed_id bigint, file_no int, path string, kinds int").groupBy("feed_id", "file_no", "path").agg(F.bit_or("kinds").alias("kinds"))
+
+
+_BITS = {bool: KINDS["boolean"], int: KINDS["integer"], _Number: KINDS["decimal"], str: KINDS["string"], list: KINDS["array"], type(None): 0}
+
+
+def kinds_of(text: str | None) -> Iterator[tuple[str, int]]:
+    """(dotted path, kind) of each value of a record that is no object, 0 for null; nothing if the text is no valid JSON object."""
+    record = _record(text)
+    open_ = [("", record)] if record else []
+    while open_:
+        prefix, inner = open_.pop()
+        for name, value in inner.items():
+            if isinstance(value, dict):
+                open_.append((f"{prefix}{name}.", value))
+            else:
+                yield prefix + name, _BITS[type(value)]
+
+
+def schema_changes(payloads: DataFrame, *, share: float = 0.9, kinds: DataFrame | None = None) -> DataFrame:
     """Rows (feed_id, file_no, field_name, change_kind) of each file against the one before it of its feed.
 
     A field is the dotted path to values that are no objects; it belongs to a file if a readable
@@ -128,81 +186,93 @@ def schema_changes(payloads: DataFrame, *, share: float = 0.9) -> DataFrame:
     has no fields; the first file of a feed gives no rows; a single record may hold an id more than
     once in a file, then any of its values counts; repeated rows change nothing; an empty table gives
     no rows; other columns are never read.
+
+    The texts are read once for the kinds of all files.  What comes of it, a row for each path of a
+    file, is kept; only the files of a pair with fields both gone and come are read again, for the
+    values of just these fields.  `kinds` saves the first reading where file_kinds() has been kept.
     """
-    files = payloads.select("feed_id", "file_no").dropna().distinct()
-    order = Window.partitionBy("feed_id").orderBy("file_no")
-    files = files.select("feed_id", "file_no", F.lag("file_no").over(order).alias("_before"), F.lead("file_no").over(order).alias("_after"))
-    values = leaves(payloads)
-    # Kinds fuse before the shuffle: one row for each path of a file and task.
-    union = values.where("path is not null").groupBy("feed_id", "file_no", "path").agg(F.bit_or("kind").alias("_kinds"))
-    sided = _sides(union.join(files, ["feed_id", "file_no"]))
-    fields = sided.groupBy("feed_id", "_pair", "path").agg(
-        F.max(F.when(F.col("_new"), F.col("_kinds"))).alias("_now"), F.max(F.when(~F.col("_new"), F.col("_kinds"))).alias("_then")
+    fields, renames = _compared(payloads, durable(file_kinds(payloads)) if kinds is None else kinds, share)
+    gone = renames.select("feed_id", "_pair", F.col("_old").alias("path"), F.lit("gone").alias("_part"), "_fresh", F.lit(None).cast("int").alias("_was"))
+    moved = renames.join(fields.select("feed_id", "_pair", F.col("path").alias("_old"), F.col("_then").alias("_was")), ["feed_id", "_pair", "_old"])
+    come = moved.select("feed_id", "_pair", F.col("_fresh").alias("path"), F.lit("come").alias("_part"), "_fresh", "_was")
+    told = fields.join(gone.unionAll(come), ["feed_id", "_pair", "path"], "left").where("_part is null or _part = 'come'")
+    kinds = (
+        F.when(F.col("_part").isNotNull(), F.when(F.col("_was") == F.col("_now"), F.array(F.lit("renamed"))).otherwise(F.array(F.lit("renamed"), F.lit("retyped"))))
+        .when(F.col("_then").isNull(), F.array(F.lit("added")))
+        .when(F.col("_now").isNull(), F.array(F.lit("removed")))
+        .otherwise(F.array(F.lit("retyped")))
     )
-    fields = fields.where("_now is null or _then is null or _now <> _then")
-    renames = _renames(values, files, fields, share)
-    gone = renames.select("feed_id", "_pair", F.col("_old").alias("path"))
-    come = renames.select("feed_id", "_pair", F.col("_fresh").alias("path"))
-    rest = fields.join(gone.unionAll(come), ["feed_id", "_pair", "path"], "left_anti")
-    plain = rest.select(
-        "feed_id", F.col("_pair").alias("file_no"), F.col("path").alias("field_name"),
-        F.when(F.col("_then").isNull(), "added").when(F.col("_now").isNull(), "removed").otherwise("retyped").alias("change_kind"),
-    )
-    moved = renames.select(
-        "feed_id", F.col("_pair").alias("file_no"), F.col("_fresh").alias("field_name"),
-        F.explode(F.when(F.col("_kinds_old") == F.col("_kinds_new"), F.array(F.lit("renamed"))).otherwise(F.array(F.lit("renamed"), F.lit("retyped")))).alias("change_kind"),
-    )
-    return plain.unionAll(moved)
+    return told.select("feed_id", F.col("_pair").alias("file_no"), F.col("path").alias("field_name"), F.explode(kinds).alias("change_kind"))
+
+
+def renamed_fields(payloads: DataFrame, *, share: float = 0.9, kinds: DataFrame | None = None) -> DataFrame:
+    """(old, fresh): the fields that schema_changes() finds renamed anywhere, each pair once."""
+    _, renames = _compared(payloads, durable(file_kinds(payloads)) if kinds is None else kinds, share)
+    return renames.select(F.col("_old").alias("old"), F.col("_fresh").alias("fresh")).distinct()
 
 
-def _sides(df: DataFrame) -> DataFrame:
-    """Each row once as part of the later file of a pair and once as part of the earlier one; `_pair` is the later file."""
+def _compared(payloads: DataFrame, union: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
+    """The fields (feed_id, _pair, _before, path, _now, _then) that differ between neighbouring files, and which of them were renamed."""
+    order = Window.partitionBy("feed_id").orderBy("file_no")
+    files = union.where("path is null").select("feed_id", "file_no", F.lag("file_no").over(order).alias("_before"), F.lead("file_no").over(order).alias("_after"))
     side = F.explode(F.array(F.struct(F.when(F.col("_before").isNotNull(), F.col("file_no")).alias("no"), F.lit(True).alias("new")), F.struct(F.col("_after").alias("no"), F.lit(False).alias("new"))))
-    return df.withColumn("_side", side).where("_side.no is not null").withColumns({"_pair": F.col("_side.no"), "_new": F.col("_side.new")}).drop("_side")
+    sided = union.where("kinds > 0").join(files, ["feed_id", "file_no"]).withColumn("_side", side).where("_side.no is not null")
+    fields = sided.groupBy("feed_id", F.col("_side.no").alias("_pair"), "path").agg(
+        F.max(F.when(F.col("_side.new"), F.col("kinds"))).alias("_now"), F.max(F.when(~F.col("_side.new"), F.col("kinds"))).alias("_then"),
+        F.max(F.when(~F.col("_side.new"), F.col("file_no"))).alias("_old_file"),
+    )
+    fields = fields.where("_now is null or _then is null or _now <> _then").join(files.select("feed_id", F.col("file_no").alias("_pair"), "_before"), ["feed_id", "_pair"])
+    fields = durable(fields.select("feed_id", "_pair", "_before", "path", "_now", "_then"))
+    return fields, _renames(payloads, fields, share)
+
 
+def _met(big: DataFrame, small: DataFrame, keys: list[str], salt: Column) -> DataFrame:
+    """`big` joined with `small`, which is broadcast where it is proven small; else both are dealt into salted parts, so that no key is one task."""
+    side = bounded_side(small)
+    if side is not small:
+        return big.join(side, keys)
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return big.withColumn("_salt", F.pmod(salt, F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt")
 
-def _renames(values: DataFrame, files: DataFrame, fields: DataFrame, share: float) -> DataFrame:
-    """(feed_id, _pair, _old, _fresh, _kinds_old, _kinds_new) of the fields renamed from one file to the next."""
+
+def _renames(payloads: DataFrame, fields: DataFrame, share: float) -> DataFrame:
+    """(feed_id, _pair, _old, _fresh) of the fields renamed from one file to the next."""
     loose = fields.where("_now is null or _then is null")
-    lists = loose.groupBy("feed_id", "_pair").agg(
-        F.collect_list(F.when(F.col("_now").isNull(), F.struct("path", F.col("_then").alias("kinds")))).alias("_gone"),
-        F.collect_list(F.when(F.col("_then").isNull(), F.struct("path", F.col("_now").alias("kinds")))).alias("_come"),
-    ).where("size(_gone) > 0 and size(_come) > 0")
-    # A pair of files takes part only where something is gone and something has come.
-    pairs = lists.join(files.select("feed_id", F.col("file_no").alias("_pair"), F.col("_before").alias("_old_file")), ["feed_id", "_pair"])
-    ends = pairs.select("feed_id", "_pair", "_gone", "_come", F.explode(F.array(F.struct(F.col("_pair").alias("file_no"), F.lit(True).alias("new")), F.struct(F.col("_old_file").alias("file_no"), F.lit(False).alias("new")))).alias("_end"))
-    ends = ends.select("feed_id", F.col("_end.file_no").alias("file_no"), "_pair", F.col("_end.new").alias("_new"), F.transform(F.when(F.col("_end.new"), F.col("_come")).otherwise(F.col("_gone")), lambda x: x["path"]).alias("_paths"))
-    wanted = values.where("id is not null").join(ends, ["feed_id", "file_no"])
-    # Per id: the values of gone fields in the old file, those of new fields in the new one, and whether the new one has it.
-    held = F.array_contains("_paths", F.col("path"))
-    per_id = wanted.groupBy("feed_id", "_pair", "id").agg(
-        F.max("_new").alias("_there"),
-        F.collect_set(F.when(~F.col("_new") & held, F.struct("path", "same"))).alias("_old"),
-        F.collect_set(F.when(F.col("_new") & held, F.struct("path", "same"))).alias("_fresh"),
-    ).where("_there and size(_old) > 0")
-    each = per_id.select("feed_id", "_pair", F.explode("_old").alias("_o"), "_fresh")
-    fits = F.transform(F.filter("_fresh", lambda y: y["same"] == F.col("_o.same")), lambda y: y["path"])
-    each = each.select("feed_id", "_pair", F.col("_o.path").alias("_x"), fits.alias("_ys"))
-    total = each.groupBy("feed_id", "_pair", "_x").agg(F.count(F.lit(1)).alias("_ids"))
-    equal = each.select("feed_id", "_pair", "_x", F.explode("_ys").alias("_y")).groupBy("feed_id", "_pair", "_x", "_y").agg(F.count(F.lit(1)).alias("_equal"))
-    good = equal.join(total, ["feed_id", "_pair", "_x"]).where(F.col("_equal") >= F.col("_ids") * F.lit(share) - F.lit(1e-9))
-    options = good.groupBy("feed_id", "_pair", "_x").agg(F.sort_array(F.collect_list("_y")).alias("_ys"))
-    chosen = options.groupBy("feed_id", "_pair").agg(F.sort_array(F.collect_list(F.struct("_x", "_ys"))).alias("_all"))
+    ripe = loose.groupBy("feed_id", "_pair").agg(F.max("_before").alias("_before"), F.max(F.col("_now").isNull()).alias("_g"), F.max(F.col("_then").isNull()).alias("_c")).where("_g and _c")
+    ends = F.explode(F.array(F.struct(F.col("_pair").alias("no"), F.lit(True).alias("new")), F.struct(F.col("_before").alias("no"), F.lit(False).alias("new"))))
+    ends = ripe.select("feed_id", "_pair", ends.alias("_end")).select("feed_id", F.col("_end.no").alias("file_no"), "_pair", F.col("_end.new").alias("_new"))
+    picked = payloads.select("feed_id", "file_no", "record_id", "payload")
+    read = leaves(_met(picked, ends.select("feed_id", "file_no").distinct(), ["feed_id", "file_no"], F.xxhash64("record_id", "payload")), short=True).where("id is not null")
+    # Of the values only those of the fields in question are kept, beside one row for each id of a newer file.
+    asked = loose.join(ripe.select("feed_id", "_pair"), ["feed_id", "_pair"]).select(
+        "feed_id", F.when(F.col("_now").isNull(), F.col("_before")).otherwise(F.col("_pair")).alias("file_no"), "path", "_pair", F.col("_then").isNull().alias("_new")
+    )
+    there = ends.where("_new").select("feed_id", "file_no", F.lit("id").alias("path"), "_pair", F.lit(None).cast("boolean").alias("_new"))
+    held = _met(read.select("feed_id", "file_no", "id", "path", "same"), asked.unionAll(there).distinct(), ["feed_id", "file_no", "path"], F.xxhash64("id"))
+    held = held.select("feed_id", "_pair", "id", "path", "same", "_new").repartition("feed_id", "_pair", "id")
+    # Of each id: the gone fields it held and whether the newer file has it; then, of each of its values, the fields with it on both sides.
+    old = F.collect_set(F.when(~F.col("_new"), F.col("path")))
+    ids = held.groupBy("feed_id", "_pair", "id").agg(F.max(F.col("_new").isNull() | F.col("_new")).alias("_there"), old.alias("_xs")).where("_there")
+    total = ids.select("feed_id", "_pair", F.explode("_xs").alias("_old")).groupBy("feed_id", "_pair", "_old").agg(F.count(F.lit(1)).alias("_ids"))
+    shared = held.where("_new is not null").groupBy("feed_id", "_pair", "id", "same").agg(old.alias("_xs"), F.collect_set(F.when(F.col("_new"), F.col("path"))).alias("_ys"))
+    shared = shared.where("size(_xs) > 0 and size(_ys) > 0").select("feed_id", "_pair", "id", F.explode("_xs").alias("_old"), "_ys")
+    shared = shared.select("feed_id", "_pair", "id", "_old", F.explode("_ys").alias("_y")).distinct()
+    equal = shared.groupBy("feed_id", "_pair", "_old", "_y").agg(F.count(F.lit(1)).alias("_equal"))
+    good = equal.join(total, ["feed_id", "_pair", "_old"]).where(F.col("_equal") >= F.col("_ids") * F.lit(share) - F.lit(1e-9))
+    options = good.groupBy("feed_id", "_pair", "_old").agg(F.sort_array(F.collect_list("_y")).alias("_ys"))
+    chosen = options.groupBy("feed_id", "_pair").agg(F.sort_array(F.collect_list(F.struct("_old", "_ys"))).alias("_all"))
     # A fold over the gone fields in order; each takes its first fitting field that is still free.
     start = F.array().cast("array<struct<o:string,n:string>>")
 
     def take(taken: Column, option: Column) -> Column:
         free = F.filter(option["_ys"], lambda y: ~F.exists(taken, lambda t: t["n"] == y))
-        return F.when(F.size(free) > 0, F.concat(taken, F.array(F.struct(option["_x"].alias("o"), F.get(free, F.lit(0)).alias("n"))))).otherwise(taken)
+        return F.when(F.size(free) > 0, F.concat(taken, F.array(F.struct(option["_old"].alias("o"), F.get(free, F.lit(0)).alias("n"))))).otherwise(taken)
 
     folded = chosen.select("feed_id", "_pair", F.explode(F.aggregate("_all", start, take)).alias("_r"))
-    named = folded.select("feed_id", "_pair", F.col("_r.o").alias("_old"), F.col("_r.n").alias("_fresh"))
-    old = loose.select("feed_id", "_pair", F.col("path").alias("_old"), F.col("_then").alias("_kinds_old"))
-    fresh = loose.select("feed_id", "_pair", F.col("path").alias("_fresh"), F.col("_now").alias("_kinds_new"))
-    return named.join(old, ["feed_id", "_pair", "_old"]).join(fresh, ["feed_id", "_pair", "_fresh"])
+    return folded.select("feed_id", "_pair", F.col("_r.o").alias("_old"), F.col("_r.n").alias("_fresh"))
 
 
-#: Spellings of the two fields that are compared above all, the preferred first.
+#: Spellings of the two fields that are compared above all, the preferred first; others are derived from the renames.
 EFFORT = ("capabilities.effort.supported", "capabilities.reasoning_effort.supported", "capabilities.effort", "supports_effort")
 CONTEXT = ("max_model_len", "maxModelLen", "context_window", "contextWindow", "limits.context_window", "context_length")
 
@@ -210,14 +280,33 @@ CONTEXT = ("max_model_len", "maxModelLen", "context_window", "contextWindow", "l
 #: Column types of the typed branches; arrays stay JSON text.
 BRANCHES = {"boolean": "boolean", "integer": "bigint", "decimal": "double", "string": "string", "array": "string"}
 
-#: More distinct paths than this are no schema but data in the names of members.
+#: Paths that have a member of their own; with more of them, names are data, and the rarer ones share a map.
 MOST_PATHS = 5_000
 
 
-def inferred(values: DataFrame) -> dict[str, int]:
-    """The fused schema: each path of the leaves with the bits of all kinds met, 0 for one that is always null."""
-    fused = values.where("path is not null").groupBy("path").agg(F.bit_or("kind").alias("kinds"))
-    return {r.path: r.kinds for r in sorted(bounded_rows(fused, MOST_PATHS), key=lambda r: r.path)}
+def inferred(kinds: DataFrame, most: int = MOST_PATHS) -> tuple[dict[str, int], bool]:
+    """The fused schema of file_kinds(): each path with the bits of all kinds met, 0 for one that is always null; and whether there are more.
+
+    Of more than `most` paths those in the most files are taken, by name among equals.
+    """
+    fused = kinds.where("path is not null").groupBy("path").agg(F.bit_or("kinds").alias("kinds"), F.count(F.lit(1)).alias("files"))
+    rows = fused.orderBy(F.col("files").desc(), "path").limit(most + 1).collect()
+    return {r.path: r.kinds for r in sorted(rows[:most], key=lambda r: r.path)}, len(rows) > most
+
+
+def _same_field(renames: DataFrame | None, spellings: tuple[str, ...], known: Iterable[str]) -> tuple[str, ...]:
+    """`spellings`, then all paths of `known` that renames link to one of them."""
+    known, links = set(known), {}
+    for old, fresh in renames.toLocalIterator() if renames is not None else ():
+        if old in known and fresh in known:
+            links.setdefault(old, set()).add(fresh)
+            links.setdefault(fresh, set()).add(old)
+    found, open_ = set(spellings), list(spellings)
+    while open_:
+        more = links.get(open_.pop(), set()) - found
+        found |= more
+        open_ += more
+    return (*spellings, *sorted(found - set(spellings)))
 
 
 def field_names(paths: Iterable[str]) -> dict[str, str]:
@@ -234,7 +323,7 @@ def field_names(paths: Iterable[str]) -> dict[str, str]:
     return names
 
 
-def unified(payloads: DataFrame, *, effort: tuple[str, ...] = EFFORT, context: tuple[str, ...] = CONTEXT) -> DataFrame:
+def unified(payloads: DataFrame, *, effort: tuple[str, ...] = EFFORT, context: tuple[str, ...] = CONTEXT, most_paths: int = MOST_PATHS, renames: bool = True) -> DataFrame:
     """One consistent table of all readable records, whatever fields their files used.
 
     Columns: feed_id, file_no, record_id, id; `effort_supported boolean` and `context_limit bigint`,
@@ -251,9 +340,16 @@ def unified(payloads: DataFrame, *, effort: tuple[str, ...] = EFFORT, context: t
     in case only are members of their own, later ones with a number (``a``, ``A~2``).  A number that a
     branch can't hold is null there and whole in `value`.  Should a record hold a path twice, a value
     goes before null, then the first kind.
+
+    `effort` and `context` are the spellings that are known; with `renames`, every path that files of
+    the feeds renamed to or from one of them, at any remove, counts as a further one.  Where there are
+    more than `most_paths` paths, the rarer ones are in the map `others` with their canonical text.
     """
+    kinds = durable(file_kinds(payloads))
+    schema, more = inferred(kinds, most_paths)
+    pairs = durable(renamed_fields(payloads, kinds=kinds)) if renames and schema else None
+    effort, context = _same_field(pairs, effort, schema), _same_field(pairs, context, schema)
     values = leaves(payloads, nulls=True)
-    schema = inferred(values)
     ranks = {p: i for i, p in enumerate((*effort, *context))}
     rank = F.create_map(*(F.lit(x) for pair in ranks.items() for x in pair))[F.col("path")]
     keys = ["feed_id", "file_no", "record_id"]
@@ -273,7 +369,10 @@ def unified(payloads: DataFrame, *, effort: tuple[str, ...] = EFFORT, context: t
         return F.when(leaf.isNotNull(), F.struct(leaf["same"].alias("value"), *typed))
 
     names = field_names(schema)
-    fields = [F.struct(*(member(p, kinds).alias(names[p]) for p, kinds in schema.items())).alias("fields")] if schema else []
+    fields = [F.struct(*(member(p, bits).alias(names[p]) for p, bits in schema.items())).alias("fields")] if schema else []
+    if more:
+        listed = F.array(*map(F.lit, schema))
+        fields.append(F.transform_values(F.map_filter("_held", lambda k, _: ~F.array_contains(listed, k)), lambda _, v: v["same"]).alias("others"))
     return rows.select(
         "feed_id", "file_no", "record_id", "id",
         supported.alias("effort_supported"), F.col("_e.path").alias("effort_path"),

@@ -82,3 +82,30 @@ def test_every_field_reaches_the_consistent_table(spark, tmp_path):
     assert got[1, 2]["active~2"] == {"value": "true", "boolean": None, "string": "TRUE"} and got[1, 2]["Active"] == {"value": "1", "integer": 1}
     assert got[1, 2]["max_model_len"] == {"value": "2", "integer": None, "decimal": 2.0} and got[1, 2]["(empty)"] == {"value": "0", "integer": 0} and got[1, 2]["parent"] is None
     assert not any(got[2, 3].values())
+
+
+def test_spellings_are_derived_from_renames(spark):
+    files = ["context_window", "ctx", "limits.ctx.max"]
+    nested = lambda path, v: {path.split(".")[0]: nested(path.split(".", 1)[1], v)} if "." in path else {path: v}
+    records = [(1, n, {"id": f"m{i}", **nested(path, 1000 + i)}) for n, path in enumerate(files) for i in range(10)] + [(2, 0, {"id": "x", "ctx": 5, "unrelated": 7})]
+    got = {(r.feed_id, r.file_no, r.id): (r.context_limit, r.context_path) for r in unified(frame(spark, records)).collect()}
+    assert all(got[1, n, f"m{i}"] == (1000 + i, path) for n, path in enumerate(files) for i in range(10)) and got[2, 0, "x"] == (5, "ctx")
+    apart = unified(frame(spark, records), renames=False).where("context_limit is not null")
+    assert {r.context_path for r in apart.collect()} == {"context_window"}
+
+
+def test_names_that_are_data(spark):
+    records = [(1, 1, {"id": f"m{i}", "max_model_len": i, f"only{i}": i}) for i in range(50)]
+    found = unified(frame(spark, records), most_paths=2).collect()
+    assert len(found) == 50 and all(set(r.fields.asDict()) == {"id", "max_model_len"} and dict(r.others) == {f"only{i}": str(i)} for r in found for i in [int(r.id[1:])])
+
+
+def test_one_file_with_nearly_all_rows(spark, rows, monkeypatch):
+    """Where what is known of the files isn't proven small, records and files meet in salted parts."""
+    from ledgerloom.operators import schema_drift
+
+    records = [(1, n, {"id": f"m{i}", ("a" if n == 1 else "b"): i, "t": "x" * 100}) for n in (1, 2) for i in range(300)] + [(1, 3, {"id": "m1", "b": 1, "t": 1})]
+    expected = [(1, 2, "b", "renamed"), (1, 3, "t", "retyped")]
+    assert rows(schema_changes(frame(spark, records))) == expected
+    monkeypatch.setattr(schema_drift, "bounded_side", lambda df: df)
+    assert rows(schema_changes(frame(spark, records))) == expected
