@@ -249,7 +249,7 @@ def _renames(payloads: DataFrame, fields: DataFrame, share: float) -> DataFrame:
     )
     there = ends.where("_new").select("feed_id", "file_no", F.lit("id").alias("path"), "_pair", F.lit(None).cast("boolean").alias("_new"))
     held = _met(read.select("feed_id", "file_no", "id", "path", "same"), asked.unionAll(there).distinct(), ["feed_id", "file_no", "path"], F.xxhash64("id"))
-    held = held.select("feed_id", "_pair", "id", "path", "same", "_new").repartition("feed_id", "_pair", "id")
+    held = durable(held.select("feed_id", "_pair", "id", "path", "same", "_new").repartition("feed_id", "_pair", "id"))  # read in two ways below
     # Of each id: the gone fields it held and whether the newer file has it; then, of each of its values, the fields with it on both sides.
     old = F.collect_set(F.when(~F.col("_new"), F.col("path")))
     ids = held.groupBy("feed_id", "_pair", "id").agg(F.max(F.col("_new").isNull() | F.col("_new")).alias("_there"), old.alias("_xs")).where("_there")
