@@ -35,8 +35,21 @@ def zero_as_null(number: Column) -> Column:
 _RFC3339 = r"^\d{4}-\d{2}-\d{2}T(?:[01]?\d|2[0-3]):[0-5]\d:[0-5]\d(?:[.,]\d+)?(?:Z|[+-](?:[01]\d|2[0-4]):(?:[0-5]\d|60))$"
 
 
-def parse_date(text: Column, *, instants: bool = False) -> Column:
-    """A date from ISO dates, year and month, US slashes, month names or, last, a leading plausible year.
+def parse_date(text: Column) -> Column:
+    """A date from ``2024-06-15``, ``2024-06``, ``2024``, an RFC 3339 time (the day as written) or, last, four leading digits above 1900 and below 3000.
+
+    The layouts are strict: blanks around them, impossible days and other orders leave the leading year only.
+    """
+    first = lambda pattern, tail: F.when(text.rlike(pattern), F.concat(F.substring(text, 1, 10), F.lit(tail)).try_cast("date"))
+    year = F.regexp_extract(text, r"^(\d{4})", 1).try_cast("int")
+    return F.coalesce(
+        first(r"^\d{4}-\d{2}-\d{2}$", ""), first(r"^\d{4}-\d{2}$", "-01"), first(r"^\d{4}$", "-01-01"), first(_RFC3339, ""),
+        F.when((year > 1900) & (year < 3000), F.make_date(year, F.lit(1), F.lit(1))),
+    )
+
+
+def any_date(text: Column, *, instants: bool = False) -> Column:
+    """A date from ISO dates, year and month, US slashes, month names or, last, a leading plausible year, with blanks around it.
 
     With `instants` also from RFC 3339 times, whose day is the one written, in the zone written.
     """
@@ -122,10 +135,22 @@ def definition_parts(identity: Column) -> Column:
     return F.when(fine, F.struct(F.get(parts, F.lit(0)).alias("owner"), F.get(parts, F.lit(1)).alias("slug")))
 
 
+#: Ids under which owners were known before; they count only as they are written here.
+OWNER_ALIASES = {
+    "canopylabs": "canopy-labs",
+    "huggingfaceh4": "huggingface",
+    "llama": "meta",
+    "moonshot": "moonshot-ai",
+    "moonshotai": "moonshot-ai",
+    "togetherai": "together",
+    "zhipuai": "zhipu-ai",
+}
+
+
 def owner_id(name: Column) -> Column:
-    """The id a name stands for: lower case, hyphens for blanks; unknown where it is empty."""
-    folded = F.regexp_replace(fold(name), " ", "-")
-    return F.when(F.coalesce(F.trim(name), F.lit("")) == "", F.lit("unknown")).otherwise(folded)
+    """The id a name stands for: that of an earlier id, else lower case without blanks around it and with hyphens for those inside; unknown for an empty or null name."""
+    folded = F.regexp_replace(F.lower(F.regexp_replace(name, r"^\s+|\s+$", "")), " ", "-")
+    return F.when(F.coalesce(name, F.lit("")) == "", F.lit("unknown")).otherwise(mapped(name, OWNER_ALIASES, folded))
 
 
 def resource_id(scope: Column, identity: Column) -> Column:

@@ -19,7 +19,7 @@ from ..common import all_of
 SORTS = ("id", "name", "release_date", "context_window", "created_at", "updated_at")
 FLAGS = ("streaming", "tool_calls", "tools", "tool_choice", "reasoning", "temperature", "max_tokens")
 MODALITIES = ("text", "audio", "image", "video", "pdf", "embedding")
-STATES = ("alpha", "beta", "active", "deprecated")
+STATES = ("active", "beta", "preview", "deprecated", "unknown")
 MOST_ROWS = 1000
 
 
@@ -130,23 +130,26 @@ class ModelFilter:
     order: str = ""
     limit: int = 0
     offset: int = 0
+    max_results: int = 0
 
     def validate(self) -> None:
         """Raise ValueError for what no relation could answer."""
         problems = []
         if self.sort and self.sort not in SORTS:
             problems.append(f"sort {self.sort!r}")
-        if self.order and (self.order not in ("asc", "desc") or not self.sort):
+        if self.order and (self.order.lower() not in ("asc", "desc") or not self.sort):
             problems.append(f"order {self.order!r}")
         if self.limit and not 1 <= self.limit <= MOST_ROWS or self.offset < 0:
             problems.append("page")
+        if not 0 <= self.max_results <= MOST_ROWS:
+            problems.append(f"max_results {self.max_results}")
         for low, high in ((self.min_context, self.max_context), (self.min_input, self.max_input), (self.min_output, self.max_output)):
             if low < 0 or high < 0 or high and low > high:
                 problems.append(f"range {low} to {high}")
         if self.released_after and self.released_before and self.released_after > self.released_before:
             problems.append("release dates")
         problems += [f"flag {f!r}" for f in self.features if f not in FLAGS]
-        problems += [f"modality {m!r}" for m in (*self.modality_input, *self.modality_output) if m.lower() not in MODALITIES]
+        problems += [f"modality {m!r}" for m in (*self.modality_input, *self.modality_output) if m.strip().lower() not in MODALITIES]
         if self.status and self.status.lower() not in STATES:
             problems.append(f"status {self.status!r}")
         if problems:
@@ -167,9 +170,9 @@ class ModelFilter:
         if self.status:
             tests.append(strict(F.lower(of.get("status", "string")) == self.status.lower()))
         if self.modality_input:
-            tests.append(contains_all(of.get("input_modalities", "array<string>"), self.modality_input))
+            tests.append(contains_all(of.get("input_modalities", "array<string>"), [m.strip() for m in self.modality_input]))
         if self.modality_output:
-            tests.append(contains_all(of.get("output_modalities", "array<string>"), self.modality_output))
+            tests.append(contains_all(of.get("output_modalities", "array<string>"), [m.strip() for m in self.modality_output]))
         for name, wanted in self.features.items():
             flag = of.flags.get(name, F.lit(None).cast("boolean"))
             tests.append(F.coalesce(flag, F.lit(False)) == F.lit(wanted))
@@ -194,16 +197,17 @@ class ModelFilter:
             "context_window": F.when(of.get("context_window", "bigint") > 0, of.get("context_window", "bigint")),
             "created_at": of.get("created_at", "timestamp"), "updated_at": of.get("updated_at", "timestamp"),
         }[self.sort]
-        down = self.order == "desc"
+        down = self.order.lower() == "desc"
         if self.sort == "id":
             return [of.id.desc() if down else of.id.asc(), *ties]
         first = [] if key is None else [key.desc_nulls_last() if down else key.asc_nulls_last()]
         return [*first, of.id.asc(), *ties] if first else [*ties, of.id.asc()]
 
     def apply(self, df: DataFrame, of: Relation, *ties: Column) -> DataFrame:
-        """The filtered rows of the page, in order; a limit becomes a top-k without a full sort."""
+        """The filtered rows of the page, in order; a limit becomes a top-k without a full sort. `max_results` bounds the list before the page is taken."""
         self.validate()
         rows = df.where(self.condition(of)).orderBy(*self.keys(of, *ties))
+        rows = rows.limit(self.max_results) if self.max_results else rows
         rows = rows.offset(self.offset) if self.offset else rows
         return rows.limit(self.limit) if self.limit else rows
 
@@ -245,7 +249,7 @@ def parse_filter(parameters: Mapping[str, str], *, strict: bool = False) -> Mode
                 found[name] = value
         elif name in known:
             found[name] = text
-        elif strict and name not in ("provider", "max_results"):
+        elif strict and name != "provider":
             raise ValueError(f"unknown parameter {name!r}")
     found.setdefault("limit", 100)
     return ModelFilter(**found, features=features)

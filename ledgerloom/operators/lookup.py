@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import bounded_rows, bounded_side
+from ..common import bounded_side
 from .filters import glob_regex
 
 
@@ -97,26 +97,50 @@ def routed(targets: DataFrame, offers: DataFrame, keys: Sequence[str], eligible:
     return targets.join(offered, list(keys), "left").withColumn("reason", reason).drop("_ok")
 
 
-def attributed(df: DataFrame, text: str, patterns: DataFrame, *, most: int = 10_000) -> DataFrame:
+#: Globs up to this many become one CASE of anchored expressions.
+CASES = 100
+
+
+def attributed(df: DataFrame, text: str, patterns: DataFrame, *, cases: int = CASES) -> DataFrame:
     """`df` with `owner`: of the (pattern, owner) rows that fit, an exact one, else one that differs in case, else the longest glob, then by name.
 
-    The patterns must be few; they become one CASE of anchored expressions, so nothing is joined and
-    a row never meets all patterns.
+    A few globs become one CASE, so nothing is joined.  More of them are joined to the distinct values
+    by what they hold before their first wildcard, or behind their last where they start with one; so a
+    value meets only globs whose literal end it has.  Those with a wildcard at either end remain for the CASE.
     """
-    rows = bounded_rows(patterns.select("pattern", "owner").where("pattern is not null and owner is not null").distinct(), most)
+    rows = patterns.select("pattern", "owner").where("pattern is not null and owner is not null").distinct()
+    wild = F.col("pattern").rlike(r"[*?]")
     value = F.col(text)
-    choice = F.lit(None).cast("string")
-    globs = sorted((r for r in rows if "*" in r.pattern or "?" in r.pattern), key=lambda r: (-len(r.pattern), r.pattern, r.owner))
-    for r in reversed(globs):
-        choice = F.when(F.lower(value).rlike(glob_regex(r.pattern.lower())), r.owner).otherwise(choice)
-    exact = {}
-    for r in sorted(rows, key=lambda r: (r.pattern, r.owner)):
-        exact.setdefault(r.pattern, r.owner)
-    folded = {}
-    for p, o in sorted(exact.items()):
-        folded.setdefault(p.lower(), o)
-    table = lambda d, k: F.create_map(*(F.lit(x) for pair in d.items() for x in pair))[k] if d else F.lit(None).cast("string")
-    return df.withColumn("owner", F.coalesce(table(exact, value), table(folded, F.lower(value)), choice))
+    exact = rows.where(~wild).groupBy(F.col("pattern").alias("_pattern")).agg(F.min("owner").alias("_exact"))
+    low = rows.where(~wild).groupBy(F.lower("pattern").alias("_folded")).agg(F.min_by("owner", F.struct("pattern", "owner")).alias("_same"))
+    found = df.join(bounded_side(exact), value == F.col("_pattern"), "left").drop("_pattern")
+    found = found.join(bounded_side(low), F.lower(value) == F.col("_folded"), "left").drop("_folded")
+    globs = rows.where(wild).select(F.lower("pattern").alias("_p"), "pattern", "owner")
+    few = globs.limit(cases + 1).count() <= cases
+    loose = globs if few else globs.where(F.col("_p").rlike(r"^[*?]") & F.col("_p").rlike(r"[*?]$"))
+    choice = None
+    for r in sorted(loose.collect(), key=lambda r: (-len(r.pattern), r.pattern, r.owner)):
+        said = F.struct(F.lit(-len(r.pattern)).alias("n"), F.lit(r.pattern).alias("p"), F.lit(r.owner).alias("o"))
+        fits = F.lower(value).rlike(glob_regex(r._p))
+        choice = F.when(fits, said) if choice is None else choice.when(fits, said)
+    found = found.withColumn("_choice", F.lit(None).cast("struct<n:int,p:string,o:string>") if choice is None else choice)
+    if not few:
+        found = found.join(_fitting(df.select(F.lower(value).alias("_v")).where("_v is not null").distinct(), globs), F.lower(value) == F.col("_v"), "left").drop("_v")
+        found = found.withColumn("_choice", F.least("_choice", "_best"))
+    return found.select(*df.columns, F.coalesce("_exact", "_same", "_choice.o").alias("owner"))
+
+
+def _fitting(values: DataFrame, globs: DataFrame) -> DataFrame:
+    """(_v, _best): the best of the globs with a literal start or end that fit each value, as struct(n, p, o)."""
+    one = F.regexp_replace("_p", r"([^*?\p{L}\p{N}_])", r"\\$1")
+    one = F.regexp_replace(F.regexp_replace(one, r"\*", "[^/]*"), r"\?", "[^/]")
+    head, tail = F.regexp_extract("_p", r"^[^*?]*", 0), F.regexp_extract("_p", r"[^*?]*$", 0)
+    order = F.struct((-F.length("pattern")).alias("n"), F.col("pattern").alias("p"), F.col("owner").alias("o"))
+    keyed = globs.select((head != "").alias("_start"), F.when(head != "", head).otherwise(tail).alias("_lit"), F.concat(F.lit("^"), one, F.lit("$")).alias("_re"), order.alias("_o")).where("_lit <> ''")
+    sizes = keyed.select("_start", F.length("_lit").alias("_n")).distinct()  # at most two for each length of a pattern
+    asked = values.join(F.broadcast(sizes), F.length("_v") >= F.col("_n")).select("_v", "_start", F.when(F.col("_start"), F.expr("left(_v, _n)")).otherwise(F.expr("right(_v, _n)")).alias("_lit"))
+    met = asked.join(keyed, ["_start", "_lit"]).where(F.rlike("_v", F.col("_re")))
+    return met.groupBy("_v").agg(F.min("_o").alias("_best"))
 
 
 def linked_to_self(df: DataFrame, identity: str, link: str, table: DataFrame) -> DataFrame:

@@ -50,10 +50,10 @@ def operations(inputs: Column, outputs: Column, tags: Column) -> Column:
 
 
 def lifecycle(status: Column) -> Column:
-    """The lifecycle of a status; an unknown status raises."""
+    """The lifecycle of a status: none and ``unknown`` are unknown, ``beta`` counts as preview; a status that isn't in the list raises."""
     return (
-        F.when(status.isNull() | (status == "") | (status == "active"), "active").when(status.isin("alpha", "beta"), "preview").when(status == "deprecated", "deprecated")
-        .otherwise(F.raise_error(F.concat(F.lit("unknown status "), status)))
+        F.when(status.isNull() | status.isin("", "unknown"), "unknown").when(status == "active", "active").when(status.isin("beta", "preview"), "preview")
+        .when(status == "deprecated", "deprecated").otherwise(F.raise_error(F.concat(F.lit("unknown status "), status)))
     )
 
 

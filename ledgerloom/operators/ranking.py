@@ -32,10 +32,9 @@ def history(df: DataFrame, keys: Sequence[str], field: str, time: str, ties: Seq
 def conflicts(df: DataFrame, keys: Sequence[str], time: str, score: str, value: str) -> DataFrame:
     """(keys, second, entries, winner): times at which more than one entry was made, and the value of the highest positive score, then the smallest."""
     second = F.date_trunc("second", F.col(time)).alias("second")
-    order = F.struct(F.col(score).alias("s"), F.col(value).alias("v"))
-    grouped = df.groupBy(*keys, second).agg(F.count(F.lit(1)).alias("entries"), F.max(F.when(F.col(score) > 0, F.col(score))).alias("_best"), F.collect_set(F.when(F.col(score) > 0, order)).alias("_all"))
-    best = F.array_min(F.transform(F.filter("_all", lambda x: x["s"] == F.col("_best")), lambda x: x["v"]))
-    return grouped.where("entries > 1").select(*keys, "second", F.col("entries").cast("bigint").alias("entries"), best.alias("winner"))
+    order = F.when((F.col(score) > 0) & F.col(value).isNotNull(), F.struct((-F.col(score)).alias("s"), F.col(value).alias("v")))
+    grouped = df.groupBy(*keys, second).agg(F.count(F.lit(1)).alias("entries"), F.min_by(F.col(value), order).alias("winner"))
+    return grouped.where("entries > 1").select(*keys, "second", F.col("entries").cast("bigint").alias("entries"), "winner")
 
 
 def current_evidence(evidence: DataFrame, keys: Sequence[str], time: str, position: str, value: str, facts: DataFrame, fact: str) -> DataFrame:

@@ -19,7 +19,7 @@ from ..operators import projections as J
 from ..operators import ranking as R
 from ..operators import setops as U
 from ..operators import views as V
-from ..sources.converters import openai_models
+from ..sources.converters import model_status, openai_models
 from ..sources.payloads import decode_records, quarantined, unknown_members
 from ..streaming.publications import decided, newest, frames
 
@@ -383,18 +383,23 @@ def _versions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 _VERSIONS = "old as (select * from orders where o_orderkey % 10 <> 0), new as (select o_orderkey, o_custkey, case when o_orderkey % 7 = 0 then 'X' else o_orderstatus end o_orderstatus, case when o_orderkey % 11 = 0 then null else o_totalprice end o_totalprice, o_orderdate, o_orderpriority from orders where o_orderkey % 10 <> 1)"
+_PRICE_TEXT = "case when {c} is not null then printf('%.2f', {c}) end"
 _CHANGES = f"{_VERSIONS}, c as (select coalesce(o.o_orderkey, n.o_orderkey) o_orderkey, coalesce(o.o_orderpriority, n.o_orderpriority) p, case when o.o_orderkey is null then 'added' when n.o_orderkey is null then 'removed' when o.o_orderstatus is distinct from n.o_orderstatus or o.o_totalprice is distinct from n.o_totalprice then 'updated' end change_type, o.o_orderstatus os, n.o_orderstatus ns, o.o_totalprice op, n.o_totalprice np from old o full join new n using (o_orderkey))"
 
 
-@query(f"with {_CHANGES} select o_orderkey, change_type, p path, ov old, nv \"new\" from (select o_orderkey, change_type, null p, null ov, null nv from c where change_type <> 'updated' union all select o_orderkey, change_type, 'status', os, ns from c where change_type = 'updated' and os is distinct from ns)")
+@query(f"""with {_CHANGES} select o_orderkey, change_type, null path, null old, null \"new\" from c where change_type <> 'updated'
+union all select o_orderkey, change_type, 'status', os, ns from c where change_type = 'updated' and os is distinct from ns
+union all select o_orderkey, change_type, 'price', {_PRICE_TEXT.format(c="op")}, {_PRICE_TEXT.format(c="np")} from c where change_type = 'updated' and op is distinct from np""")
 def snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:
-    changes = D.field_changes(*_versions(spark, sf), ["o_orderkey"], {"status": "o_orderstatus", "price": "o_totalprice"})
-    return D.change_rows(changes, ["o_orderkey"]).where("path is null or path = 'status'")
+    """All changes: of the status and, as plain decimals, of the price."""
+    old, new = (d.withColumn("o_totalprice", F.when(F.col("o_totalprice").isNotNull(), F.format_string("%.2f", "o_totalprice"))) for d in _versions(spark, sf))
+    changes = D.field_changes(old, new, ["o_orderkey"], {"status": "o_orderstatus", "price": "o_totalprice"})
+    return D.change_rows(changes, ["o_orderkey"])
 
 
 @query(None)
 def snapshot_diff_all(spark: SparkSession, sf: str) -> DataFrame:
-    """All changes, those of the price too."""
+    """The same with prices as the engine prints doubles, which no other does alike."""
     changes = D.field_changes(*_versions(spark, sf), ["o_orderkey"], {"status": "o_orderstatus", "price": "o_totalprice"})
     return D.change_rows(changes, ["o_orderkey"])
 
@@ -506,19 +511,50 @@ def observation_health(spark: SparkSession, sf: str) -> DataFrame:
 # Scalars.
 
 
-@query("""select distinct shutdown_date, cast(coalesce(case when regexp_full_match(t, '\\d{4}-\\d{2}-\\d{2}') then try_strptime(t, '%Y-%m-%d')::date when regexp_full_match(t, '[A-Z][a-z]+ \\d{1,2}, \\d{4}') then null end,
-case when try_cast(regexp_extract(t, '^(\\d{4})', 1) as int) between 1901 and 2999 then make_date(try_cast(regexp_extract(t, '^(\\d{4})', 1) as int), 1, 1) end)::date as varchar) shutdown_day
-from (select shutdown_date, trim(shutdown_date) t from model_snapshot) where shutdown_date not like '%, %'""")
+_DATE_LAYOUTS = """coalesce(
+case when regexp_full_match(t, '\\d{4}-\\d{2}-\\d{2}') then try_cast(t as date) end,
+case when regexp_full_match(t, '\\d{4}-\\d{2}') then try_cast(t || '-01' as date) end,
+case when regexp_full_match(t, '\\d{4}') then try_cast(t || '-01-01' as date) end,
+case when regexp_full_match(t, '\\d{4}-\\d{2}-\\d{2}T\\d{1,2}:\\d{2}:\\d{2}([.,]\\d+)?(Z|[+-]\\d{2}:\\d{2})') then try_cast(substr(t, 1, 10) as date) end,
+case when try_cast(regexp_extract(t, '^(\\d{4})', 1) as int) between 1901 and 2999 then make_date(try_cast(regexp_extract(t, '^(\\d{4})', 1) as int), 1, 1) end)"""
+
+
+@query(f"select distinct t shutdown_date, cast({_DATE_LAYOUTS} as varchar) shutdown_day from (select shutdown_date t from model_snapshot)")
 def parse_dates(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "model_snapshot").where("shutdown_date not like '%, %'").select("shutdown_date").distinct()
+    rows = table(spark, sf, "model_snapshot").select("shutdown_date").distinct()
     return rows.select("shutdown_date", S.parse_date(F.col("shutdown_date")).cast("string").alias("shutdown_day"))
 
 
-@query(None)
+_ANY_LAYOUT = f"""coalesce(
+case when regexp_full_match(trim(d), '\\d{{4}}-\\d{{2}}-\\d{{2}}(T.*)?') then try_cast(substr(trim(d), 1, 10) as date) end,
+case when regexp_full_match(trim(d), '[A-Z][a-z]{{2}} \\d{{1,2}}, \\d{{4}}') then try_strptime(trim(d), '%b %d, %Y')::date end,
+case when try_cast(regexp_extract(trim(d), '^(\\d{{4}})', 1) as int) between 1901 and 2999 then make_date(try_cast(regexp_extract(trim(d), '^(\\d{{4}})', 1) as int), 1, 1) end)"""
+
+
+@query(f"select distinct d shutdown_date, cast({_ANY_LAYOUT} as varchar) shutdown_day from (select shutdown_date d from model_snapshot)")
 def parse_dates_all(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole column, RFC 3339 times by their day; the SQL of parse_dates has neither them nor month names and nulls."""
+    """The whole column with month names and RFC 3339 times."""
     rows = table(spark, sf, "model_snapshot").select("shutdown_date").distinct()
-    return rows.select("shutdown_date", S.parse_date(F.col("shutdown_date"), instants=True).cast("string").alias("shutdown_day"))
+    return rows.select("shutdown_date", S.any_date(F.col("shutdown_date"), instants=True).cast("string").alias("shutdown_day"))
+
+
+_STATUS_TEXTS = "t as (select event_id, case event_id % 9 when 0 then null when 1 then '' when 2 then 'active' when 3 then 'beta' when 4 then 'preview' when 5 then 'deprecated' when 6 then 'unknown' when 7 then ' Beta ' else event_type end s from events)"
+
+
+def _status_texts(spark: SparkSession, sf: str) -> DataFrame:
+    listed = F.array(*(F.lit(x) for x in (None, "", "active", "beta", "preview", "deprecated", "unknown", " Beta ")))
+    return table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 9 < 8, F.get(listed, (F.col("event_id") % 9).cast("int"))).otherwise(F.col("event_type")).alias("s"))
+
+
+@query(f"with {_STATUS_TEXTS} select event_id, case when s is null or s in ('', 'unknown') then 'unknown' when s in ('beta', 'preview') then 'preview' else s end lifecycle from t where s is null or s in ('', 'active', 'beta', 'preview', 'deprecated', 'unknown')")
+def lifecycle_states(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _status_texts(spark, sf).where("s is null or s in ('', 'active', 'beta', 'preview', 'deprecated', 'unknown')")
+    return rows.select("event_id", J.lifecycle(F.col("s")).alias("lifecycle"))
+
+
+@query(f"with {_STATUS_TEXTS} select event_id, case when lower(trim(coalesce(s, ''))) in ('', 'active', 'beta', 'preview', 'deprecated') then lower(trim(coalesce(s, ''))) else 'unknown' end status from t")
+def status_enums(spark: SparkSession, sf: str) -> DataFrame:
+    return _status_texts(spark, sf).select("event_id", model_status(F.col("s")).alias("status"))
 
 
 @query("select o_orderkey, epoch(case when o_orderstatus = 'F' then o_orderdate else null end)::bigint a, coalesce(epoch(case when o_orderstatus = 'F' then o_orderdate end)::bigint, 0) created from orders")
@@ -533,9 +569,15 @@ def identity_parts(spark: SparkSession, sf: str) -> DataFrame:
     return models(spark, sf).select("provider_id", "id", parts["owner"].alias("owner"), parts["slug"].alias("slug"), resource.alias("resource"), S.resource_parts(resource)["identity"].alias("round_trip"))
 
 
-@query(f"with {_LISTINGS} select distinct owned_by, case when coalesce(trim(owned_by), '') = '' then 'unknown' else replace(lower(trim(owned_by)), ' ', '-') end owner from listings")
+_OWNERS = f"{_LISTINGS}, named as (select distinct owned_by from listings union select id from author union select unnest(['canopylabs', 'huggingfaceh4', 'llama', 'moonshot', 'moonshotai', 'togetherai', 'zhipuai', ' LLAMA ', ' ']))"
+
+
+@query(f"""with {_OWNERS} select owned_by, case when coalesce(owned_by, '') = '' then 'unknown' else case owned_by when 'canopylabs' then 'canopy-labs' when 'huggingfaceh4' then 'huggingface' when 'llama' then 'meta'
+when 'moonshot' then 'moonshot-ai' when 'moonshotai' then 'moonshot-ai' when 'togetherai' then 'together' when 'zhipuai' then 'zhipu-ai' else replace(lower(regexp_replace(owned_by, '^\\s+|\\s+$', '', 'g')), ' ', '-') end end owner from named""")
 def owner_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return listings(spark, sf).select("owned_by").distinct().select("owned_by", S.owner_id(F.col("owned_by")).alias("owner"))
+    earlier = spark.createDataFrame([(a,) for a in (*S.OWNER_ALIASES, " LLAMA ", " ")], "owned_by string")
+    named = listings(spark, sf).select("owned_by").union(table(spark, sf, "author").select("id")).union(earlier).distinct()
+    return named.select("owned_by", S.owner_id(F.col("owned_by")).alias("owner"))
 
 
 @query("select p_partkey, list_sort(list_distinct(list_filter(string_split(p_name || ' ' || lower(p_type), ' '), lambda x: x <> ''))) tags from part")
@@ -571,16 +613,8 @@ def fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", S.fingerprint(F.col("id"), F.col("provider_id"), F.col("completeness"), F.lit(None)).alias("digest")).distinct()
 
 
-@query("select s_suppkey, string_split(v, ':')[1] base, coalesce(string_split(v, ':')[2], '') variant, regexp_replace(printf('%.4f', s_acctbal), '0+$', '') plain from (select *, s_name || case when s_suppkey % 2 = 0 then ':beta' else '' end v from supplier) where s_acctbal <> round(s_acctbal)")
+@query("select s_suppkey, string_split(v, ':')[1] base, coalesce(string_split(v, ':')[2], '') variant, regexp_replace(regexp_replace(printf('%.4f', s_acctbal), '0+$', ''), '\\.$', '') plain from (select *, s_name || case when s_suppkey % 2 = 0 then ':beta' else '' end v from supplier)")
 def split_variants(spark: SparkSession, sf: str) -> DataFrame:
-    named = table(spark, sf, "supplier").where("s_acctbal <> round(s_acctbal)").withColumn("v", F.concat("s_name", F.when(F.col("s_suppkey") % 2 == 0, ":beta").otherwise("")))
-    parts = S.split_variant(F.col("v"))
-    return named.select("s_suppkey", parts["base"].alias("base"), parts["variant"].alias("variant"), S.plain_decimal(F.col("s_acctbal")).alias("plain"))
-
-
-@query(None)
-def split_variants_all(spark: SparkSession, sf: str) -> DataFrame:
-    """All suppliers, those with a whole balance too."""
     named = table(spark, sf, "supplier").withColumn("v", F.concat("s_name", F.when(F.col("s_suppkey") % 2 == 0, ":beta").otherwise("")))
     parts = S.split_variant(F.col("v"))
     return named.select("s_suppkey", parts["base"].alias("base"), parts["variant"].alias("variant"), S.plain_decimal(F.col("s_acctbal")).alias("plain"))
@@ -600,18 +634,20 @@ def display_export(spark: SparkSession, sf: str) -> DataFrame:
     return display_rows(models(spark, sf), F.col("id"), F.col("owned_by"), F.col("context_window"), F.col("shutdown_date"))
 
 
-@query("""with p as (select distinct payload_id, case when json_valid(payload) then payload::json end j from endpoint_payload), e as (select payload_id, j, json_type(j, '$.data.endpoints') t from p)
-select payload_id, case when t = 'ARRAY' then least(len(cast(j->'$.data.endpoints' as json[])), 3) - len(list_filter(list_slice(cast(j->'$.data.endpoints' as json[]), 1, 3), lambda x: coalesce(json_type(x), '') <> 'OBJECT')) when t = 'OBJECT' then 0 else 0 end::bigint accepted,
-coalesce(case when t = 'ARRAY' then len(cast(j->'$.data.endpoints' as json[])) > 3 end, false) truncated from e where coalesce(t, '') <> 'OBJECT'""")
+_ENVELOPES = """p as (select distinct payload_id, payload, case when json_valid(payload) then payload::json end j from endpoint_payload),
+e as (select payload_id, payload, case json_type(j, '$.data.endpoints') when 'ARRAY' then cast(j->'$.data.endpoints' as json[]) when 'OBJECT' then list_transform(list_sort(json_keys(j, '$.data.endpoints')), lambda k: j->'$.data.endpoints'->k) end items from p),
+sorted as (select payload_id, payload, items, list_transform(items, lambda x: coalesce(json_type(x), '') = 'OBJECT') fine from e)"""
+
+
+@query(f"""with {_ENVELOPES} select payload_id, sum(coalesce(len(list_filter(list_slice(fine, 1, 3), lambda x: x)), 0))::bigint accepted, bool_or(coalesce(len(items) > 3, false)) truncated from sorted group by 1""")
 def payload_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Lists and objects of records, the first three of each."""
     rows = table(spark, sf, "endpoint_payload").select("payload_id", "payload").distinct()
     shape = T.StructType.fromDDL("model_id string, name string, tag string")
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json("payload"), "$.data.endpoints", "variant"))
-    listed = rows.where(~F.coalesce(F.startswith(kind, F.lit("OBJECT")), F.lit(False)))
-    return decode_records(listed, "payload_id", "payload", "data.endpoints", shape, limit=3).report.select("payload_id", "accepted", "truncated")
+    return decode_records(rows, "payload_id", "payload", "data.endpoints", shape, limit=3).report.select("payload_id", "accepted", "truncated")
 
 
-@query(None)
+@query(f"""with {_ENVELOPES} select payload_id, sum(coalesce(len(list_filter(fine, lambda x: x)), 0))::bigint accepted, sum(coalesce(len(list_filter(fine, lambda x: not x)), 0))::bigint rejected, false truncated, bool_or(items is null) broken from sorted group by 1""")
 def payload_records_all(spark: SparkSession, sf: str) -> DataFrame:
     """The whole report of all envelopes, lists and objects, without a limit."""
     rows = table(spark, sf, "endpoint_payload").select("payload_id", "payload").distinct()
@@ -670,11 +706,7 @@ _RECORDS = "r as (select distinct record_id, provider_id, payload::json j from l
 coalesce(try_cast(j->>'$.max_model_len' as double), try_cast(j->>'$.context_window' as double), try_cast(j->>'$.context_length' as double))::bigint context_window, try_cast(j->>'$.max_completion_tokens' as bigint) output_tokens from r""")
 def wire_models(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "list_payload").select("record_id", "provider_id", "payload").distinct()
-    # The converter keeps the provider column only, so the record's number rides in it.
-    tagged = rows.select(F.concat_ws("|", "record_id", "provider_id").alias("provider_id"), F.col("payload").alias("record"))
-    parts = F.split("provider_id", r"\|")
-    found = openai_models(tagged)
-    return found.select(parts.getItem(0).cast("bigint").alias("record_id"), parts.getItem(1).alias("provider_id"), "id", "owner", "created", "context_window", "output_tokens")
+    return openai_models(rows.withColumnRenamed("payload", "record")).select("record_id", "provider_id", "id", "owner", "created", "context_window", "output_tokens")
 
 
 @query("""with p as (select distinct payload_id, payload::json j from endpoint_payload where json_valid(payload)), d as (select payload_id, j->'$.data' d from p where json_type(j, '$.data') = 'OBJECT' and json_type(j, '$.data.architecture.input_modalities') = 'ARRAY'),

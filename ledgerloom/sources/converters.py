@@ -1,6 +1,7 @@
 """Wire records of provider listings to rows of one model relation.
 
-Every converter is a projection over JSON text: (provider_id, record) in, the same columns out.
+Every converter is a projection over JSON text: (provider_id, record) in, the same columns out.  Any
+further column of the input is passed on, unless it bears the name of one of them.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ OUTPUT = ("max_completion_tokens", "max_output_length", "output_token_limit", "m
 MODALITIES = ("text", "audio", "image", "video", "pdf", "embedding")
 #: Names of effort levels that differ between listings.
 LEVELS = {"minimal": "minimum", "minimum": "minimum", "low": "low", "medium": "medium", "high": "high", "max": "maximum", "maximum": "maximum", "xhigh": "maximum"}
-STATES = {"alpha": "alpha", "beta": "beta", "deprecated": "deprecated", "active": "active", "": "active"}
+#: States of models; any other text is unknown, none is none.
+STATES = {"": "", "active": "active", "beta": "beta", "preview": "preview", "deprecated": "deprecated"}
 
 
 def _member(record: Column, path: str, kind: str) -> Column:
@@ -35,7 +37,14 @@ def whole(record: Column, paths: Sequence[str]) -> Column:
 
 
 def _parsed(records: DataFrame) -> DataFrame:
-    return records.select("provider_id", F.explode_outer(F.array(F.try_parse_json("record"))).alias("_r")).where("_r is not null")
+    """Every column but the text, with the text as the variant `_r`."""
+    others = [c for c in records.columns if c != "record"]
+    return records.select(*others, F.explode_outer(F.array(F.try_parse_json("record"))).alias("_r")).where("_r is not null")
+
+
+def _kept(records: DataFrame) -> list[str]:
+    """Columns that a converter passes on as they are, beside the provider."""
+    return [c for c in records.columns if c not in ("record", *_COLUMNS)]
 
 
 _COLUMNS = ("provider_id", "id", "name", "owner", "created", "context_window", "output_tokens", "input_modalities", "capabilities")
@@ -48,7 +57,7 @@ def openai_models(records: DataFrame) -> DataFrame:
     owner = F.coalesce(F.nullif(F.trim(_member(r, "owned_by", "string")), F.lit("")), F.when(F.instr(identity, "/") > 0, F.substring_index(identity, "/", 1)))
     effort = F.coalesce(*(_member(r, p, "boolean") for p in ("capabilities.effort.supported", "capabilities.effort", "supports_effort")))
     return _parsed(records).select(
-        "provider_id", identity.alias("id"), F.coalesce(_member(r, "name", "string"), identity).alias("name"), owner.alias("owner"), whole(r, ["created"]).alias("created"),
+        *_kept(records), "provider_id", identity.alias("id"), F.coalesce(_member(r, "name", "string"), identity).alias("name"), owner.alias("owner"), whole(r, ["created"]).alias("created"),
         whole(r, CONTEXT).alias("context_window"), whole(r, OUTPUT).alias("output_tokens"), known_values(_member(r, "input_modalities", "array<string>"), MODALITIES).alias("input_modalities"),
         flag_names({"tools": _member(r, "supports_tools", "boolean"), "effort": effort, "batch": _member(r, "capabilities.batch.supported", "boolean")}).alias("capabilities"),
     ).where("id is not null and trim(id) <> ''")
@@ -61,7 +70,7 @@ def anthropic_models(records: DataFrame) -> DataFrame:
     levels = flag_names({LEVELS[n]: supported(f"effort.{n}") for n in ("low", "medium", "high", "max")})
     image = F.when(supported("image_input"), F.array(F.lit("text"), F.lit("image"))).otherwise(F.array(F.lit("text")))
     return _parsed(records).select(
-        "provider_id", _member(r, "id", "string").alias("id"), F.coalesce(_member(r, "display_name", "string"), _member(r, "id", "string")).alias("name"), F.lit("anthropic").alias("owner"),
+        *_kept(records), "provider_id", _member(r, "id", "string").alias("id"), F.coalesce(_member(r, "display_name", "string"), _member(r, "id", "string")).alias("name"), F.lit("anthropic").alias("owner"),
         F.unix_seconds(_member(r, "created_at", "string").try_cast("timestamp")).alias("created"), whole(r, ["max_input_tokens"]).alias("context_window"), whole(r, ["max_tokens"]).alias("output_tokens"),
         image.alias("input_modalities"), F.concat(flag_names({"batch": supported("batch"), "effort": supported("effort")}), F.transform(levels, lambda x: F.concat(F.lit("effort:"), x))).alias("capabilities"),
     ).where("id is not null and trim(id) <> ''")
@@ -73,7 +82,7 @@ def google_models(records: DataFrame) -> DataFrame:
     path = _member(r, "name", "string")
     methods = F.coalesce(_member(r, "supportedGenerationMethods", "array<string>"), F.array().cast("array<string>"))
     return _parsed(records).select(
-        "provider_id", last_path_part(path, "models/").alias("id"), F.coalesce(_member(r, "displayName", "string"), path).alias("name"), F.coalesce(part_after(path, "publishers"), F.lit("google")).alias("owner"),
+        *_kept(records), "provider_id", last_path_part(path, "models/").alias("id"), F.coalesce(_member(r, "displayName", "string"), path).alias("name"), F.coalesce(part_after(path, "publishers"), F.lit("google")).alias("owner"),
         F.lit(None).cast("bigint").alias("created"), whole(r, ["inputTokenLimit"]).alias("context_window"), whole(r, ["outputTokenLimit"]).alias("output_tokens"), F.lit(None).cast("array<string>").alias("input_modalities"),
         flag_names({
             "streaming": F.array_contains(methods, "streamGenerateContent"), "chat": F.array_contains(methods, "generateContent"), "embedding": F.array_contains(methods, "embedContent"),
@@ -82,6 +91,11 @@ def google_models(records: DataFrame) -> DataFrame:
     ).where("id is not null and trim(id) <> ''")
 
 
+def model_status(text: Column) -> Column:
+    """The state a text names, without regard to case and blanks around it; unknown for any other text, empty for none."""
+    return mapped(F.lower(F.trim(F.coalesce(text, F.lit("")))), STATES, F.lit("unknown"))
+
+
 def upstream_models(payloads: DataFrame, payload: str, aliases: DataFrame | None = None) -> DataFrame:
     """The nested map provider → models → record of an upstream index, one row a model.
 
@@ -98,7 +112,7 @@ def upstream_models(payloads: DataFrame, payload: str, aliases: DataFrame | None
     levels = F.array_compact(F.transform(F.get(efforts, F.lit(0))["values"], lambda v: mapped(F.lower(v), LEVELS)))
     return records.select(
         "provider_id", F.coalesce(_member(r, "id", "string"), F.col("_key")).alias("id"), _member(r, "name", "string").alias("name"), _member(r, "family", "string").alias("family"),
-        mapped(F.lower(F.trim(F.coalesce(_member(r, "status", "string"), F.lit("")))), STATES, F.lit("active")).alias("status"), _member(r, "release_date", "string").alias("release_date"),
+        model_status(_member(r, "status", "string")).alias("status"), _member(r, "release_date", "string").alias("release_date"),
         whole(r, ["limit.context"]).alias("context_window"), whole(r, ["limit.output"]).alias("output_tokens"), known_values(_member(r, "modalities.input", "array<string>"), MODALITIES).alias("input_modalities"),
         cleaned_tags(_member(r, "tags", "array<string>")).alias("tags"), levels.alias("effort_levels"),
         flag_names({n: _member(r, n, "boolean") for n in ("attachment", "reasoning", "structured_output", "temperature", "tool_call", "open_weights")}).alias("capabilities"),

@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..common import bounded_side
+
 #: The greatest size and nesting of a payload.
 MOST_BYTES = 16 * 1024 * 1024
 MOST_DEPTH = 64
+_OUTSIDE = re.compile(r'"(?:[^"\\]|\\.)*(?:"|$)|[^\[\]{}"]+', re.S)
 
 
 @dataclass
@@ -86,19 +91,9 @@ def _problem(text: str | None, most_bytes: int, most_depth: int) -> str | None:
         return "missing"
     if len(text.encode()) > most_bytes:
         return "size"
-    depth = deepest = 0
-    quoted = escaped = False
-    for c in text:
-        if quoted:
-            quoted, escaped = (c != '"' or escaped), c == "\\" and not escaped
-        elif c == '"':
-            quoted = True
-        elif c in "[{":
-            depth += 1
-            deepest = max(deepest, depth)
-        elif c in "]}":
-            depth -= 1
-    if deepest > most_depth:
+    brackets = np.frombuffer(_OUTSIDE.sub("", text).encode(), np.uint8)  # what stands in strings doesn't nest
+    steps = np.isin(brackets, (91, 123)).astype(np.int32) - np.isin(brackets, (93, 125))
+    if len(steps) and np.cumsum(steps).max() > most_depth:
         return "depth"
     try:
         json.loads(text)
@@ -108,11 +103,25 @@ def _problem(text: str | None, most_bytes: int, most_depth: int) -> str | None:
 
 
 def quarantined(df: DataFrame, keys: Sequence[str], identity: Column, name: Column, place: Column) -> tuple[DataFrame, DataFrame]:
-    """(rows with a sound identity and name, rejected rows with their reason): blank, padded or control characters, and later repeats of a key."""
+    """(rows with a sound identity and name, rejected rows with their reason): blank, padded or control characters, and later repeats of a key.
+
+    The first place of each key is a small aggregate, so that neither a key that most rows have nor the
+    rows without any meets in one window.
+    """
     from pyspark.sql import Window
 
     sound = lambda c: F.when(c.isNull() | (F.trim(c) == ""), "blank").when(c != F.trim(c), "padded").when(c.rlike(r"\p{Cntrl}"), "control characters")
     reason = F.coalesce(F.concat(F.lit("id: "), sound(identity)), F.concat(F.lit("name: "), F.when(name.isNotNull(), sound(name))))
-    again = F.row_number().over(Window.partitionBy(*keys, reason.isNull()).orderBy(place)) > 1
-    marked = df.withColumn("reason", F.coalesce(reason, F.when(again, F.lit("repeated"))))
-    return marked.where("reason is null").drop("reason"), marked.where("reason is not null")
+    columns = df.columns
+    told = df.select("*", reason.alias("reason"), place.alias("_place"))
+    sound_rows, bad = told.where("reason is null"), told.where("reason is not null")
+    first = sound_rows.groupBy(*keys).agg(F.min("_place").alias("_first"))
+    same = None
+    for i, k in enumerate(keys):
+        first = first.withColumnRenamed(k, f"_k{i}")
+        same = F.col(k).eqNullSafe(F.col(f"_k{i}")) if same is None else same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    joined = sound_rows.join(bounded_side(first), same)
+    again = (F.col("_place") > F.col("_first")) | (F.row_number().over(Window.partitionBy(*keys, "_place").orderBy(F.lit(0))) > 1)
+    joined = joined.withColumn("reason", F.when(again, F.lit("repeated")))
+    repeated = joined.where("reason is not null").select(*columns, "reason")
+    return joined.where("reason is null").select(*columns), bad.select(*columns, "reason").unionAll(repeated)

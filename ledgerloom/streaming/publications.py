@@ -4,25 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..common import bounded_side
+
 DECISIONS = ("activated", "duplicate", "stale", "conflict")
 _STATE = "generation_id string, digest string, generated_at timestamp"
 
 
-def decided(publications: DataFrame, stream: str = "stream", sequence: str = "sequence") -> DataFrame:
+def decided(publications: DataFrame, stream: str = "stream", sequence: str = "sequence", *, block_rows: int = 500_000) -> DataFrame:
     """`publications` (stream, sequence, generation_id, digest, generated_at) with the `decision` on each, for a bounded relation.
 
     In order of the sequence: a generation newer than all before it is activated; the active one again
     is a duplicate, or a conflict with another digest; an older one is stale; an equally old one with
     another digest is a conflict.  Rows that were turned down never lie ahead of the active one, so the
     running maximum of the times is the active generation's.
+
+    A stream is cut by its sequence numbers into blocks of about `block_rows` rows.  The running maximum
+    goes over the blocks' maxima first and then inside each block, so that no stream is one task.
     """
-    before = Window.partitionBy(stream).orderBy(sequence).rowsBetween(Window.unboundedPreceding, -1)
-    active = F.max(F.struct(F.col("generated_at").alias("at"), (-F.col(sequence)).alias("s"), F.col("generation_id").alias("id"), F.col("digest").alias("d"))).over(before)
+    row = F.struct(F.col("generated_at").alias("at"), (-F.col(sequence)).alias("s"), F.col("generation_id").alias("id"), F.col("digest").alias("d"))
+    sizes = publications.groupBy(F.col(stream).alias("_stream")).agg(F.min(sequence).alias("_low"), F.max(sequence).alias("_high"), F.count(F.lit(1)).alias("_rows"))
+    blocks = F.ceil(F.col("_rows") / F.lit(float(block_rows)))
+    block = F.floor((F.col(sequence) - F.col("_low")) / (F.col("_high") - F.col("_low") + 1) * blocks).cast("int")
+    cut = publications.join(bounded_side(sizes), F.col(stream).eqNullSafe(F.col("_stream"))).withColumn("_block", block).drop("_stream", "_low", "_high", "_rows")
+    so_far = Window.partitionBy(stream).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    tops = cut.groupBy(stream, "_block").agg(F.max(row).alias("_top")).select(F.col(stream).alias("_s"), F.col("_block").alias("_b"), F.max("_top").over(so_far).alias("_ahead"))
+    cut = cut.join(bounded_side(tops), F.col(stream).eqNullSafe(F.col("_s")) & F.col("_block").eqNullSafe(F.col("_b"))).drop("_s", "_b")
+    before = Window.partitionBy(stream, "_block").orderBy(sequence).rowsBetween(Window.unboundedPreceding, -1)
+    active = F.greatest(F.max(row).over(before), "_ahead")
     a = F.col("_active")
     decision = (
         F.when(a.isNull(), "activated")
@@ -31,31 +45,31 @@ def decided(publications: DataFrame, stream: str = "stream", sequence: str = "se
         .when(F.col("generated_at") == a["at"], F.when(F.col("digest") == a["d"], "duplicate").otherwise("conflict"))
         .otherwise("activated")
     )
-    return publications.withColumn("_active", active).withColumn("decision", decision).drop("_active")
+    return cut.withColumn("_active", active).withColumn("decision", decision).drop("_active", "_ahead", "_block")
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    active = state.get if state.exists else None
+    """The decisions on the new rows of a stream, all at once: the newest time so far is a running maximum that starts from the state."""
     rows = pd.concat(list(batches)).sort_values("sequence", kind="stable")
-    found = []
-    for r in rows.itertuples(index=False):
-        at = r.generated_at.to_pydatetime()
-        if active is None:
-            said = "activated"
-        elif r.generation_id == active[0]:
-            said = "duplicate" if r.digest == active[1] else "conflict"
-        elif at < active[2]:
-            said = "stale"
-        elif at == active[2]:
-            said = "duplicate" if r.digest == active[1] else "conflict"
-        else:
-            said = "activated"
-        if said == "activated":
-            active = (r.generation_id, r.digest, at)
-        found.append((key[0], r.sequence, r.generation_id, said))
-    if active is not None:
-        state.update(active)
-    yield pd.DataFrame(found, columns=["stream", "sequence", "generation_id", "decision"])
+    if state.exists:
+        ids, digests, times = ([v] for v in state.get)
+    else:
+        ids, digests, times = [], [], []
+    ids, digests = np.array([*ids, *rows.generation_id], dtype=object), np.array([*digests, *rows.digest], dtype=object)
+    times = pd.to_datetime([*times, *rows.generated_at]).to_numpy().astype("datetime64[ns]").astype(np.int64)
+    highest = np.maximum.accumulate(times)
+    newer = np.append(True, times[1:] > highest[:-1])  # the first of those equally new stays active
+    active = np.maximum.accumulate(np.where(newer, np.arange(len(times)), 0))
+    mine = np.arange(1 if state.exists else 0, len(times))
+    before = np.maximum(active[mine - 1], 0)
+    same = digests[mine] == digests[before]
+    met = (ids[mine] == ids[before]) | (times[mine] == times[before])
+    said = np.where(met, np.where(same, "duplicate", "conflict"), np.where(times[mine] < times[before], "stale", "activated"))
+    if not state.exists and len(said):
+        said[0] = "activated"
+    last = active[-1]
+    state.update((ids[last], digests[last], pd.Timestamp(times[last]).to_pydatetime()))
+    yield pd.DataFrame({"stream": key[0], "sequence": rows.sequence.to_numpy(), "generation_id": rows.generation_id.to_numpy(), "decision": said.astype(object)})
 
 
 def decisions(publications: DataFrame) -> DataFrame:

@@ -46,3 +46,16 @@ def test_lineage(spark, rows):
     data = spark.createDataFrame([("a", "A"), ("b", "A"), ("c", "nobody"), ("d", None)], "id string, parent string")
     table = alias_table(spark.createDataFrame([("A", "a", False)], "alias string, target string, direct boolean"))
     assert rows(linked_to_self(data, "id", "parent", table)) == sorted([("a", None, "self"), ("b", "a", "found"), ("c", None, "missing"), ("d", None, "none")], key=repr)
+
+
+def test_many_globs(spark, rows):
+    """Beyond a few, globs are joined by their literal ends; both ways give the same owners."""
+    patterns = [(f"org{i}/m*", f"o{i}") for i in range(300)] + [("*-vision", "eye"), ("*x*", "any"), ("org7/m?", "short"), ("org7/m*", "alsoseven"), ("a.b(*", "odd"), ("ORG9/*", "nine"), ("org9/m1", "exact"), ("é*", "accent")]
+    values = [f"org{i}/m1" for i in range(0, 300, 50)] + ["org7/m", "org7/mm", "org7/m/z", "big-vision", "axb", "a.b(c", "aab(c", "org9/q", "org9/m1", "Org9/M1", "éa", "", None, "nothing"] + ["org7/mm"] * 500
+    known = spark.createDataFrame(patterns, "pattern string, owner string")
+    asked = spark.createDataFrame([(v, "p") for v in values], "v string, pattern string")
+    wide = rows(attributed(asked, "v", known))
+    assert wide == rows(attributed(asked, "v", known, cases=1000)) and len(wide) == len(values)
+    found = {v: o for v, _, o in wide}
+    assert found["org7/mm"] == "alsoseven" and found["org7/m"] == "alsoseven" and found["a.b(c"] == "odd" and found["aab(c"] is None and found["org9/m1"] == found["Org9/M1"] == "exact"
+    assert found["org7/m/z"] is None and found["big-vision"] == "eye" and found["axb"] == "any" and found["org9/q"] == "nine" and found["éa"] == "accent" and found[""] is None

@@ -18,23 +18,34 @@ def test_days(spark):
 
 
 def test_parse_date(spark):
-    texts = {"2025-01-02": (2025, 1, 2), "2025-01": (2025, 1, 1), "01/02/2025": (2025, 1, 2), "March 4, 2025": (2025, 3, 4), "2025 or so": (2025, 1, 1), "1800": None, "2025-13-01": (2025, 1, 1), "x": None, None: None}
+    texts = {
+        "2024-06-15": (2024, 6, 15), "2024-06": (2024, 6, 1), "2024": (2024, 1, 1), "1800": (1800, 1, 1), "2024-06-15T10:00:00Z": (2024, 6, 15), "2026-08-12T23:59:59.5-05:00": (2026, 8, 12),
+        "2026-02-30": (2026, 1, 1), "2026-02-30T00:00:00Z": (2026, 1, 1), "2025-13": (2025, 1, 1), "2025 or so": (2025, 1, 1), "2026/08/12": (2026, 1, 1), "20260812": (2026, 1, 1), "3000-xx": None,
+        "01/02/2025": None, "March 4, 2025": None, " 2024-06-15": None, "2024-06-15 ": (2024, 1, 1), "x": None, "": None, None: None,
+    }
     assert values(spark, texts, S.parse_date) == [d and dt.date(*d) for d in texts.values()]
 
 
-def test_parse_date_of_instants_and_short_months(spark):
+def test_any_date(spark):
+    texts = {"2025-01-02": (2025, 1, 2), "2025-01": (2025, 1, 1), "01/02/2025": (2025, 1, 2), "March 4, 2025": (2025, 3, 4), "2025 or so": (2025, 1, 1), "1800": None, "2025-13-01": (2025, 1, 1), "x": None, None: None}
+    assert values(spark, texts, S.any_date) == [d and dt.date(*d) for d in texts.values()]
+
+
+def test_any_date_of_instants_and_short_months(spark):
     texts = {
         "2026-08-12T00:00:00Z": (2026, 8, 12), " 2026-08-12T23:59:59.123456789-05:00 ": (2026, 8, 12), "2026-08-12T00:30:00+09:00": (2026, 8, 12), "2024-02-29T12:00:00Z": (2024, 2, 29),
         "2026-02-30T00:00:00Z": (2026, 1, 1), "2026-08-12T24:00:00Z": (2026, 1, 1), "2026-08-12T00:00:00": (2026, 1, 1), "2026-08-12 00:00:00Z": (2026, 1, 1), "2026-08-12T00:00:00+25:00": (2026, 1, 1),
         "Jun 12, 2027": (2027, 6, 12), "May 1, 2027": (2027, 5, 1), "June 12, 2027": (2027, 6, 12), "Xyz 1, 2027": None, "Feb 30, 2027": None, "2026-08-12": (2026, 8, 12), "20260812": (2026, 1, 1), "": None, None: None,
     }
-    assert values(spark, texts, lambda c: S.parse_date(c, instants=True)) == [d and dt.date(*d) for d in texts.values()]
+    assert values(spark, texts, lambda c: S.any_date(c, instants=True)) == [d and dt.date(*d) for d in texts.values()]
 
 
 def test_identities(spark):
     assert values(spark, ["a/b", "a", "a/b/c", "/b", None], lambda c: S.definition_parts(c)["slug"]) == ["b", None, None, None, None]
     assert values(spark, ["a", "a:b", "a:b:c"], lambda c: S.split_variant(c)["variant"]) == ["", "b", None]
     assert values(spark, ["x y", " Meta AI ", "", None], S.owner_id) == ["x-y", "meta-ai", "unknown", "unknown"]
+    earlier = ["canopylabs", "huggingfaceh4", "llama", "moonshot", "moonshotai", "togetherai", "zhipuai", " LLAMA ", "  Example Author  ", " "]
+    assert values(spark, earlier, S.owner_id) == ["canopy-labs", "huggingface", "meta", "moonshot-ai", "moonshot-ai", "together", "zhipu-ai", "llama", "example-author", ""]
     resource = lambda c: S.resource_parts(S.resource_id(F.lit("p/1"), c))["identity"]
     assert values(spark, ["a/b c%", "é"], resource) == ["a/b c%", "é"]
     assert values(spark, ["a", "a/b/c", "%zz/b", "a%2Fb/c"], lambda c: S.resource_parts(c)["scope"]) == [None, None, None, "a/b"]

@@ -32,7 +32,7 @@ def test_snapshot_diff_all(spark, rows, tmp_path):
     ], key=repr)
 
 
-def test_split_variants_all(spark, rows, tmp_path):
+def test_split_variants(spark, rows, tmp_path):
     spark.createDataFrame([(1, "a", 5.0), (2, "b", 0.0), (3, "c", -1.25), (4, "d:x", 100.0)], "s_suppkey bigint, s_name string, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
-    found = QUERIES["split_variants_all"](spark, str(tmp_path)).select("s_suppkey", "base", "variant", "plain")
+    found = QUERIES["split_variants"](spark, str(tmp_path)).select("s_suppkey", "base", "variant", "plain")
     assert rows(found) == [(1, "a", "", "5"), (2, "b", "beta", "0"), (3, "c", "", "-1.25"), (4, None, None, "100")]
