@@ -46,13 +46,13 @@ def canonical(value: object) -> str:
     return json.dumps(value, sort_keys=True, ensure_ascii=False).lower()
 
 
-def leaves_of(text: str | None, *, nulls: bool = False) -> Iterator[tuple[str, int, str | None, str | None]] | None:
+def leaves_of(text: str | None, *, nulls: bool = False, wanted: frozenset[str] | None = None) -> Iterator[tuple[str, int, str | None, str | None]] | None:
     """(dotted path, kind, text, canonical value) of each value of a record that is neither null nor an object.
 
     None if the text is no valid JSON object.  With `nulls` an explicit null is a leaf of kind 0.
     """
     record = _record(text)
-    return None if record is None else _walk(record, nulls)
+    return None if record is None else _walk(record, nulls, wanted)
 
 
 def _record(text: str | None) -> dict | None:
@@ -66,7 +66,7 @@ def _record(text: str | None) -> dict | None:
     return record if isinstance(record, dict) else None
 
 
-def _walk(record: dict, nulls: bool) -> Iterator[tuple[str, int, str | None, str | None]]:
+def _walk(record: dict, nulls: bool, wanted: frozenset[str] | None = None) -> Iterator[tuple[str, int, str | None, str | None]]:
     open_ = [("", record)]
     while open_:
         prefix, inner = open_.pop()
@@ -74,6 +74,8 @@ def _walk(record: dict, nulls: bool) -> Iterator[tuple[str, int, str | None, str
             path = f"{prefix}{name}"
             if isinstance(value, dict):
                 open_.append((f"{path}.", value))
+            elif wanted is not None and path not in wanted:
+                continue
             elif isinstance(value, bool):
                 yield path, KINDS["boolean"], canonical(value), canonical(value)
             elif isinstance(value, int):
@@ -93,7 +95,7 @@ def _digest(text: str | None) -> str | None:
     return text if text is None or len(text) <= 32 else hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
-def leaves(payloads: DataFrame, *, payload: str = "payload", nulls: bool = False, short: bool = False) -> DataFrame:
+def leaves(payloads: DataFrame, *, payload: str = "payload", nulls: bool = False, short: bool = False, wanted: frozenset[str] | None = None) -> DataFrame:
     """The leaves of all readable records, one row each; Python reads each Arrow batch of texts once.
 
     A path names no row of its own where a record holds null, unless `nulls` asks for it; a readable
@@ -105,7 +107,7 @@ def leaves(payloads: DataFrame, *, payload: str = "payload", nulls: bool = False
         for batch in batches:
             rows: list[tuple] = []
             for feed, file, record, text in zip(*(c.to_pylist() for c in batch.columns)):
-                found = leaves_of(text, nulls=nulls)
+                found = leaves_of(text, nulls=nulls, wanted=wanted)
                 if found is None:
                     continue
                 found = list(found)
@@ -129,6 +131,9 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
 
+#: Paths that have a member of their own; with more of them, names are data, and the rarer ones share a map.
+MOST_PATHS = 5_000
+
 #: Parts that a file's records are dealt into where they have to move to meet what is known of the file.
 SALTS = 16
 
@@ -142,16 +147,17 @@ def file_kinds(payloads: DataFrame, *, payload: str = "payload") -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[tuple, int] = {}
+            files: dict[tuple, dict[str | None, int]] = {}
             for feed, file, text in zip(*(c.to_pylist() for c in batch.columns)):
-                found[feed, file, None] = 0
+                found = files.get((feed, file))
+                if found is None:
+                    found = files[feed, file] = {None: 0}
                 for path, kind in kinds_of(text):
-                    found[feed, file, path] = found.get((feed, file, path), 0) | kind
-            if found:
-                keys = list(zip(*found))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[0], pa.int64()), pa.array(keys[1], pa.int32()), pa.array(keys[2], pa.string()), pa.array(found.values(), pa.int32())], ["feed_id", "file_no", "path", "kinds"]
-                )
+                    found[path] = found.get(path, 0) | kind
+            if files:
+                rows = [(feed, file, path, kind) for (feed, file), found in files.items() for path, kind in found.items()]
+                types = [pa.int64(), pa.int32(), pa.string(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["feed_id", "file_no", "path", "kinds"])
 
     picked = payloads.select("feed_id", "file_no", payload).where("feed_id is not null and file_no is not null")
     return picked.mapInArrow(read, "feed_id bigint, file_no int, path string, kinds int").groupBy("feed_id", "file_no", "path").agg(F.bit_or("kinds").alias("kinds"))
@@ -242,7 +248,10 @@ def _renames(payloads: DataFrame, fields: DataFrame, share: float) -> DataFrame:
     ends = F.explode(F.array(F.struct(F.col("_pair").alias("no"), F.lit(True).alias("new")), F.struct(F.col("_before").alias("no"), F.lit(False).alias("new"))))
     ends = ripe.select("feed_id", "_pair", ends.alias("_end")).select("feed_id", F.col("_end.no").alias("file_no"), "_pair", F.col("_end.new").alias("_new"))
     picked = payloads.select("feed_id", "file_no", "record_id", "payload")
-    read = leaves(_met(picked, ends.select("feed_id", "file_no").distinct(), ["feed_id", "file_no"], F.xxhash64("record_id", "payload")), short=True).where("id is not null")
+    paths = {r.path for r in loose.select("path").distinct().limit(MOST_PATHS + 1).collect()}
+    wanted = frozenset(paths | {"id"}) if len(paths) <= MOST_PATHS else None
+    met = _met(picked, ends.select("feed_id", "file_no").distinct(), ["feed_id", "file_no"], F.xxhash64("record_id", "payload"))
+    read = leaves(met, short=True, wanted=wanted).where("id is not null")
     # Of the values only those of the fields in question are kept, beside one row for each id of a newer file.
     asked = loose.join(ripe.select("feed_id", "_pair"), ["feed_id", "_pair"]).select(
         "feed_id", F.when(F.col("_now").isNull(), F.col("_before")).otherwise(F.col("_pair")).alias("file_no"), "path", "_pair", F.col("_then").isNull().alias("_new")
@@ -280,10 +289,6 @@ CONTEXT = ("max_model_len", "maxModelLen", "context_window", "contextWindow", "l
 #: Column types of the typed branches; arrays stay JSON text.
 BRANCHES = {"boolean": "boolean", "integer": "bigint", "decimal": "double", "string": "string", "array": "string"}
 
-#: Paths that have a member of their own; with more of them, names are data, and the rarer ones share a map.
-MOST_PATHS = 5_000
-
-
 def inferred(kinds: DataFrame, most: int = MOST_PATHS) -> tuple[dict[str, int], bool]:
     """The fused schema of file_kinds(): each path with the bits of all kinds met, 0 for one that is always null; and whether there are more.
 
