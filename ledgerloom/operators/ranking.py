@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +23,31 @@ def unknown_on_tie(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return both.select(*keys, F.when(agreed, F.col("_low")).alias(value), F.coalesce(agreed, F.lit(False)).alias("agreed"))
 
 
+#: The evidence behind a fact, what counts most first; more is better in each.
+EVIDENCE = ("has_evidence", "authority", "observed_at", "stated_at", "confidence", "recorded_at")
+
+
+def evidence_order(columns: Mapping[str, Column]) -> list[Column]:
+    """Sort keys of facts by the evidence behind them; a missing one counts least."""
+    return [columns[name].desc_nulls_last() for name in EVIDENCE if name in columns]
+
+
+def fact_by_evidence(facts: DataFrame, keys: Sequence[str], evidence: Mapping[str, Column], value: str, provider: str) -> DataFrame:
+    """(keys, value, provider, agreed, held): the fact of the best evidence.
+
+    Where facts tie for it and differ, `value` is null and `agreed` false; `held` is then the one that
+    comes first by value and provider, which decides where a value must be had.  Facts without a value
+    don't take part.
+    """
+    known = facts.where(F.col(value).isNotNull())
+    window = Window.partitionBy(*keys).orderBy(*evidence_order(evidence))
+    top = known.withColumn("_r", F.rank().over(window)).where("_r = 1")
+    first = F.min_by(F.struct(F.col(value).alias("v"), F.col(provider).alias("p")), F.struct(F.col(value).alias("v"), F.col(provider).alias("p"))).alias("_first")
+    both = top.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), first)
+    agreed = F.col("_low") == F.col("_high")
+    return both.select(*keys, F.when(agreed, F.col("_low")).alias(value), F.col("_first.p").alias(provider), agreed.alias("agreed"), F.col("_first.v").alias("held"))
+
+
 def history(df: DataFrame, keys: Sequence[str], field: str, time: str, ties: Sequence[Column] = ()) -> DataFrame:
     """`df` with `place` within each field's history, newest first, and `current` for the newest."""
     window = Window.partitionBy(*keys, field).orderBy(F.col(time).desc_nulls_last(), *ties)
