@@ -59,7 +59,7 @@ def _offset(written: Column) -> Column:
     return F.rpad(F.regexp_replace(offset, r"^([+-]\d{2}):?(\d{2})$", "$1:$2"), 6, ":00")
 
 
-def with_instants(df: DataFrame, text: Column, zone: Column, date_order: Column, name: str = "utc_us", *, low: int = FROM_SECONDS, high: int = TO_SECONDS, shift_gaps: bool = True) -> DataFrame:
+def with_instants(df: DataFrame, text: Column, zone: Column, date_order: Column, name: str = "utc_us", *, low: int = FROM_SECONDS, high: int = TO_SECONDS, shift_gaps: bool = True, ambiguous: str = "first") -> DataFrame:
     """`df` with a column of the UTC microseconds of the instant `text` states, or null.
 
     - Null, blank, unreadable text, impossible dates and times (30 February, month 13, hour 25) and
@@ -69,8 +69,10 @@ def with_instants(df: DataFrame, text: Column, zone: Column, date_order: Column,
     - ``01/02/2026`` follows `date_order` (``mdy`` or ``dmy``); with any other order it is read only
       where one of the two numbers is above 12.
     - Missing time parts are zero, digits below a microsecond are cut off.
-    - A local time that occurs twice is its first occurrence.  One that a clock change skips is moved
-      on by the length of the gap (`shift_gaps`), or gives null with ``shift_gaps=False``.
+    - A local time that occurs twice, with nothing written that tells which, is its first occurrence, its
+      last or none at all, as `ambiguous` says: ``first``, ``last`` or ``reject``.
+    - One that a clock change skips is moved on by the length of the gap (`shift_gaps`), or gives null
+      with ``shift_gaps=False``.
 
     The work is staged in projections, each of which uses the one before it more than once, so the
     optimizer keeps them apart and every pattern runs at most once on a value.
@@ -110,11 +112,19 @@ def with_instants(df: DataFrame, text: Column, zone: Column, date_order: Column,
     )
     staged = staged.select(*kept, "__t", "__local", at.alias("__at"))
     micros = F.unix_micros(F.concat("__local", "__at").try_cast("timestamp"))
-    if not shift_gaps:  # an instant of a local time that exists gives that local time back
-        local, region = F.col("__local").try_cast("timestamp_ntz"), F.when(F.col("__at").startswith(" "), F.trim("__at"))
-        same = F.from_utc_timestamp(F.timestamp_micros(micros), region) == F.from_utc_timestamp(F.to_utc_timestamp(local, region), region)
-        same = same & (F.date_format(F.convert_timezone(F.lit("UTC"), region, F.timestamp_micros(micros).cast("timestamp_ntz")), "HH:mm") == F.date_format(local, "HH:mm"))
-        micros = F.when(micros.isNull() | region.isNull() | same, micros)
+    if ambiguous not in ("first", "last", "reject"):
+        raise ValueError(f"ambiguous is {ambiguous!r}")
+    if not shift_gaps or ambiguous != "first":
+        staged = staged.select(*kept, "__t", "__local", F.when(F.col("__at").startswith(" "), F.trim("__at")).alias("__region"), micros.alias("__first"))
+        first, region = F.col("__first"), F.col("__region")
+        clock = lambda u: F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(u), region))  # noqa: E731  what clocks there show, counted as if it were UTC
+        day = F.lit(86_400_000_000)
+        later = first + (clock(first) - first) - (clock(first + day) - (first + day))
+        twice = F.coalesce((later > first) & (clock(later) == clock(first)), F.lit(False))
+        micros = first if ambiguous == "first" else F.when(twice, later if ambiguous == "last" else F.lit(None)).otherwise(first)
+        if not shift_gaps:  # the clock of an instant of a local time that exists shows that time
+            there = clock(first) == F.unix_micros(F.concat("__local", F.lit("+00:00")).try_cast("timestamp"))
+            micros = F.when(region.isNull() | first.isNull() | there, micros)
     staged = staged.select(*kept, "__t", micros.alias("__micros"))
     number = epoch_micros(F.when(t.rlike(_NUMBER), t), low, high)
     staged = staged.select(*kept, F.coalesce(number, "__micros").alias("__micros"))
@@ -138,9 +148,9 @@ def normalised_instants(listings: DataFrame, zones: DataFrame, fields: dict[str,
         F.col("_key").alias(key), F.col("_f.field_name").alias("field_name"), F.col("_f.text").alias("_text"), "tz_name", "date_order"
     )
     found = with_instants(long, F.col("_text"), F.col("tz_name"), F.col("date_order"), **options)
-    # A row number holds the filter above the cascade; pushed below it, it would run the cascade twice.
-    found = found.select(key, "field_name", "utc_us", F.monotonically_increasing_id().alias("_row"))
-    return found.where("utc_us is not null and _row >= 0").select(key, "field_name", "utc_us").distinct()
+    # The generator holds the filter above the cascade; pushed below it, it would run the cascade twice.
+    found = found.select(key, "field_name", F.explode(F.array("utc_us")).alias("utc_us"))
+    return found.where("utc_us is not null").distinct()
 
 
 def listing_instants(listings: DataFrame, zones: DataFrame, **options) -> DataFrame:

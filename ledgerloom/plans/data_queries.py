@@ -8,7 +8,7 @@ from ..common import table
 from ..operators.nested_tables import endpoint_members
 from ..operators.schema_drift import schema_changes, unified
 from ..operators.snapshot_changes import listing_changes
-from ..operators.timestamps import listing_instants
+from ..operators.timestamps import ABBREVIATIONS, listing_instants
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -38,7 +38,36 @@ _DAY = """coalesce(
                 when regexp_full_match(trim(shutdown_date), '\\d{8}') then strftime(try_strptime(trim(shutdown_date), '%Y%m%d'), '%Y-%m-%d') end as date),
   try_strptime(trim(shutdown_date), '%b %d, %Y')::date)"""
 
+_ABBREVIATED = ", ".join(f"('{name}', {(-1 if offset[0] == '-' else 1) * (int(offset[1:3]) * 60 + int(offset[4:]))})" for name, offset in ABBREVIATIONS.items())
+_MONTHS = "list_position(['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'], left(lower({m}), 3))"
+
 SQL = {
+    "p4_found": rf"""
+with long as (select distinct listing_id, source_id, field_name, trim(regexp_replace(t, '\s+', ' ', 'g')) t from (
+  select listing_id, source_id, 'created' field_name, created t from model_listing union all select listing_id, source_id, 'created_at', created_at from model_listing
+  union all select listing_id, source_id, 'openrouter.created', openrouter.created::varchar from model_listing union all select listing_id, source_id, 'fetched_at', fetched_at from model_listing) where listing_id is not null and t is not null),
+zoned as (select l.*, coalesce(tz_name, 'UTC') tz, lower(coalesce(date_order, '')) o from long l left join source_zone using (source_id)),
+numbered as (select *, case when regexp_full_match(t, '[+-]?\d+(\.\d*)?([eE][+-]?\d+)?') then try_cast(t as decimal(38, 10)) end n from zoned),
+counted as (select *, case when n >= 1420070400 and n < 2051222400 then floor(n * 1000000)::hugeint when n >= 1420070400000 and n < 2051222400000 then floor(n * 1000)::hugeint
+  when n >= 1420070400000000 and n < 2051222400000000 then floor(n)::hugeint when n >= 1420070400000000000 and n < 2051222400000000000 then floor(n)::hugeint // 1000 end us from numbered),
+split as (select *, case
+  when regexp_matches(t, '^\d{{4}}[-/.]\d{{1,2}}[-/.]\d{{1,2}}(\D|$)') then regexp_extract(t, '^(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}})(.*)$', ['y', 'm', 'd', 'r'])
+  when regexp_matches(t, '^\d{{8}}(\D|$)') then regexp_extract(regexp_replace(t, '^(\d{{8}})[Tt ]?(\d{{2}})(\d{{2}})(\d{{2}})', '\1T\2:\3:\4'), '^(\d{{4}})(\d{{2}})(\d{{2}})(.*)$', ['y', 'm', 'd', 'r'])
+  when regexp_matches(t, '^\d{{1,2}}[-/.]\d{{1,2}}[-/.]\d{{4}}') and (o = 'mdy' or o <> 'dmy' and regexp_extract(t, '^\d{{1,2}}[-/.](\d{{1,2}})', 1)::int > 12) then regexp_extract(t, '^(\d{{1,2}})[-/.](\d{{1,2}})[-/.](\d{{4}})(.*)$', ['m', 'd', 'y', 'r'])
+  when regexp_matches(t, '^\d{{1,2}}[-/.]\d{{1,2}}[-/.]\d{{4}}') and (o = 'dmy' or o <> 'mdy' and regexp_extract(t, '^(\d{{1,2}})', 1)::int > 12) then regexp_extract(t, '^(\d{{1,2}})[-/.](\d{{1,2}})[-/.](\d{{4}})(.*)$', ['d', 'm', 'y', 'r'])
+  when regexp_matches(t, '^([A-Za-z]+, )?\d{{1,2}} [A-Za-z]{{3,9}} \d{{4}}') then regexp_extract(t, '^(?:[A-Za-z]+, )?(\d{{1,2}}) ([A-Za-z]{{3,9}}) (\d{{4}})(.*)$', ['d', 'm', 'y', 'r'])
+  when regexp_matches(t, '^[A-Za-z]{{3,9}} \d{{1,2}}, \d{{4}}') then regexp_extract(t, '^([A-Za-z]{{3,9}}) (\d{{1,2}}), (\d{{4}})(.*)$', ['m', 'd', 'y', 'r']) end p from counted where us is null),
+timed as (select *, regexp_extract(p.r, '^(?:[T ](\d{{1,2}}):(\d{{2}})(?::(\d{{2}}))?(?:[.,](\d+))?(?: ([AP])M)?)? ?([A-Za-z/_]*)((?:[+-]\d{{2}}:?\d{{2}})?)(?:\[.*\])?$', ['h', 'i', 's', 'f', 'ap', 'z', 'off']) c,
+  regexp_full_match(p.r, '(?:[T ]\d{{1,2}}:\d{{2}}(?::\d{{2}})?(?:[.,]\d+)?(?: [AP]M)?)? ?[A-Za-z/_]*(?:[+-]\d{{2}}:?\d{{2}})?(?:\[.*\])?') whole from split where p is not null),
+local as (select *, try_cast(p.y || '-' || lpad(case when regexp_full_match(p.m, '\d+') then p.m else coalesce({_MONTHS.format(m='p.m')}::varchar, '99') end, 2, '0') || '-' || lpad(p.d, 2, '0') || ' ' ||
+  lpad((case when c.h = '' then 0 when c.ap = '' then c.h::int when c.h::int between 1 and 12 then c.h::int % 12 + case when c.ap = 'P' then 12 else 0 end else 99 end)::varchar, 2, '0') || ':' || case when c.i = '' then '00' else c.i end || ':' ||
+  case when c.s = '' then '00' else c.s end || '.' || rpad(left(c.f, 6), 6, '0') as timestamp) moment from timed where whole),
+abbreviated(z, minutes) as (values {_ABBREVIATED}),
+placed as (select l.*, a.minutes, case when c.z = '' then l.tz when contains(c.z, '/') then c.z end region from local l left join abbreviated a on a.z = upper(c.z) where moment is not null),
+instants as (select *, case when c.off <> '' then epoch_us(moment) - (case when left(c.off, 1) = '-' then -1 else 1 end) * (substr(c.off, 2, 2)::int * 60 + right(c.off, 2)::int)::bigint * 60000000
+  when minutes is not null then epoch_us(moment) - minutes::bigint * 60000000
+  when timezone(region, timezone(region, moment) - interval 1 hour) = moment then epoch_us(timezone(region, moment)) - 3600000000 else epoch_us(timezone(region, moment)) end u from placed where c.off <> '' or minutes is not null or region is not null)
+select listing_id, field_name, us::bigint utc_us from counted where us is not null union select listing_id, field_name, u::bigint from instants where u >= 1420070400000000 and u < 2051222400000000""",
     "p1_found": f"""
 with latest as (select feed_id, snapshot_no, arg_max(completeness, observed_at) c from observation group by all),
 pairs as (select feed_id, snapshot_no, lag(snapshot_no) over (partition by feed_id order by snapshot_no) before from latest where c = 'complete'),

@@ -86,3 +86,22 @@ def test_listings(spark, rows):
     ]
     empty = spark.createDataFrame([], LISTING)
     assert listing_instants(empty, zones.limit(0)).count() == 0
+
+
+def test_times_that_occur_twice(spark):
+    zone = {"2025-10-26 02:30:00": "Europe/Berlin", "2025-10-26 02:30:00 CET": "Europe/Berlin", "2025-10-26 03:30:00": "Europe/Berlin", "2025-11-02 01:15": "America/New_York", "2025-04-06 01:45:00": "Australia/Lord_Howe", "2025-03-30 02:30:00": "Europe/Berlin", "soon": "UTC"}
+    df = spark.createDataFrame([(i, t, z) for i, (t, z) in enumerate(zone.items())], "i int, t string, z string")
+    def got(**options):
+        found = with_instants(df, F.col("t"), F.col("z"), F.lit("dmy"), **options)
+        return [r.utc_us for r in found.orderBy("i").collect()]
+    first = [micros(2025, 10, 26, 0, 30), micros(2025, 10, 26, 1, 30), micros(2025, 10, 26, 2, 30), micros(2025, 11, 2, 5, 15), micros(2025, 4, 5, 14, 45), micros(2025, 3, 30, 1, 30), None]
+    last = [micros(2025, 10, 26, 1, 30), first[1], first[2], micros(2025, 11, 2, 6, 15), micros(2025, 4, 5, 15, 15), first[5], None]
+    assert got() == first and got(ambiguous="last") == last
+    assert got(ambiguous="reject") == [None, first[1], first[2], None, None, first[5], None]
+    assert got(ambiguous="reject", shift_gaps=False) == [None, first[1], first[2], None, None, None, None]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        assert got(ambiguous="last", shift_gaps=False)[:5] == last[:5]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
