@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import threading
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -25,8 +25,10 @@ class Publication:
 class Engine:
     """Serves one generation at a time; every update is one transaction on the store."""
 
-    def __init__(self, store: GenerationStore, seed: Relations | None = None, *, seed_id: str = "seed"):
+    def __init__(self, store: GenerationStore, seed: Relations | None = None, *, seed_id: str = "seed", verify: Callable[[Manifest, Relations], str | None] | None = None):
+        """`verify` looks at a generation made elsewhere and returns what speaks against it."""
         self.store = store
+        self._verify = verify
         self.sequence = 1
         self._lock = threading.Lock()
         self._hooks: list[Callable[[Publication], None]] = []
@@ -54,8 +56,24 @@ class Engine:
             self.store.commit(generation_id, generated_at or _now(), build(old), before)
             return self._announce(generation_id, before, old)
 
+    def planned(self, build: Callable[[Relations], Relations], keys: Mapping[str, Sequence[str]]) -> dict[str, DataFrame]:
+        """What an update would change, relation by relation, without a commit; relations that are new or gone have all their rows."""
+        old = self.catalog()
+        new = build(old)
+        changes = {}
+        for name, by in keys.items():
+            sides = [side[name] if name in side else None for side in (old, new)]
+            if any(s is not None for s in sides):
+                before, after = (s if s is not None else next(x for x in sides if x is not None).limit(0) for s in sides)
+                fields = [c for c in after.columns if c not in by and c in before.columns]
+                changes[name] = field_changes(before, after, list(by), fields)
+        return changes
+
     def activate(self, manifest: Manifest, relations: Relations) -> Publication:
         """Take over a generation made elsewhere, unless it is older than the current one."""
+        problem = self._verify(manifest, relations) if self._verify else None
+        if problem:
+            raise ValueError(f"{manifest.generation_id} is refused: {problem}")
         with self._lock:
             before = self.store.current_id()
             if before and manifest.generation_id != before and manifest.generated_at < self.store.manifest(before).generated_at:

@@ -256,3 +256,88 @@ def effective_at(at: Column, start: Column, end: Column) -> Column:
 def violations(rules: Mapping[str, Column]) -> Column:
     """The names of the rules that don't hold; a rule that is null holds."""
     return F.array_compact(F.array(*(F.when(~F.coalesce(c, F.lit(True)), F.lit(n)) for n, c in rules.items())))
+
+
+# Reasoning, modalities and flags.
+
+#: Levels of reasoning effort by the spellings of sources; ``none`` and others are no level.
+LEVELS = {"minimal": "minimum", "minimum": "minimum", "low": "low", "medium": "medium", "high": "high", "max": "maximum", "maximum": "maximum"}
+#: What features and parameters that a record lists set as flags.
+FEATURE_FLAGS = {
+    "tools": ("tools", "tool_calls", "tool_choice"), "tool_use": ("tools", "tool_calls", "tool_choice"), "tool_calls": ("tools", "tool_calls", "tool_choice"),
+    "json_mode": ("format_response",), "json_object": ("format_response",),
+    "structured_outputs": ("structured_outputs",), "structured_output": ("structured_outputs",), "json_schema": ("structured_outputs",),
+    "reasoning": ("reasoning",), "thinking": ("reasoning",),
+}
+SAMPLING_FLAGS = {n: (n,) for n in ("temperature", "top_p", "top_k", "stop", "frequency_penalty", "presence_penalty", "seed", "logprobs", "top_logprobs")}
+#: Tags that tell the modalities: input that is added, output that takes the place of what is there.
+TAG_MODALITIES = {
+    "embed": ("", "embedding"), "embedding": ("", "embedding"), "stt": ("audio", "text"), "speech_to_text": ("audio", "text"), "tts": ("text", "audio"), "text_to_speech": ("text", "audio"),
+    "image-gen": ("", "image"), "text_to_image": ("", "image"), "video-gen": ("", "video"), "text_to_video": ("", "video"),
+}
+
+
+def effort_levels(options: Column) -> Column:
+    """The levels of the first option of type ``effort`` in array<struct<type,values,...>>, unknown ones left out; null without one."""
+    efforts = F.filter(options, lambda o: F.lower(o["type"]) == "effort")
+    return F.array_compact(F.transform(F.get(efforts, F.lit(0))["values"], lambda v: mapped(F.lower(F.trim(v)), LEVELS)))
+
+
+def token_range(options: Column, kinds: Sequence[str] = ("token", "tokens", "budget", "budget_tokens")) -> Column:
+    """struct(min, max) of the first token option of array<struct<type,min,max,...>> with a bound, an open bound being 0; null without one."""
+    bound = F.get(F.filter(options, lambda o: F.lower(o["type"]).isin(*kinds) & (o["min"].isNotNull() | o["max"].isNotNull())), F.lit(0))
+    return F.when(bound.isNotNull(), F.struct(F.coalesce(bound["min"], F.lit(0)).alias("min"), F.coalesce(bound["max"], F.lit(0)).alias("max")))
+
+
+def shown_effort(level: Column) -> Column:
+    return F.when(level == "minimum", "minimal").otherwise(level)
+
+
+def modalities_by_tags(inputs: Column, outputs: Column, tags: Column) -> Column:
+    """struct(input, output): modalities as tags overrule them, one tag after the other; without tags they stay as they are."""
+    known = F.create_map(*(x for t, (i, o) in TAG_MODALITIES.items() for x in (F.lit(t), F.struct(F.lit(i).alias("i"), F.lit(o).alias("o")))))
+    told = F.array_compact(F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: known[F.lower(t)]))
+    none = F.array().cast("array<string>")
+    added = F.filter(F.transform(told, lambda t: t["i"]), lambda i: i != "")
+    last = F.get(told, F.size(told) - 1)["o"]
+    ins = F.when(F.size(added) > 0, F.array_distinct(F.concat(F.coalesce(inputs, none), added))).otherwise(inputs)
+    return F.struct(ins.alias("input"), F.when(F.size(told) > 0, F.array(last)).otherwise(outputs).alias("output"))
+
+
+def flags_of(names: Column, table: Mapping[str, Sequence[str]]) -> Column:
+    """The flags that names stand for, whatever their case, without repeats in the order of the names; unknown names set none."""
+    lookup = F.create_map(*(x for n, flags in table.items() for x in (F.lit(n), F.array(*map(F.lit, flags)))))
+    return F.array_distinct(F.flatten(F.array_compact(F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda n: lookup[F.lower(n)]))))
+
+
+def feature_label(inputs: Column, outputs: Column, flags: Mapping[str, Column]) -> Column:
+    """A comma list of what a model can do beyond text; empty for nothing."""
+    has = lambda c, v: F.coalesce(F.array_contains(c, v), F.lit(False))
+    shown = {"vision": has(inputs, "image"), "audio_input": has(inputs, "audio"), "audio_output": has(outputs, "audio")}
+    shown |= {n: F.coalesce(flags[n], F.lit(False)) for n in ("tool_calls", "web_search", "reasoning") if n in flags}
+    return F.array_join(flag_names(shown), ", ")
+
+
+#: Paths of a change report that are named otherwise in the evidence, and what enriches a model.
+EVIDENCE_PATHS = {"Delivery": "response", "ReasoningTokens": "reasoning_tokens"}
+ENRICHED_BELOW = ("features", "pricing", "limits", "metadata")
+ENRICHED = ("description", "attachments", "generation", "reasoning", "reasoning_tokens", "verbosity", "tools", "response")
+
+
+def normal_path(path: Column) -> Column:
+    """The path of evidence as change reports name it."""
+    return mapped(path, EVIDENCE_PATHS, F.lower(path))
+
+
+def is_enrichment(path: Column) -> Column:
+    """Whether a changed path is one that sources beside the provider enrich."""
+    below = F.lit(False)
+    for p in ENRICHED_BELOW:
+        below = below | F.startswith(path, F.lit(p))
+    return path.isin(*ENRICHED) | below
+
+
+def covers(field: Column, path: Column) -> Column:
+    """Whether evidence of a field and a changed path are the same or one lies below the other."""
+    f, p = normal_path(field), normal_path(path)
+    return (f == p) | F.startswith(p, F.concat(f, F.lit("."))) | F.startswith(f, F.concat(p, F.lit(".")))

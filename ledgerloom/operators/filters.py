@@ -60,6 +60,19 @@ def search(query: str, *texts: Column, arrays: Iterable[Column] = ()) -> Column:
     return result
 
 
+def matches_capability(capability: str, flags: Mapping[str, Column], inputs: Column) -> Column:
+    """Whether a model has a capability: tools by either flag, vision by its input; an unknown name and missing features never."""
+    flag = lambda n: F.coalesce(flags[n], F.lit(False)) if n in flags else F.lit(False)
+    name = capability.lower()
+    if name in ("tool_calls", "tools"):
+        return flag("tool_calls") | flag("tools")
+    if name in ("reasoning", "streaming"):
+        return flag(name)
+    if name in ("vision", "image"):
+        return F.coalesce(F.array_contains(inputs, "image"), F.lit(False))
+    return F.lit(False)
+
+
 def glob_regex(pattern: str, *, across: bool = False) -> str:
     """An anchored regular expression for a glob; ``*`` and ``?`` don't cross a slash unless `across`."""
     one = "." if across else "[^/]"

@@ -143,6 +143,32 @@ def _fitting(values: DataFrame, globs: DataFrame) -> DataFrame:
     return met.groupBy("_v").agg(F.min("_o").alias("_best"))
 
 
+def attributed_owners(df: DataFrame, provider: str, model: str, patterns: DataFrame) -> DataFrame:
+    """`df` with `owners`: the sorted distinct owners whose patterns fit the model, whatever the case.
+
+    `patterns` has (owner, provider, pattern).  An entry with a provider counts for its models only, one
+    without for all; a null pattern takes every model of the provider.  Entries are joined to the
+    distinct models by the literal start of their pattern, as in attributed().
+    """
+    asked = df.select(F.col(provider).alias("_p"), F.lower(model).alias("_v")).where("_v is not null").distinct()
+    rules = patterns.select("owner", F.nullif(F.col("provider"), F.lit("")).alias("_of"), F.lower("pattern").alias("_glob")).where("owner is not null and (_of is not null or _glob is not null)").distinct()
+    one = F.regexp_replace(F.regexp_replace(F.regexp_replace("_glob", r"([^*?\p{L}\p{N}_])", r"\\$1"), r"\*", "[^/]*"), r"\?", "[^/]")
+    rules = rules.select("owner", "_of", F.coalesce(F.regexp_extract("_glob", r"^[^*?]*", 0), F.lit("")).alias("_lit"), F.coalesce(F.concat(F.lit("^"), one, F.lit("$")), F.lit("")).alias("_re"))
+    sizes = rules.select(F.length("_lit").alias("_n")).distinct()  # at most one for each length of a pattern
+    starts = asked.join(F.broadcast(sizes), F.length("_v") >= F.col("_n")).select("_p", "_v", F.expr("left(_v, _n)").alias("_lit"))
+    met = starts.join(bounded_side(rules), "_lit").where((F.col("_of").isNull() | (F.col("_of") == F.col("_p"))) & F.rlike("_v", F.col("_re")))
+    found = met.select("_p", "_v", "owner").distinct().groupBy("_p", "_v").agg(F.sort_array(F.collect_list("owner")).alias("owners"))
+    joined = df.join(found, F.col(provider).eqNullSafe(F.col("_p")) & (F.lower(model) == F.col("_v")), "left")
+    return joined.select(*df.columns, F.coalesce("owners", F.array().cast("array<string>")).alias("owners"))
+
+
+def unique_owner(df: DataFrame, key: str, owner: str) -> DataFrame:
+    """(key, owner, candidates): the owner of a key that has just one, else null with the sorted candidates."""
+    pairs = df.select(key, owner).dropna().distinct()
+    sides = pairs.groupBy(key).agg(F.min(owner).alias("_low"), F.max(owner).alias("_high"), F.sort_array(F.collect_list(owner)).alias("candidates"))
+    return sides.select(key, F.when(F.col("_low") == F.col("_high"), F.col("_low")).alias(owner), "candidates")
+
+
 def linked_to_self(df: DataFrame, identity: str, link: str, table: DataFrame) -> DataFrame:
     """`df` with `link` resolved through aliases; a link to the row itself becomes null; `link_state` tells what it was."""
     named = resolve(df.withColumn("_link", F.col(link)), "_link", table, "_resolved")

@@ -7,12 +7,21 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import flag_names, ranked
+from ..functions.scalars import flag_names, ranked, shown_effort
 
 #: The order in which modalities are shown, and parameters by the flag that supports them.
 MODALITY_ORDER = ("text", "image", "file", "audio", "video", "embeddings")
 SHOWN = {"pdf": "file", "embedding": "embeddings"}
-TEXT_ONLY = ("embedding", "reranking", "moderation", "speech", "transcription")
+SPECIAL_TAGS = ("embed", "embedding", "image-gen", "video-gen", "tts", "stt", "rerank", "text_to_image", "text_to_speech", "speech_to_text")
+#: Names of parameters in their order, by the flag that supports them where that is named otherwise.
+PARAMETERS = (
+    "tools", "tool_choice", "web_search_options", "reasoning", "include_reasoning", "reasoning_effort", "verbosity", "temperature", "top_p", "top_k", "top_a", "min_p", "typical_p", "tfs",
+    "max_tokens", "max_completion_tokens", "stop", "stop_token_ids", "frequency_penalty", "presence_penalty", "repetition_penalty", "logit_bias", "seed", "logprobs", "top_logprobs", "n", "best_of",
+    "response_format", "structured_outputs",
+)
+PARAMETER_FLAGS = {"web_search_options": "web_search", "max_completion_tokens": "max_output_tokens", "response_format": "format_response"}
+#: Parameters with a default, of which two are a limit by themselves.
+DEFAULTS = ("temperature", "top_p", "top_k", "top_a", "min_p", "typical_p", "tfs", "max_tokens", "max_completion_tokens", "frequency_penalty", "presence_penalty", "repetition_penalty", "n", "best_of")
 
 
 def architecture(inputs: Column, outputs: Column, tokenizer: Column) -> Column:
@@ -40,11 +49,29 @@ def default_parameters(ranges: Mapping[str, Column]) -> Column:
     return F.when(F.size(pairs) > 0, F.map_from_entries(pairs))
 
 
+def parameters_of(features: Column) -> Column:
+    """Names of the parameters that a map<string,boolean> of feature flags supports, in their fixed order; empty without any."""
+    flag = lambda n: F.coalesce(F.try_element_at(features, F.lit(PARAMETER_FLAGS.get(n, n))), F.lit(False))
+    return supported_parameters({n: flag(n) for n in PARAMETERS})
+
+
+def defaults_of(generation: Column) -> Column:
+    """A map of the parameters' defaults in a map<string,double> of what is generated by default; null if there is none."""
+    return default_parameters({n: F.try_element_at(generation, F.lit(PARAMETER_FLAGS.get(n, n) if n != "response_format" else n)) for n in DEFAULTS})
+
+
+def reasoning_view(reasons: Column, levels: Column, default: Column) -> Column:
+    """struct(default_enabled, mandatory, supported_efforts, default_effort) of a model that reasons or has levels, else null."""
+    enabled = F.coalesce(reasons, F.lit(False))
+    efforts = F.coalesce(F.transform(levels, shown_effort), F.array().cast("array<string>"))
+    return F.when(enabled | levels.isNotNull(), F.struct(enabled.alias("default_enabled"), F.lit(False).alias("mandatory"), efforts.alias("supported_efforts"), F.when(levels.isNotNull(), shown_effort(default)).alias("default_effort")))
+
+
 def operations(inputs: Column, outputs: Column, tags: Column) -> Column:
     """What an offering can be asked to do: embeddings by output or tag, chat for text to text without a special tag."""
     has = lambda c, v: F.coalesce(F.array_contains(c, v), F.lit(False))
-    special = F.coalesce(F.arrays_overlap(tags, F.array(*map(F.lit, TEXT_ONLY))), F.lit(False))
-    embedding = has(outputs, "embedding") | has(tags, "embedding")
+    special = F.coalesce(F.arrays_overlap(tags, F.array(*map(F.lit, SPECIAL_TAGS))), F.lit(False))
+    embedding = has(outputs, "embedding") | has(tags, "embedding") | has(tags, "embed")
     chat = has(inputs, "text") & has(outputs, "text") & ~special
     return flag_names({"chat_completions": chat & ~embedding, "embeddings": embedding})
 

@@ -15,6 +15,19 @@ def append_new(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) ->
     return existing.unionByName(incoming.join(existing.select(*keys), list(keys), "left_anti"))
 
 
+def appended(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """All rows of both, repeats too: entries are added to those of the same key."""
+    return existing.unionByName(incoming, allowMissingColumns=True)
+
+
+def first_filled(*corpora: DataFrame) -> DataFrame:
+    """The first of the relations that has any row, else the last; each but the last is read up to its first row."""
+    for corpus_ in corpora[:-1]:
+        if not corpus_.limit(1).isEmpty():
+            return corpus_
+    return corpora[-1]
+
+
 def upserted(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Incoming rows, and existing ones whose key they don't have."""
     return existing.join(incoming.select(*keys), list(keys), "left_anti").unionByName(incoming)

@@ -305,19 +305,19 @@ def whole_value(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""with e as (select p_brand, p_type, unnest(string_split(p_name, ' ')) e, unnest(range(len(string_split(p_name, ' ')))) p from part),
-f as (select p_brand, e, min(struct_pack(r := case p_type when 'STEEL' then 0 when 'BRASS' then 1 else 2 end, s := p_type, p := p)) m from e where e <> '' group by all)
+f as (select p_brand, e, min(struct_pack(r := case p_type when 'PROMO' then 0 when 'ECONOMY' then 1 else 2 end, s := p_type, p := p)) m from e where e <> '' group by all)
 select p_brand, list(e order by m, e) tags from f group by 1""")
 def ordered_union(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "part").select("p_brand", "p_type", F.split("p_name", " ").alias("tags"))
-    return A.unioned(rows, ["p_brand"], "p_type", A.Policy("model", "tags", ("STEEL", "BRASS")), "tags")
+    return A.unioned(rows, ["p_brand"], "p_type", A.Policy("model", "tags", ("PROMO", "ECONOMY")), "tags")
 
 
-@query("""with e as (select p_brand, p_type, p_size k, p_retailprice v from part), b as (select p_brand, k, arg_min(v, struct_pack(r := case p_type when 'STEEL' then 0 when 'BRASS' then 1 else 2 end, s := p_type, v := v)) v from e group by all)
+@query("""with e as (select p_brand, p_type, p_size k, p_retailprice v from part), b as (select p_brand, k, arg_min(v, struct_pack(r := case p_type when 'PROMO' then 0 when 'ECONOMY' then 1 else 2 end, s := p_type, v := v)) v from e group by all)
 select p_brand, count(*) entries, round(sum(v), 2) total, min(k) low from b group by 1""")
 def merged_maps(spark: SparkSession, sf: str) -> DataFrame:
     lowest = table(spark, sf, "part").groupBy("p_brand", "p_type", "p_size").agg(F.min("p_retailprice").alias("v"))
     maps = lowest.groupBy("p_brand", "p_type").agg(F.map_from_entries(F.collect_list(F.struct("p_size", "v"))).alias("modes"))
-    merged = A.merged_maps(maps, ["p_brand"], "p_type", A.Policy("model", "modes", ("STEEL", "BRASS")), "modes")
+    merged = A.merged_maps(maps, ["p_brand"], "p_type", A.Policy("model", "modes", ("PROMO", "ECONOMY")), "modes")
     total = F.aggregate(F.map_values("modes"), F.lit(0.0), lambda a, x: a + x)
     return merged.select("p_brand", F.size("modes").cast("bigint").alias("entries"), F.round(total, 2).alias("total"), F.array_min(F.map_keys("modes")).alias("low"))
 
@@ -397,9 +397,11 @@ def snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:
     return D.change_rows(changes, ["o_orderkey"])
 
 
-@query(None)
+@query(f"""with {_CHANGES} select o_orderkey, change_type, null path, null old, null \"new\" from c where change_type <> 'updated'
+union all select o_orderkey, change_type, 'status', os, ns from c where change_type = 'updated' and os is distinct from ns
+union all select o_orderkey, change_type, 'price', op::varchar, np::varchar from c where change_type = 'updated' and op is distinct from np""")
 def snapshot_diff_all(spark: SparkSession, sf: str) -> DataFrame:
-    """The same with prices as the engine prints doubles, which no other does alike."""
+    """The same with prices as the engine prints doubles."""
     changes = D.field_changes(*_versions(spark, sf), ["o_orderkey"], {"status": "o_orderstatus", "price": "o_totalprice"})
     return D.change_rows(changes, ["o_orderkey"])
 

@@ -66,6 +66,23 @@ def decode_records(payloads: DataFrame, key: str, payload: str, collection: str,
     return Decoded(accepted, rejected, report)
 
 
+def strict_problems(payloads: DataFrame, key: str, payload: str, known: Sequence[str], *, version: int | None = None) -> DataFrame:
+    """(key, problem) of the envelopes that a strict reader refuses: no JSON, text behind the value, no object, another version, or an unknown member (the first by name)."""
+    whole = F.try_parse_json(payload)
+    listed = F.try_parse_json(F.concat(F.lit("["), F.col(payload), F.lit("]")))
+    first = F.try_variant_get(listed, "$[0]", "variant")
+    parsed = payloads.select(F.col(key), F.explode_outer(F.array(F.struct(whole.alias("w"), first.alias("f"), F.try_variant_get(listed, "$[1]", "variant").alias("more")))).alias("_x"), F.col(payload).alias("_t"))
+    members = F.try_variant_get("_x.f", "$", "map<string,variant>")
+    other = F.array_sort(F.filter(F.map_keys(members), lambda k: ~k.isin(*known)))
+    said = F.try_variant_get("_x.f", "$.version", "bigint")
+    problem = (
+        F.when(F.col("_t").isNull() | (F.trim("_t") == ""), "missing").when(F.col("_x.f").isNull(), "syntax").when(F.col("_x.more").isNotNull() | F.col("_x.w").isNull(), "trailing")
+        .when(members.isNull(), "no object").when(F.lit(version is not None) & ~said.eqNullSafe(F.lit(version).cast("bigint")), "version")
+        .when(F.size(other) > 0, F.concat(F.lit("unknown: "), F.get(other, F.lit(0))))
+    )
+    return parsed.select(key, problem.alias("problem")).where("problem is not null")
+
+
 def unknown_members(payloads: DataFrame, key: str, payload: str, known: Sequence[str], prefix: str = "") -> DataFrame:
     """(key, path, digest) of the top-level members that the schema doesn't know; the digest is SHA-256 of the value's canonical JSON."""
     members = F.try_variant_get(F.try_parse_json(payload), "$", "map<string,variant>")

@@ -108,6 +108,32 @@ def _models(spark: SparkSession, root: str, kind: str, owner: str, most: int) ->
     return models.select(F.regexp_extract("path", rf"/{kind}/([^/]+)/models/", 1).alias(owner), *[c for c in models.columns if c != "path"]), rejected
 
 
+PROVENANCE = "source string, field string, value string, observed_at string, authority double, reason string"
+
+
+def read_provenance(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(entries, rejected) of a provenance file, a YAML map from a resource to its list of entries: (resource, place, the members of an entry)."""
+    records = read_yaml(spark, path, "*.yaml")
+    entries = records.where("problem is null").select(F.explode(F.from_json("record", f"map<string,array<struct<{', '.join(c.replace(' ', ':') for c in PROVENANCE.split(', '))}>>>")).alias("resource", "_l"))
+    long = entries.select("resource", F.posexplode("_l").alias("place", "_e")).select("resource", "place", "_e.*")
+    return long, records.where("problem is not null").select("path", "problem")
+
+
+def write_provenance(entries: DataFrame, path: str, *, most: int = 100_000) -> int:
+    """Write (resource, place, ...) as a provenance file and return the number of resources; for catalogs of bounded size."""
+    import yaml
+
+    from ..common import bounded_rows
+
+    kept: dict[str, list] = {}
+    for row in bounded_rows(entries.orderBy("resource", "place"), most):
+        told = {k: v for k, v in row.asDict().items() if k not in ("resource", "place") and v is not None}
+        kept.setdefault(row.resource, []).append(told)
+    with open(path, "w", encoding="utf-8") as file:
+        yaml.safe_dump(kept, file, sort_keys=True, allow_unicode=True)
+    return len(kept)
+
+
 def write_yaml(df: DataFrame, path: str, key: str, *, most: int = 10_000) -> int:
     """Write one YAML file for each row below a directory, named by `key`; returns their number. For small relations."""
     import os

@@ -43,7 +43,7 @@ def test_projections(spark):
     text = F.array(F.lit("pdf"), F.lit("image"), F.lit("text"))
     row = spark.range(1).select(
         architecture(text, F.array(F.lit("text")), F.lit(None).cast("string")).alias("a"), supported_parameters({"tools": F.lit(True), "seed": F.lit(False)}), default_parameters({"top_p": F.lit(0.5), "top_k": F.lit(None)}),
-        default_parameters({"top_k": F.lit(None)}), operations(text, F.array(F.lit("text")), F.lit(None).cast("array<string>")), operations(text, F.array(F.lit("embedding")), F.array()), operations(text, F.array(F.lit("text")), F.array(F.lit("speech"))), lifecycle(F.lit("beta")),
+        default_parameters({"top_k": F.lit(None)}), operations(text, F.array(F.lit("text")), F.lit(None).cast("array<string>")), operations(text, F.array(F.lit("embedding")), F.array()), operations(text, F.array(F.lit("text")), F.array(F.lit("tts"))), lifecycle(F.lit("beta")),
     ).first()
     assert row.a.modality == "text+image+file->text" and row.a.tokenizer == "Other" and tuple(row)[1:] == (["tools"], {"top_p": 0.5}, None, ["chat_completions"], ["embeddings"], [], "preview")
     with pytest.raises(Exception, match="unknown status"):

@@ -6,11 +6,11 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from ledgerloom.plans import catalog_queries, data_queries, reconcile_queries, round_trips
+from ledgerloom.plans import catalog_queries, data_queries, reconcile_queries, round_trips, rule_queries
 
 FOLDER = Path("/root/testdata/sf0.001")
-QUERIES = {**data_queries.QUERIES, **catalog_queries.QUERIES, **reconcile_queries.QUERIES, **round_trips.QUERIES}
-SQL = {**data_queries.SQL, **catalog_queries.SQL, **reconcile_queries.SQL, **round_trips.SQL}
+QUERIES = {**data_queries.QUERIES, **catalog_queries.QUERIES, **reconcile_queries.QUERIES, **rule_queries.QUERIES, **round_trips.QUERIES}
+SQL = {**data_queries.SQL, **catalog_queries.SQL, **reconcile_queries.SQL, **rule_queries.SQL, **round_trips.SQL}
 pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="the test tables aren't here")
 
 
