@@ -80,6 +80,12 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
+def shared_uri(spark: SparkSession) -> str:
+    """A URI below the folder of `_named_folder` that nothing has used yet, on whatever file system that is."""
+    named = _named_folder(spark).rstrip("/")
+    return f"{named if '://' in named else file_uri(named)}/ledgerloom-{uuid.uuid4().hex}"
+
+
 def file_uri(path: object) -> str:
     """The URI of a POSIX path, so that Spark looks for it where Python does, whatever its default file system."""
     return "file://" + os.path.abspath(os.fspath(path))

@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..common import bounded_rows, file_uri, shared_folder, table
+from ..common import bounded_rows, file_uri, shared_folder, shared_uri, table
 from ..engine import Engine
 from ..snapshots import GenerationStore
 from ..sources.listings import register
@@ -19,7 +19,7 @@ from .catalog_queries import _MODELS, SQL as CATALOG_SQL, _publications, models
 
 def generation_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Commit two generations, roll back to the first and read both: what the second has more and what the current one holds."""
-    store = GenerationStore(spark, os.path.join(shared_folder(spark), "store"))
+    store = GenerationStore(spark, f"{shared_uri(spark)}/store")
     rows = models(spark, sf).select("provider_id", "id", "context_window")
     engine = Engine(store, {"models": rows.where("context_window is not null")}, seed_id="first")
     engine.update("second", lambda _: {"models": rows})
@@ -56,7 +56,7 @@ def listing_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 def publication_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The decisions on all publications, made by a streaming query that keeps the active generation as state."""
-    root = file_uri(shared_folder(spark))
+    root = shared_uri(spark)
     wanted = _publications(spark, sf).withColumn("generated_at", F.col("generated_at").cast("timestamp"))
     wanted.write.parquet(f"{root}/in")
     source = spark.readStream.schema(wanted.schema).parquet(f"{root}/in")

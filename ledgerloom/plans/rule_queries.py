@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..common import file_uri, shared_folder, table
+from ..common import file_uri, shared_folder, shared_uri, table
 from ..engine import Engine
 from ..functions import scalars as S
 from ..operators import authority as A
@@ -373,7 +373,7 @@ def policy_matches(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"with {_MODELS} select provider_id, id, case when context_window is null then 'removed' else 'updated' end change_type from models where context_window is null or active")
 def planned_changes(spark: SparkSession, sf: str) -> DataFrame:
     """What an update would change: rows without a context go, active ones double it. Nothing is committed."""
-    store = GenerationStore(spark, os.path.join(shared_folder(spark), "store"))
+    store = GenerationStore(spark, f"{shared_uri(spark)}/store")
     engine = Engine(store, {"models": models(spark, sf).select("provider_id", "id", "context_window", "active")}, seed_id="first")
     doubled = F.when(F.col("active"), F.col("context_window") * 2).otherwise(F.col("context_window"))
     build = lambda old: {"models": old["models"].where("context_window is not null").withColumn("context_window", doubled)}

@@ -1,17 +1,18 @@
 """Immutable generations of a catalog with compare-and-swap commits, time travel and rollback.
 
-Relations are written as Parquet below the generation's id; only then is the pointer moved, under a
-lock and only if it still names the expected generation.  Readers follow the pointer or name an id,
-so they never see half a generation.
+Relations are written as Parquet into a folder of this attempt's own; then the manifest and, last, the
+next pointer are created.  Both are files that can only be created where they don't exist yet, which is
+the whole of the locking: of two writers one creates the next pointer, and nothing is left behind that a
+crashed one would have to release.  Readers follow the highest pointer or name an id, so they never see
+half a generation.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import time
-from collections.abc import Iterator, Mapping
-from contextlib import contextmanager
+import uuid
+from collections.abc import Mapping
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
@@ -34,6 +35,7 @@ class Manifest:
     parent: str | None = None
     completeness: str = "complete"
     reasons: tuple[str, ...] = field(default_factory=tuple)
+    attempt: str = ""
 
     def same_content(self, other: Manifest) -> bool:
         return dict(self.checksums) == dict(other.checksums)
@@ -57,99 +59,179 @@ def checksum(df: DataFrame) -> tuple[str, int]:
     return "sha256:" + hashlib.sha256(text.encode()).hexdigest(), int(row[2] or 0)
 
 
-class GenerationStore:
-    """A store below a folder that all executors share."""
+class LocalFiles:
+    """Small files below a folder of a POSIX file system that all executors share."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, Path(root)
+    def __init__(self, root: str):
+        self.root = Path(root)
 
-    def _folder(self, generation_id: str) -> Path:
-        if not generation_id or "/" in generation_id or generation_id.startswith("."):
-            raise ValueError(f"invalid generation id {generation_id!r}")
-        return self.root / "generations" / generation_id
-
-    @contextmanager
-    def _locked(self, wait: float = 10.0) -> Iterator[None]:
-        self.root.mkdir(parents=True, exist_ok=True)
-        lock = self.root / "commit.lock"
-        until = time.monotonic() + wait
-        while True:
-            try:
-                os.close(os.open(lock, os.O_CREAT | os.O_EXCL))
-                break
-            except FileExistsError:
-                if time.monotonic() > until:
-                    raise Conflict("the commit lock is held") from None
-                time.sleep(0.05)
+    def read(self, name: str) -> str | None:
+        try:
+            return (self.root / name).read_text(encoding="utf-8")
+        except FileNotFoundError:
+            return None
+
+    def create(self, name: str, text: str) -> bool:
+        """Create a file with its whole content at once; False if it exists."""
+        path = self.root / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        part = path.with_name(f".{path.name}.{uuid.uuid4().hex}")
+        part.write_text(text, encoding="utf-8")
         try:
-            yield
+            os.link(part, path)
+        except FileExistsError:
+            return False
         finally:
-            lock.unlink()
+            part.unlink()
+        return True
 
-    def current_id(self) -> str | None:
+    def names(self, folder: str) -> list[str]:
         try:
-            return (self.root / "current").read_text().strip() or None
+            return sorted(p.name for p in (self.root / folder).iterdir() if not p.name.startswith("."))
         except FileNotFoundError:
+            return []
+
+    def drop(self, folder: str) -> None:
+        import shutil
+
+        shutil.rmtree(self.root / folder, ignore_errors=True)
+
+    def uri(self, name: str) -> str:
+        return file_uri(self.root / name)
+
+
+class HadoopFiles:
+    """The same on any file system that Spark can reach, an object store among them.
+
+    Creating without overwriting is atomic where the file system makes it so (HDFS, or an object store
+    with conditional writes).  A file that is created but not written yet reads as absent.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.root = root.rstrip("/")
+        self._jvm = spark._jvm
+        self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):  # noqa: ANN202
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+
+    def read(self, name: str) -> str | None:
+        path = self._path(name)
+        if not self._fs.exists(path):
             return None
+        stream = self._fs.open(path)
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8") or None
+        finally:
+            stream.close()
+
+    def create(self, name: str, text: str) -> bool:
+        from py4j.protocol import Py4JJavaError
 
-    def manifest(self, generation_id: str) -> Manifest:
         try:
-            return Manifest(**json.loads((self._folder(generation_id) / "manifest.json").read_text()))
-        except FileNotFoundError:
-            raise KeyError(generation_id) from None
+            stream = self._fs.create(self._path(name), False)
+        except Py4JJavaError as problem:
+            if "AlreadyExists" in str(problem.java_exception):
+                return False
+            raise
+        stream.write(text.encode())
+        stream.close()
+        return True
+
+    def names(self, folder: str) -> list[str]:
+        path = self._path(folder)
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(path)) if self._fs.exists(path) else []
+
+    def drop(self, folder: str) -> None:
+        self._fs.delete(self._path(folder), True)
+
+    def uri(self, name: str) -> str:
+        return f"{self.root}/{name}"
+
+
+class GenerationStore:
+    """A store below a folder that all executors share, named by a path or by a URI of any file system that Spark reaches."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark = spark
+        local = root.removeprefix("file://")
+        self.files = HadoopFiles(spark, root) if "://" in local else LocalFiles(local)
+
+    @staticmethod
+    def _folder(generation_id: str) -> str:
+        if not generation_id or "/" in generation_id or generation_id.startswith("."):
+            raise ValueError(f"invalid generation id {generation_id!r}")
+        return f"generations/{generation_id}"
+
+    def _pointer(self) -> tuple[int, str | None]:
+        """(number, generation id) of the last pointer; (0, None) in an empty store."""
+        for name in reversed(self.files.names("pointers")):
+            if text := self.files.read(f"pointers/{name}"):
+                return int(name), text.strip()
+        return 0, None
+
+    def _advance(self, number: int, generation_id: str) -> None:
+        if not self.files.create(f"pointers/{number + 1:020d}", generation_id):
+            raise Conflict("another commit came first")
+
+    def current_id(self) -> str | None:
+        return self._pointer()[1]
+
+    def manifest(self, generation_id: str) -> Manifest:
+        text = self.files.read(f"{self._folder(generation_id)}/manifest.json")
+        if text is None:
+            raise KeyError(generation_id)
+        return Manifest(**json.loads(text))
 
     def generations(self) -> list[str]:
-        return sorted(p.parent.name for p in (self.root / "generations").glob("*/manifest.json"))
+        return [n for n in self.files.names("generations") if "manifest.json" in self.files.names(f"generations/{n}")]
 
     def commit(self, generation_id: str, generated_at: str, relations: Mapping[str, DataFrame], expected: str | None, **facts) -> Manifest:
         """Write a generation and make it the current one, if the current one is `expected`.
 
         The same id with the same content again changes nothing; with other content it is a Conflict.
+        Each relation is computed once; its checksum is that of what was written.
         """
-        sums = {n: checksum(df) for n, df in relations.items()}
-        made = Manifest(generation_id, generated_at, {n: s for n, (s, _) in sums.items()}, {n: k for n, (_, k) in sums.items()}, parent=expected, **facts)
-        folder = self._folder(generation_id)
+        attempt = f"{self._folder(generation_id)}/{uuid.uuid4().hex}"
+        sums = {}
+        for name, df in relations.items():
+            target = self.files.uri(f"{attempt}/{name}")
+            df.write.parquet(target)
+            sums[name] = checksum(self.spark.read.parquet(target))
+        made = Manifest(generation_id, generated_at, {n: s for n, (s, _) in sums.items()}, {n: k for n, (_, k) in sums.items()}, parent=expected, attempt=attempt, **facts)
+        number, current = self._pointer()
         try:
             known = self.manifest(generation_id)
         except KeyError:
             known = None
+        if not known and current == expected and not self.files.create(f"{self._folder(generation_id)}/manifest.json", json.dumps(asdict(made))):
+            known = self.manifest(generation_id)  # another writer of the same id came first
+        if known or current != expected:
+            self.files.drop(attempt)
         if known and not known.same_content(made):
             raise Conflict(f"generation {generation_id!r} has other content")
-        if not known:  # written beside the lock: only the pointer needs it
-            for name, df in relations.items():
-                df.write.mode("overwrite").parquet(file_uri(folder / name))
-        with self._locked():
-            if self.current_id() == generation_id:
-                return known or made
-            if self.current_id() != expected:
-                raise Conflict(f"expected {expected!r}, found {self.current_id()!r}")
-            if not known:
-                self._replace(folder / "manifest.json", json.dumps(asdict(made)))
-            self._replace(self.root / "current", generation_id)
+        if current == generation_id:
+            return known or made
+        if current != expected:
+            raise Conflict(f"expected {expected!r}, found {current!r}")
+        self._advance(number, generation_id)
         return known or made
 
     def activate(self, generation_id: str) -> bool:
         """Move the pointer to a retained generation; False if it is there already."""
         self.manifest(generation_id)
-        with self._locked():
-            if self.current_id() == generation_id:
-                return False
-            self._replace(self.root / "current", generation_id)
-            return True
-
-    @staticmethod
-    def _replace(path: Path, text: str) -> None:
-        part = path.with_name(path.name + ".part")
-        part.write_text(text)
-        os.replace(part, path)
+        number, current = self._pointer()
+        if current == generation_id:
+            return False
+        self._advance(number, generation_id)
+        return True
 
     def read(self, name: str, generation_id: str | None = None) -> DataFrame:
         """A relation of a generation, by default of the current one."""
         generation_id = generation_id or self.current_id()
         if generation_id is None:
             raise KeyError("the store is empty")
-        self.manifest(generation_id)
-        return self.spark.read.parquet(file_uri(self._folder(generation_id) / name))
+        return self.spark.read.parquet(self.files.uri(f"{self.manifest(generation_id).attempt}/{name}"))
 
     def read_if_changed(self, name: str, known_id: str | None) -> DataFrame | None:
         return None if self.current_id() == known_id else self.read(name)

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from ledgerloom.engine import Engine
 from ledgerloom.exports import as_json, as_table, as_yaml, display_rows, model_list
-from ledgerloom.snapshots import Conflict, GenerationStore, checksum
+from ledgerloom.snapshots import Conflict, GenerationStore, HadoopFiles, checksum
 from ledgerloom.sources.listings import TRANSPORTS, register
 from ledgerloom.sources.payloads import decode_records, oversized, quarantined, unknown_members
 from ledgerloom.sources.workspace import read_workspace, write_yaml
@@ -82,6 +82,34 @@ def test_generations(spark, rows, tmp_path):
         store.commit("../x", "x", {}, None)
 
 
+def test_generations_on_any_file_system(spark, rows, tmp_path):
+    store = GenerationStore(spark, str(tmp_path / "store"))
+    store.files = HadoopFiles(spark, f"file://{tmp_path}/store")
+    one, two = spark.createDataFrame([(1, "a")], "k int, v string"), spark.createDataFrame([(2, "b")], "k int, v string")
+    store.commit("g1", "2026-01-01T00:00:00+00:00", {"m": one}, None)
+    store.commit("g2", "2026-01-02T00:00:00+00:00", {"m": two}, "g1")
+    assert store.generations() == ["g1", "g2"] and store.current_id() == "g2" and rows(store.read("m", "g1")) == [(1, "a")] and store.verify("g1") == []
+    assert not store.files.create("pointers/" + "0" * 19 + "2", "g9") and store.files.read("nothing") is None and store.files.names("nowhere") == []
+    with pytest.raises(Conflict):
+        store.commit("g3", "x", {"m": two}, "g1")
+
+
+def test_of_two_writers_one_wins_and_crashes_leave_nothing_held(spark, rows, tmp_path):
+    store = GenerationStore(spark, str(tmp_path))
+    one, two = spark.createDataFrame([(1,)], "k int"), spark.createDataFrame([(2,)], "k int")
+    store.commit("g1", "t", {"m": one}, None)
+    number, _ = store._pointer()
+    store.commit("g2", "t", {"m": two}, "g1")
+    with pytest.raises(Conflict):
+        store._advance(number, "g3")  # a writer that had read the same pointer
+    (tmp_path / "generations" / "half" / "attempt").mkdir(parents=True)  # what a crash before the manifest leaves
+    assert store.generations() == ["g1", "g2"] and store.current_id() == "g2" and rows(store.read("m")) == [(2,)]
+    store.commit("half", "t", {"m": one}, "g2")
+    assert rows(store.read("m")) == [(1,)]
+    with pytest.raises(ValueError, match="refused"):
+        Engine(store, verify=lambda manifest, _: "unsigned").activate(store.manifest("g1"), {"m": one})
+
+
 def test_checksums(spark):
     base = spark.createDataFrame([(1, "a"), (2, None)], "k int, v string")
     same = base.select("v", "k").orderBy(F.desc("k"))
