@@ -341,8 +341,8 @@ def unified(payloads: DataFrame, *, effort: tuple[str, ...] = EFFORT, context: t
 
     Of several spellings in one record the first of the list holds.  1, "true" and true mean support,
     0, "false" and false none, others null.  A context limit is a whole number in any kind, else
-    null.  Records without either field still have a row; repeated rows count once.  Paths that differ
-    in case only are members of their own, later ones with a number (``a``, ``A~2``).  A number that a
+    null.  Records without either field still have a row; repeated rows count once, and where texts of
+    one record differ each has a row.  Paths that differ in case only are members of their own, later ones with a number (``a``, ``A~2``).  A number that a
     branch can't hold is null there and whole in `value`.  Should a record hold a path twice, a value
     goes before null, then the first kind.
 
@@ -354,35 +354,87 @@ def unified(payloads: DataFrame, *, effort: tuple[str, ...] = EFFORT, context: t
     schema, more = inferred(kinds, most_paths)
     pairs = durable(renamed_fields(payloads, kinds=kinds)) if renames and schema else None
     effort, context = _same_field(pairs, effort, schema), _same_field(pairs, context, schema)
-    values = leaves(payloads, nulls=True)
-    ranks = {p: i for i, p in enumerate((*effort, *context))}
-    rank = F.create_map(*(F.lit(x) for pair in ranks.items() for x in pair))[F.col("path")]
+    names = field_names(schema)
     keys = ["feed_id", "file_no", "record_id"]
-    # Both aggregations run on one exchange by record.
-    leaf = F.min(F.struct((F.col("kind") == 0).alias("void"), "kind", "value", "same")).alias("_leaf")
-    each = values.repartition(*keys).groupBy(*keys, "path").agg(F.max("id").alias("id"), leaf).select(*keys, "path", "id", "_leaf.kind", "_leaf.value", "_leaf.same")
-    first = lambda paths: F.min(F.when(F.col("path").isin(*paths) & (F.col("kind") > 0), F.struct(rank.alias("r"), "path", "kind", "value", "same")))
-    held = F.collect_list(F.when(F.col("path").isNotNull(), F.struct("path", F.struct("kind", "value", "same"))))
-    rows = each.groupBy(*keys).agg(F.max("id").alias("id"), first(effort).alias("_e"), first(context).alias("_c"), F.map_from_entries(held).alias("_held"))
+    picked = payloads.select(*keys, "payload").where("feed_id is not null and file_no is not null").distinct()
+    leaf = "struct<path:string,kind:int,value:string,same:string>"
+    struct = lambda bits: f"struct<value:string{''.join(f',{k}:{BRANCHES[k]}' for k, bit in KINDS.items() if bits & bit)}>"
+    shape = f"feed_id bigint, file_no int, record_id bigint, id string, _e {leaf}, _c {leaf}"
+    shape += f", fields struct<{','.join(f'`{names[p]}`:{struct(bits)}' for p, bits in schema.items())}>" if schema else ""
+    shape += ", others map<string,string>" if more else ""
+    rows = picked.mapInArrow(_records(schema, names, effort, context, more), shape)
     branch = lambda s, kind: F.when(F.col(f"{s}.kind") == KINDS[kind], F.col(f"{s}.value"))
     supported = F.when(F.col("_e.same").isin("true", "1"), True).when(F.col("_e.same").isin("false", "0"), False)
     limit = F.when(F.col("_c.same").rlike(r"^\d{1,18}$"), F.col("_c.same")).try_cast("bigint")
-
-    def member(path: str, kinds: int) -> Column:
-        leaf = F.try_element_at("_held", F.lit(path))
-        typed = [F.when(leaf["kind"] == bit, leaf["value"]).try_cast(BRANCHES[kind]).alias(kind) for kind, bit in KINDS.items() if kinds & bit]
-        return F.when(leaf.isNotNull(), F.struct(leaf["same"].alias("value"), *typed))
-
-    names = field_names(schema)
-    fields = [F.struct(*(member(p, bits).alias(names[p]) for p, bits in schema.items())).alias("fields")] if schema else []
-    if more:
-        listed = F.array(*map(F.lit, schema))
-        fields.append(F.transform_values(F.map_filter("_held", lambda k, _: ~F.array_contains(listed, k)), lambda _, v: v["same"]).alias("others"))
     return rows.select(
         "feed_id", "file_no", "record_id", "id",
         supported.alias("effort_supported"), F.col("_e.path").alias("effort_path"),
         branch("_e", "boolean").try_cast("boolean").alias("effort_boolean"), branch("_e", "integer").try_cast("bigint").alias("effort_integer"), branch("_e", "string").alias("effort_string"),
         limit.alias("context_limit"), F.col("_c.path").alias("context_path"),
         branch("_c", "integer").try_cast("bigint").alias("context_integer"), branch("_c", "decimal").try_cast("double").alias("context_decimal"), branch("_c", "string").alias("context_string"),
-        *fields,
+        *(["fields"] if schema else []), *(["others"] if more else []),
     )
+
+
+def _typed(kind: str, text: str | None) -> object:
+    """The text of a leaf as the value of its typed branch; null where that can't hold it."""
+    if kind == "boolean":
+        return text == "true"
+    if kind == "integer":
+        return n if -(2**63) <= (n := int(text)) < 2**63 else None
+    return float(text) if kind == "decimal" else text
+
+
+_ARROW = {"boolean": pa.bool_(), "integer": pa.int64(), "decimal": pa.float64(), "string": pa.string(), "array": pa.string()}
+
+
+def _records(schema: dict[str, int], names: dict[str, str], effort: tuple[str, ...], context: tuple[str, ...], more: bool):  # noqa: ANN202
+    """A reader of Arrow batches of records: one row for each readable one, every path of the schema a struct of its typed branches."""
+    leaf = pa.struct([("path", pa.string()), ("kind", pa.int32()), ("value", pa.string()), ("same", pa.string())])
+
+    def held_of(text: str | None) -> dict[str, tuple] | None:
+        found = leaves_of(text, nulls=True)
+        if found is None:
+            return None
+        held: dict[str, tuple] = {}
+        for path, kind, value, same in found:  # a path may occur twice, once dotted and once nested
+            told = held.get(path)
+            if told is None or (kind == 0, kind, value or "") < (told[0] == 0, told[0], told[1] or ""):
+                held[path] = (kind, value, same)
+        return held
+
+    def first(held: dict[str, tuple], paths: tuple[str, ...]) -> dict | None:
+        path = next((p for p in paths if p in held and held[p][0]), None)
+        return None if path is None else dict(zip(("path", "kind", "value", "same"), (path, *held[path])))
+
+    def column(path: str, bits: int, rows: list[dict[str, tuple]]) -> pa.Array:
+        leaves_ = [h.get(path) for h in rows]
+        fields = [("value", pa.array([x and x[2] for x in leaves_], pa.string()))]
+        for kind, bit in KINDS.items():
+            if bits & bit:
+                fields.append((kind, pa.array([_typed(kind, x[1]) if x and x[0] == bit else None for x in leaves_], _ARROW[kind])))
+        return pa.StructArray.from_arrays([a for _, a in fields], [n for n, _ in fields], mask=pa.array([x is None for x in leaves_]))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, kept = [], []
+            for i, text in enumerate(batch.column(3).to_pylist()):
+                held = held_of(text)
+                if held is not None:
+                    rows.append(held)
+                    kept.append(i)
+            if not rows:
+                continue
+            taken = [batch.column(i).take(pa.array(kept)) for i in range(3)]
+            identity = pa.array([(h["id"][1] if "id" in h else None) for h in rows], pa.string())
+            columns = [*taken, identity, pa.array([first(h, effort) for h in rows], leaf), pa.array([first(h, context) for h in rows], leaf)]
+            labels = ["feed_id", "file_no", "record_id", "id", "_e", "_c"]
+            if schema:
+                columns.append(pa.StructArray.from_arrays([column(p, bits, rows) for p, bits in schema.items()], [names[p] for p in schema]))
+                labels.append("fields")
+            if more:
+                columns.append(pa.array([[(p, x[2]) for p, x in h.items() if p not in schema] for h in rows], pa.map_(pa.string(), pa.string())))
+                labels.append("others")
+            yield pa.RecordBatch.from_arrays(columns, labels)
+
+    return read
