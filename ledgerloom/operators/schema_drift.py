@@ -342,9 +342,9 @@ def unified(payloads: DataFrame, *, effort: tuple[str, ...] = EFFORT, context: t
     Of several spellings in one record the first of the list holds.  1, "true" and true mean support,
     0, "false" and false none, others null.  A context limit is a whole number in any kind, else
     null.  Records without either field still have a row; repeated rows count once, and where texts of
-    one record differ each has a row.  Paths that differ in case only are members of their own, later ones with a number (``a``, ``A~2``).  A number that a
-    branch can't hold is null there and whole in `value`.  Should a record hold a path twice, a value
-    goes before null, then the first kind.
+    one record differ each has a row.  Paths that differ in case only are members of their own, later
+    ones with a number (``a``, ``A~2``).  A number that a branch can't hold is null there and whole in
+    `value`.  Should a record hold a path twice, a value goes before null, then the first kind.
 
     `effort` and `context` are the spellings that are known; with `renames`, every path that files of
     the feeds renamed to or from one of them, at any remove, counts as a further one.  Where there are

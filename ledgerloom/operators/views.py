@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..common import bounded_side, durable
 from .lookup import duplicate_keys
 
 
@@ -39,10 +40,25 @@ def membership(pairs: DataFrame, owner: str, member: str, aliases: DataFrame | N
     return flat.groupBy(owner).agg(F.sort_array(F.collect_list(member)).alias("members"))
 
 
-def ordered_list(rows: DataFrame, key: str, order: Sequence[Column], fields: Sequence[str]) -> DataFrame:
-    """(key, items): the rows of a key as one ordered array of structs, for documents of bounded size."""
+def ordered_list(rows: DataFrame, key: str, order: Sequence[Column], fields: Sequence[str], *, page_rows: int = 100_000) -> DataFrame:
+    """(key, page, items): the rows of a key as ordered arrays of structs, of at most `page_rows` each; page 0 has the first.
+
+    Where no key has more rows than a page, one aggregation makes the lists.  Else the rows are sorted by
+    range, which deals a large key out to many tasks, and counts of each key and range tell where a
+    row stands.
+    """
     keyed = F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), F.struct(*fields).alias("row"))
-    return rows.groupBy(key).agg(F.sort_array(F.collect_list(keyed)).alias("_all")).select(key, F.transform("_all", lambda x: x["row"]).alias("items"))
+    flat = rows.select(F.col(key).alias("_k"), keyed.alias("_i"))
+    if flat.groupBy("_k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > page_rows).isEmpty():
+        lists = flat.groupBy("_k").agg(F.collect_list("_i").alias("_all")).withColumn("page", F.lit(0).cast("bigint"))
+    else:
+        ranged = durable(flat.repartitionByRange("_k", "_i").sortWithinPartitions("_k", "_i").select("_k", "_i", F.spark_partition_id().alias("_p")))
+        before = F.sum("n").over(Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+        counts = ranged.groupBy("_k", "_p").agg(F.count(F.lit(1)).alias("n")).select("_k", "_p", F.coalesce(before, F.lit(0)).alias("_before"))
+        inside = F.row_number().over(Window.partitionBy("_k", "_p").orderBy("_i")) - 1
+        placed = ranged.withColumn("_at", inside).join(bounded_side(counts), ["_k", "_p"])
+        lists = placed.groupBy("_k", F.floor((F.col("_at") + F.col("_before")) / page_rows).alias("page")).agg(F.collect_list("_i").alias("_all"))
+    return lists.select(F.col("_k").alias(key), "page", F.transform(F.sort_array("_all"), lambda x: x["row"]).alias("items"))
 
 
 def gate(candidate: DataFrame, current: DataFrame, group: str, key: str, *, least_groups: int, least_keys: int, keep_groups: float, keep_keys: float) -> DataFrame:

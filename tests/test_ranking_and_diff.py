@@ -70,3 +70,34 @@ def test_views(spark, rows):
     assert rows(ordered_list(offers, "d", [F.col("p").desc() if False else F.col("p")], ["p"]).select("d", F.transform("items", lambda x: x["p"]))) == [("d", ["p", "q"]), ("e", ["p"])]
     assert gate(offers, offers, "d", "p", least_groups=2, least_keys=3, keep_groups=0.8, keep_keys=0.5).first().promoted
     assert not gate(offers.limit(0), offers, "d", "p", least_groups=0, least_keys=0, keep_groups=0.8, keep_keys=0.5).first().promoted
+
+
+def test_lists_of_a_key_with_nearly_all_rows(spark):
+    rows_ = spark.createDataFrame([("hot", i * 7919 % 1000) for i in range(1000)] + [("cold", 3), ("cold", 1)], "k string, n int")
+    paged = ordered_list(rows_, "k", [F.col("n")], ["n"], page_rows=64).collect()
+    assert all(len(r["items"]) <= 64 for r in paged)
+    hot = [x["n"] for r in sorted((r for r in paged if r.k == "hot"), key=lambda r: r.page) for x in r["items"]]
+    assert hot == list(range(1000)) and [(r.page, [x["n"] for x in r["items"]]) for r in paged if r.k == "cold"] == [(0, [1, 3])]
+    whole = {r.k: [x["n"] for x in r["items"]] for r in ordered_list(rows_, "k", [F.col("n")], ["n"]).collect()}
+    assert whole["hot"] == hot and whole["cold"] == [1, 3]
+
+
+def test_a_stream_that_has_nearly_all_rows(spark):
+    """Blocks of a stream give the decisions of one window over it."""
+    import random
+
+    from ledgerloom.streaming.publications import decided
+
+    rng = random.Random(4)
+    data = [("s" if i % 9 else "t", i, f"g{rng.randrange(40)}", f"d{rng.randrange(3)}", T + dt.timedelta(hours=rng.randrange(200))) for i in range(600)]
+    df = spark.createDataFrame(data, "stream string, sequence bigint, generation_id string, digest string, generated_at timestamp")
+    told = lambda **options: sorted(tuple(r) for r in decided(df, **options).select("stream", "sequence", "decision").collect())
+    assert told(block_rows=25) == told() and len(told()) == 600
+
+
+def test_quarantine_of_a_key_with_nearly_all_rows(spark, rows):
+    from ledgerloom.sources.payloads import quarantined
+
+    df = spark.createDataFrame([(i, "hot" if i % 10 else None) for i in range(1, 200)] + [(1, "hot"), (200, " padded")], "place int, owner string")
+    fine, bad = quarantined(df, ["owner"], F.col("owner"), F.lit(None).cast("string"), F.col("place"))
+    assert rows(fine) == [(1, "hot")] and bad.count() == 200 and {r.reason for r in bad.collect()} == {"repeated", "id: blank", "id: padded"}
