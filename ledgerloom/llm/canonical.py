@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,6 +75,37 @@ def edits(a: str, b: str, most: int = 3) -> int:
     return last[-1]
 
 
+class Letters:
+    """Texts that can be asked, all at once, which of them may lie within some edits of another text.
+
+    Letters that one text has more of than the other each need an edit, whatever their order.  So what
+    is left out is too far, and only the rest is measured.  Letters share 64 counters, which can only
+    let more through.
+    """
+
+    def __init__(self, texts: list[str]):
+        self.by_length: dict[int, tuple[list[str], np.ndarray]] = {}
+        for size, group in groupby(sorted(set(texts), key=lambda t: (len(t), t)), key=len):
+            same = list(group)
+            self.by_length[size] = same, np.stack([self._counts(t) for t in same])
+
+    @staticmethod
+    def _counts(text: str) -> np.ndarray:
+        return np.bincount(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.int64) & 63, minlength=64).astype(np.int16)
+
+    def near(self, text: str, most: Callable[[int], int]) -> Iterator[tuple[str, int]]:
+        """(text, edits) of all that lie within `most` edits, which depends on the longer of both lengths."""
+        own = self._counts(text)
+        for size, (same, counts) in self.by_length.items():
+            bound = most(max(size, len(text)))
+            if abs(size - len(text)) > bound:
+                continue
+            missing = max(size, len(text)) - np.minimum(counts, own).sum(axis=1)
+            for i in np.flatnonzero(missing <= bound):
+                if (far := edits(same[i], text, bound)) <= bound:
+                    yield same[i], far
+
+
 class Canon:
     """The canonical list, ready to match: one for each worker."""
 
@@ -95,16 +129,37 @@ class Canon:
                 self.automaton.add_word(f" {text} ", (len(text.split()), len(text), next(iter(of))))
         if owners:
             self.automaton.make_automaton()
-        # Misspelled words still share pairs of letters, so only forms that share some are compared.
-        self.near: dict[str, list[int]] = defaultdict(list)
+        # A form can only be alike by one of its words, by its start or as a whole; each has an index.
+        self.by_word: dict[str, list[int]] = defaultdict(list)
+        self.by_whole: dict[str, list[int]] = defaultdict(list)
         for i, (form, _) in enumerate(self.forms):
-            for pair in {p for w in form if w not in self.kinds for p in self._pairs(w)}:
-                self.near[pair].append(i)
+            self.by_whole["".join(form)].append(i)
+            for w in set(form) - self.kinds:
+                self.by_word[w].append(i)
+        self.wholes = sorted((" ".join(form), i) for i, (form, _) in enumerate(self.forms))
+        self.words = Letters([w for w in self.by_word if len(w) >= 5])
+        self.joined = Letters(list(self.by_whole))
+        self.likes: dict[str, dict[str, float]] = {}
 
-    @staticmethod
-    def _pairs(word: str) -> set[str]:
-        """Pairs of neighbours in either order, so that a swap keeps its own pair."""
-        return {"".join(sorted(word[i : i + 2])) for i in range(len(word) - 1)} | {f"^{word[:1]}"}
+    def _likes(self, x: str) -> dict[str, float]:
+        """The words of forms that a word is like, by the likeness their edits leave."""
+        if x not in self.likes:
+            if len(self.likes) > 200_000:
+                self.likes.clear()
+            most = lambda longer: int(longer * (1 - ALIKE) + 1e-9)  # noqa: E731  more edits than this are less than ALIKE
+            self.likes[x] = {w: 1 - far / max(len(w), len(x)) for w, far in self.words.near(x, most)} if len(x) >= 4 else {}
+        return self.likes[x]
+
+    def _candidates(self, kept: list[str]) -> set[int]:
+        """The forms that can have a score: all others have 0."""
+        text = " ".join(kept)
+        found = {i for x in kept for w in (x, *self._likes(x)) for i in self.by_word.get(w, ())}
+        if len(text) >= 5:
+            at = bisect_left(self.wholes, (text, -1))
+            while at < len(self.wholes) and self.wholes[at][0].startswith(text):
+                found.add(self.wholes[at][1])
+                at += 1
+        return found | {i for whole, _ in self.joined.near("".join(kept), lambda _: 2) for i in self.by_whole[whole]}
 
     def _kind(self, word: str) -> str | None:
         """The kind of organisation a word stands for: spelled out, cut short or misspelled."""
@@ -143,10 +198,8 @@ class Canon:
     def _similar(self, found: list[str]) -> str | None:
         """The entry whose words are the most alike, each paired with a word of the value; null where two are equally alike."""
         kept = [w for w in found if w not in _NOISE] or found
-        shared = Counter(i for pair in {p for w in kept for p in self._pairs(w)} for i in self.near.get(pair, ()))
         best: dict[str, float] = {}
-        # An edit breaks two pairs at most, so words within the edits that ALIKE allows still share one.
-        for i in shared:
+        for i in self._candidates(kept):
             form, entry = self.forms[i]
             if (score := self._score(kept, form)) > best.get(entry, 0.0):
                 best[entry] = score
@@ -182,12 +235,7 @@ class Canon:
             return 1.0
         if w in self.kinds:
             return 0.95 if self._kind(x) == w else 0.9 if len(x) >= 2 and w.startswith(x) else 0.0
-        if min(len(w), len(x)) < 4 or len(w) < 5:
-            return 0.0
-        longer = max(len(w), len(x))
-        most = int(longer * (1 - ALIKE) + 1e-9)  # more edits than this are less than ALIKE
-        far = edits(w, x, most)
-        return 1 - far / longer if far <= most else 0.0
+        return self._likes(x).get(w, 0.0)
 
     def match(self, value: str | None) -> str | None:
         """The entry a value means, "unmatched", or null for null and blank."""
