@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import threading
+import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
@@ -22,6 +23,37 @@ class Publication:
     published: bool
 
 
+class GenerationCache:
+    """Results by generation: what was kept for an older sequence is dropped as soon as a newer one is seen, and everything after a while."""
+
+    def __init__(self, seconds: float = 900.0, clock: Callable[[], float] = time.monotonic):
+        self._seconds, self._clock = seconds, clock
+        self._lock = threading.Lock()
+        self._at: tuple[int, str] | None = None
+        self._kept: dict[str, tuple[float, object]] = {}
+
+    def advance(self, sequence: int, generation_id: str) -> bool:
+        """Serve a generation from now on; False for one that isn't newer."""
+        with self._lock:
+            if self._at and sequence <= self._at[0]:
+                return False
+            self._at, self._kept = (sequence, generation_id), {}
+            return True
+
+    def get(self, sequence: int, generation_id: str, key: str) -> object | None:
+        with self._lock:
+            made, value = self._kept.get(key, (0.0, None))
+            if self._at != (sequence, generation_id) or value is None or self._clock() - made >= self._seconds:
+                return None
+            return value
+
+    def put(self, sequence: int, generation_id: str, key: str, value: object) -> None:
+        """Keep a result, unless its generation isn't the one that is served."""
+        with self._lock:
+            if self._at == (sequence, generation_id):
+                self._kept[key] = (self._clock(), value)
+
+
 class Engine:
     """Serves one generation at a time; every update is one transaction on the store."""
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import date, datetime
 
@@ -134,6 +134,49 @@ def write_provenance(entries: DataFrame, path: str, *, most: int = 100_000) -> i
     return len(kept)
 
 
+class Dirty(RuntimeError):
+    """The workspace holds changes that no generation has written."""
+
+
+def materialise(relations: dict[str, DataFrame], root: str, generation_id: str, *, read: Callable[[str], dict[str, DataFrame]], most: int = 10_000) -> bool:
+    """Write a generation's relations as index files of the workspace; False if it holds them already.
+
+    A state file says which generation was written last and what came of it.  The workspace is only
+    overwritten where `read`, which gives its relations, still finds just that; so what somebody has edited
+    is never lost.  The state is written before the files: a crash in between leaves a workspace that holds
+    the last state or the next one, relation by relation, and is written again.
+    """
+    import os
+
+    import yaml
+
+    from ..common import bounded_rows
+    from ..snapshots import checksum
+
+    wanted = {n: checksum(df)[0] for n, df in relations.items()}
+    path = os.path.join(root, ".state.json")
+    kept: dict = {}
+    if os.path.exists(path):
+        with open(path, encoding="utf-8") as file:
+            kept = json.load(file)
+        held = {n: checksum(df)[0] for n, df in read(root).items() if n in wanted}
+        last = [kept.get("before", {}), kept["now"]]
+        edited = [n for n, s in held.items() if s not in [state.get(n) for state in last]]
+        if edited:
+            raise Dirty(f"changed since {kept['generation_id']}: {', '.join(sorted(edited))}")
+        if held == wanted and kept["generation_id"] == generation_id:
+            return False
+    os.makedirs(root, exist_ok=True)
+    for name, text in ((".state.json", json.dumps({"generation_id": generation_id, "before": kept.get("now", {}), "now": wanted})), *(
+        (f"{n}.yaml", yaml.safe_dump([_plain({k: v for k, v in r.asDict(recursive=True).items() if v is not None}) for r in bounded_rows(df.orderBy("id"), most)], sort_keys=False, allow_unicode=True)) for n, df in relations.items()
+    )):
+        part = os.path.join(root, f".{name}.part")
+        with open(part, "w", encoding="utf-8") as file:
+            file.write(text)
+        os.replace(part, os.path.join(root, name))
+    return True
+
+
 def write_yaml(df: DataFrame, path: str, key: str, *, most: int = 10_000) -> int:
     """Write one YAML file for each row below a directory, named by `key`; returns their number. For small relations."""
     import os

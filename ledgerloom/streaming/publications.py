@@ -103,6 +103,13 @@ def parse_frames(frames: DataFrame, *, most_bytes: int = 256 * 1024) -> DataFram
     return frames.select("stream", number.alias("sequence"), body["generation_id"].alias("generation_id"), problem.alias("problem"))
 
 
+def poll_if_due(failures: int, due: float | None, now: float, *, after: int = 3, every: float = 300.0) -> tuple[bool, float | None]:
+    """(whether to ask for the current generation now, when to ask next): after some failures of the stream in a row it is asked for now and then."""
+    if failures < after:
+        return False, None
+    return (True, now + every) if due is None or now >= due else (False, due)
+
+
 def backoff(attempt: int, least: float = 1.0, most: float = 60.0, jitter: float = 0.5) -> tuple[float, float]:
     """(shortest, longest) wait before a reconnect: doubled each time up to `most`, of which half may be random."""
     full = min(most, least * 2**attempt)

@@ -1,6 +1,6 @@
 import datetime as dt
 
-from ledgerloom.streaming.publications import backoff, decided, decisions, frames, newest, parse_frames, subscribe
+from ledgerloom.streaming.publications import backoff, poll_if_due, decided, decisions, frames, newest, parse_frames, subscribe
 
 T = dt.datetime(2026, 1, 1)
 DAY = dt.timedelta(days=1)
@@ -44,3 +44,8 @@ def test_frames(spark):
     bad = spark.createDataFrame([("s", "id: 1\ndata: {}\n\n"), ("s", "x" * 300_000), ("s", 'id: 2\ndata: {"generation_id":"g","sequence":3}\n\n'), ("s", None)], "stream string, frame string")
     assert sorted(str(r.problem) for r in parse_frames(bad).collect()) == ["malformed", "malformed", "sequence", "size"]
     assert backoff(0) == (0.5, 1.0) and backoff(10) == (30.0, 60.0)
+
+
+def test_polls_after_failures():
+    assert poll_if_due(2, None, 0.0) == (False, None) and poll_if_due(3, None, 0.0) == (True, 300.0)
+    assert poll_if_due(4, 300.0, 299.0) == (False, 300.0) and poll_if_due(4, 300.0, 301.0) == (True, 601.0) and poll_if_due(0, 300.0, 400.0) == (False, None)

@@ -5,12 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.engine import Engine
+from ledgerloom.engine import Engine, GenerationCache
 from ledgerloom.exports import as_json, as_table, as_yaml, display_rows, model_list
 from ledgerloom.snapshots import Conflict, GenerationStore, HadoopFiles, checksum
 from ledgerloom.sources.listings import TRANSPORTS, register
 from ledgerloom.sources.payloads import decode_records, oversized, quarantined, unknown_members
-from ledgerloom.sources.workspace import read_workspace, write_yaml
+from ledgerloom.sources.workspace import Dirty, materialise, read_workspace, write_yaml
 
 
 def test_records_are_decoded_one_by_one(spark, rows):
@@ -143,3 +143,34 @@ def test_exports(spark, rows):
     shown = display_rows(df, F.col("id"), F.col("id"), F.col("ctx"), F.col("text"))
     assert rows(shown)[0] == ("a", "a", "-", "-") and rows(shown)[1][2] == "128.0K" and len(rows(shown)[1][3]) == 80
     assert as_table(listed.orderBy("id")).splitlines()[1].split() == ["a", "model", "0", "system"]
+
+
+def test_materialised_workspace(spark, rows, tmp_path):
+    root = str(tmp_path / "w")
+    for kind in ("providers", "authors"):
+        (tmp_path / "w" / kind).mkdir(parents=True)
+    read = lambda r: {"authors": read_workspace(spark, f"file://{r}").authors.select("id", "name")}
+    frame = lambda *names: {"authors": spark.createDataFrame([(n, n.upper()) for n in names], "id string, name string"), "providers": spark.createDataFrame([("p", "P")], "id string, name string")}
+    assert materialise(frame("a", "b"), root, "g1", read=read) and not materialise(frame("a", "b"), root, "g1", read=read)
+    assert materialise(frame("a", "c"), root, "g2", read=read) and rows(read(root)["authors"]) == [("a", "A"), ("c", "C")]
+    old = (tmp_path / "w" / "authors.yaml").read_text()
+    assert materialise(frame("d"), root, "g3", read=read)
+    (tmp_path / "w" / "authors.yaml").write_text(old)  # as a crash between the state and the file leaves it
+    assert materialise(frame("d"), root, "g3", read=read) and rows(read(root)["authors"]) == [("d", "D")]
+    (tmp_path / "w" / "authors.yaml").write_text("- id: mine\n  name: Mine\n")
+    with pytest.raises(Dirty):
+        materialise(frame("e"), root, "g4", read=read)
+    assert rows(read(root)["authors"]) == [("mine", "Mine")]
+
+
+def test_cache_by_generation():
+    now = [0.0]
+    cache = GenerationCache(10.0, lambda: now[0])
+    assert cache.advance(1, "g1") and not cache.advance(1, "g0")
+    cache.put(1, "g1", "k", "v")
+    cache.put(9, "g9", "k", "other")
+    assert cache.get(1, "g1", "k") == "v" and cache.get(1, "g2", "k") is None and cache.get(1, "g1", "q") is None
+    now[0] = 10.0
+    assert cache.get(1, "g1", "k") is None
+    cache.put(1, "g1", "k", "v")
+    assert cache.advance(2, "g2") and cache.get(1, "g1", "k") is None and cache.get(2, "g2", "k") is None
