@@ -164,7 +164,7 @@ def materialise(relations: dict[str, DataFrame], root: str, generation_id: str,
         edited = [n for n, s in held.items() if s not in [state.get(n) for state in last]]
         if edited:
             raise Dirty(f"changed since {kept['generation_id']}: {', '.join(sorted(edited))}")
-        if held == wanted and kept["generation_id"] == generation_id:
+        if held.items() <= wanted.items() and kept["now"] == wanted and kept["generation_id"] == generation_id:
             return False
     os.makedirs(root, exist_ok=True)
     for name, text in ((".state.json", json.dumps({"generation_id": generation_id, "before": kept.get("now", {}), "now": wanted})), *(
