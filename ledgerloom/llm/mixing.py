@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..common import bounded_rows, bounded_side, durable
 from .tokens import TOKENIZER, with_tokens
 
-MOST_SOURCES = 10_000
+#: The driver holds a few numbers for each source; joins with them are broadcast only where they are proven small.
+MOST_SOURCES = 1_000_000
 #: Hash buckets of a source; only the bucket in which a sample ends is sorted.
 BUCKETS = 65_536
 
@@ -41,14 +42,14 @@ def water_fill(available: dict[str, int], targets: dict[str, tuple[float, int]],
 def _sampled(sized: DataFrame, wanted: dict[str, float], seed: int) -> DataFrame:
     """Records (key, source) of a seeded sample of about the wanted size of each source."""
     spark = sized.sparkSession
-    need = F.broadcast(spark.createDataFrame(sorted(wanted.items()), "_s string, _need double"))  # at most MOST_SOURCES rows
+    need = bounded_side(spark.createDataFrame(sorted(wanted.items()), "_s string, _need double"))
     hashed = sized.join(need, F.col("source") == F.col("_s")).withColumn("_h", F.xxhash64(F.lit(seed), "_key"))
     hashed = hashed.withColumn("_bucket", F.pmod("_h", F.lit(BUCKETS)).cast("int"))
     filled = hashed.groupBy("source", "_need", "_bucket").agg(F.sum("tokens").alias("_t"))
     upto = F.sum("_t").over(Window.partitionBy("source").orderBy("_bucket"))
     filled = filled.withColumn("_upto", upto).withColumn("_before", F.col("_upto") - F.col("_t"))
     edge = filled.where("_before < _need and _upto >= _need").select(F.col("source").alias("_e"), F.col("_bucket").alias("_edge"), "_before")
-    marked = hashed.join(bounded_side(edge, MOST_SOURCES), F.col("source") == F.col("_e"), "left")
+    marked = hashed.join(bounded_side(edge), F.col("source") == F.col("_e"), "left")
     whole = marked.where("_edge is null or _bucket < _edge").select("_row")
     order = Window.partitionBy("source").orderBy("_h", "_key", "_row")
     part = marked.where("_bucket = _edge").withColumn("_to", F.col("_before") + F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -76,7 +77,7 @@ def mixed(sizes: DataFrame, targets: DataFrame, *, key: str = "doc_id", total: i
     listed = targets.where("source is not null").groupBy("source").agg(F.min(F.struct(F.coalesce("target_share", F.lit(0.0)), F.coalesce("max_repeats", F.lit(0)))).alias("t"))
     wished = {r["source"]: (float(r["t"][0]), int(r["t"][1])) for r in bounded_rows(listed, MOST_SOURCES)}
     used = sizes.select(F.col(key).alias("_key"), F.col("source"), F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens")).where("_key is not null")
-    used = used.where(F.col("source").isin(*wished) if wished else F.lit(False))
+    used = used.join(bounded_side(listed.select("source")), "source", "left_semi").select("_key", "source", "tokens")
     used = used.distinct()
     rows = used.withColumn("_row", F.struct("_key", "source", "tokens"))
     available = {r[0]: int(r[1]) for r in bounded_rows(used.groupBy("source").agg(F.sum("tokens")), MOST_SOURCES)}
@@ -84,7 +85,7 @@ def mixed(sizes: DataFrame, targets: DataFrame, *, key: str = "doc_id", total: i
     rate = {s: given[s] / available[s] if available.get(s) else 0.0 for s in wished}
     whole = {s: min(int(r + 1e-9), wished[s][1]) for s, r in rate.items()}
     part = {s: (r - whole[s]) * available.get(s, 0) for s, r in rate.items() if r - whole[s] > 1e-9 and whole[s] < wished[s][1]}
-    base = F.broadcast(spark.createDataFrame([(s, whole[s]) for s in wished] or [("", 0)], "_b string, _whole int"))
+    base = bounded_side(spark.createDataFrame([(s, whole[s]) for s in wished] or [("", 0)], "_b string, _whole int"))
     copies = rows.join(base, F.col("source") == F.col("_b")).select("_row", F.col("_whole").alias("_n")).where("_n > 0")
     if part:
         copies = copies.unionAll(_sampled(rows, part, seed).select("_row", F.lit(1).alias("_n")))

@@ -5,7 +5,7 @@ of items is matched at once to its successors among the gaps, conflicts within t
 resolved by the items' ranks, the gaps are updated, and the next class follows.  Sizes are whole
 numbers up to the capacity and items of one size are interchangeable, so the sweep runs over run
 lengths: (size, number of items) and (gap, range of containers).  Its work is bounded by the
-capacity, whatever the number of items.  The items themselves are ranked and placed where they are.
+number of different sizes, whatever the number of items.  The items themselves are ranked and placed where they are.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from ..common import bounded_rows, durable
 from .tokens import TOKENIZER, with_tokens
 
-#: The run lengths that the driver holds number at most this for each capacity.
-MOST_CAPACITY = 1 << 20
+#: The driver holds a run length for each different size of a piece in a pack; capacities themselves have no bound.
+MOST_SIZES = 1 << 21
 
 
 class Plan:
@@ -99,9 +99,7 @@ def packed(sizes: DataFrame, packs: DataFrame, *, key: str = "doc_id", slice_row
     """
     spark = sizes.sparkSession
     valid = packs.where("pack_name is not null and capacity_tokens >= 1").groupBy("pack_name").agg(F.max("capacity_tokens").alias("capacity"))
-    capacities = {r[0]: int(r[1]) for r in bounded_rows(valid, 1000)}
-    if any(c > MOST_CAPACITY for c in capacities.values()):
-        raise ValueError(f"a capacity is above {MOST_CAPACITY}")
+    capacities = {r[0]: int(r[1]) for r in bounded_rows(valid, MOST_SIZES)}
     items = sizes.select(F.col(key).alias("_key"), F.coalesce("tokens", F.lit(0)).cast("bigint").alias("_tokens")).where("_key is not null")
     kind = dict(items.dtypes)["_key"]
     schema = f"pack_name string, container_id bigint, `{key}` {kind}, piece_no int, from_token bigint, tokens bigint"
@@ -118,7 +116,7 @@ def packed(sizes: DataFrame, packs: DataFrame, *, key: str = "doc_id", slice_row
     pieces = pieces.withColumn("slice", F.pmod(F.xxhash64("_key", "piece"), F.lit(slices)).cast("int"))
     counts = pieces.groupBy("pack", "size", "slice").agg(F.count(F.lit(1)).alias("n"))
     plans = {}
-    histogram = bounded_rows(counts.groupBy("pack", "size").agg(F.sum("n").alias("n")), sum(capacities.values()) + len(capacities))
+    histogram = bounded_rows(counts.groupBy("pack", "size").agg(F.sum("n").alias("n")), MOST_SIZES)
     for name, capacity in capacities.items():
         plans[name] = Plan({r["size"]: r["n"] for r in histogram if r["pack"] == name and r["size"] > 0}, capacity)
     ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("pack", "size", "slice").orderBy("_key", "piece")) - 1)

@@ -40,3 +40,13 @@ def test_nothing_to_mix(spark):
     assert records.count() == 0 and report.first().used_tokens == 0
     records, report = mixed(spark.createDataFrame([(1, "a", 5, 1)], SIZES), targets.limit(0))
     assert records.count() == 0 and report.count() == 0
+
+
+def test_more_sources_than_are_broadcast(spark, monkeypatch):
+    from ledgerloom.llm import mixing
+
+    sizes = spark.createDataFrame([(i, f"s{i % 60}", 10) for i in range(600)], "doc_id bigint, source string, tokens bigint")
+    targets = spark.createDataFrame([(f"s{i}", 1 / 40, 3) for i in range(40)], "source string, target_share double, max_repeats int")
+    expected = sorted(tuple(r) for r in mixing.mixed(sizes, targets)[0].collect())
+    monkeypatch.setattr(mixing, "bounded_side", lambda df: df)
+    assert sorted(tuple(r) for r in mixing.mixed(sizes, targets)[0].collect()) == expected and len(expected) == 400

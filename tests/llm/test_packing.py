@@ -74,3 +74,10 @@ def test_whole_texts_are_counted(spark):
     assert got == {i: len(code.encode_ordinary(t)) if t else 0 for i, t in texts} and got[6] >= 30_000
     docs = spark.createDataFrame(texts, "doc_id bigint, text string")
     assert pack_documents(docs, spark.createDataFrame([("s", 512, "x")], PACKS)).groupBy("container_id").sum("tokens").where("`sum(tokens)` > 512").count() == 0
+
+
+def test_a_capacity_beyond_any_text(spark):
+    sizes = spark.createDataFrame([(i, 1000 * i) for i in range(1, 50)], "doc_id bigint, tokens bigint")
+    packs = spark.createDataFrame([("huge", 2_000_000_000)], "pack_name string, capacity_tokens int")
+    found = packed(sizes, packs).collect()
+    assert len(found) == 49 and {r.container_id for r in found} == {0} and all(r.piece_no == 0 for r in found)
