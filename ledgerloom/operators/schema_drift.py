@@ -25,6 +25,10 @@ KINDS = {"boolean": 1, "integer": 2, "decimal": 4, "string": 8, "array": 16}
 _LEAVES = "feed_id bigint, file_no int, record_id bigint, id string, path string, kind int, value string, same string"
 
 
+_PLAIN = json.JSONEncoder(ensure_ascii=False).encode
+_SORTED = json.JSONEncoder(ensure_ascii=False, sort_keys=True).encode
+
+
 class _Number(str):
     """The text of a JSON number with a fraction or exponent."""
 
@@ -36,6 +40,8 @@ def canonical(value: object) -> str:
     if isinstance(value, int):
         return str(value)
     if isinstance(value, str):
+        if not (value[:1].isdigit() or value[:1] in "+-."):  # no number starts otherwise
+            return value.lower()
         try:
             n = Decimal(value) if value.strip() == value and "_" not in value else None
         except ArithmeticError:
@@ -43,7 +49,7 @@ def canonical(value: object) -> str:
         if n is None or not n.is_finite():
             return value.lower()
         return format(n.normalize(), "f") if -400 < n.adjusted() < 400 and n else "0" if not n else value.lower()
-    return json.dumps(value, sort_keys=True, ensure_ascii=False).lower()
+    return _SORTED(value).lower()
 
 
 def leaves_of(text: str | None, *, nulls: bool = False, wanted: frozenset[str] | None = None) -> Iterator[tuple[str, int, str | None, str | None]] | None:
@@ -85,7 +91,7 @@ def _walk(record: dict, nulls: bool, wanted: frozenset[str] | None = None) -> It
             elif isinstance(value, str):
                 yield path, KINDS["string"], value, canonical(value)
             elif isinstance(value, list):
-                yield path, KINDS["array"], json.dumps(value, ensure_ascii=False), canonical(value)
+                yield path, KINDS["array"], _PLAIN(value), canonical(value)
             elif nulls:
                 yield path, 0, None, None
 
