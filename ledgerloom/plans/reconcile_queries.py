@@ -98,13 +98,13 @@ def fact_rank(spark: SparkSession, sf: str) -> DataFrame:
 def _first_and_last(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Each provider's models as they were delivered first and last."""
     rows = table(spark, sf, "model_snapshot")
-    row = F.struct("received_at", "feed_id", "snapshot_no", "active", "context_window", "max_completion_tokens", "owned_by")
+    row = F.struct("received_at", "feed_id", "snapshot_no", "active", "context_window", "max_completion_tokens", "owned_by", "created")
     both = rows.groupBy("provider_id", "id").agg(F.min(row).alias("old"), F.max(row).alias("new"))
-    return tuple(both.select("provider_id", "id", f"{s}.active", f"{s}.context_window", f"{s}.max_completion_tokens", f"{s}.owned_by") for s in ("old", "new"))
+    return tuple(both.select("provider_id", "id", f"{s}.active", f"{s}.context_window", f"{s}.max_completion_tokens", f"{s}.owned_by", f"{s}.created") for s in ("old", "new"))
 
 
-_VERSIONS = """b as (select provider_id, id, min(struct_pack(r := received_at, f := feed_id, s := snapshot_no, a := active, c := context_window, m := max_completion_tokens, o := owned_by)) x,
-max(struct_pack(r := received_at, f := feed_id, s := snapshot_no, a := active, c := context_window, m := max_completion_tokens, o := owned_by)) y from model_snapshot group by 1, 2)"""
+_VERSIONS = """b as (select provider_id, id, min(struct_pack(r := received_at, f := feed_id, s := snapshot_no, a := active, c := context_window, m := max_completion_tokens, o := owned_by, k := created)) x,
+max(struct_pack(r := received_at, f := feed_id, s := snapshot_no, a := active, c := context_window, m := max_completion_tokens, o := owned_by, k := created)) y from model_snapshot group by 1, 2)"""
 
 
 def diff_features(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,6 +126,18 @@ def diff_limits(spark: SparkSession, sf: str) -> DataFrame:
     return change_rows(typed_changes(limits(old), limits(new), ["provider_id", "id"], MODEL_PATHS), ["provider_id", "id"])
 
 
+def diff_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    def facts(df: DataFrame) -> DataFrame:
+        metadata = F.struct(
+            F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("created") / 86_400).cast("int")).alias("release_date"), S.presence(F.col("active"), F.lit(True)).alias("open_weights"),
+            F.filter(F.split("owned_by", " "), lambda x: x != "").alias("tags"),
+        )
+        return df.select("provider_id", "id", S.presence(F.nullif(F.col("owned_by"), F.lit("")), F.col("owned_by").isNotNull()).alias("description"), F.when(F.col("context_window").isNotNull(), metadata).alias("metadata"))
+
+    old, new = _first_and_last(spark, sf)
+    return change_rows(typed_changes(facts(old), facts(new), ["provider_id", "id"], MODEL_PATHS), ["provider_id", "id"])
+
+
 def diff_providers(spark: SparkSession, sf: str) -> DataFrame:
     old = table(spark, sf, "provider").withColumn("catalog", F.struct(F.length("name").alias("n")))
     new = old.where("id > 'b'").select("id", F.trim(F.replace("name", F.lit("Cloud"))).alias("name"), F.array_distinct(F.concat("aliases", F.array(F.upper("id")))).alias("aliases"), F.coalesce("headquarters", F.lit("Vask")).alias("headquarters"), F.lit(None).cast("string").alias("status_page_url"))
@@ -139,7 +151,7 @@ def diff_authors(spark: SparkSession, sf: str) -> DataFrame:
     return change_rows(typed_changes(old, new, ["id"], AUTHOR_PATHS), ["id"])
 
 
-QUERIES = {f.__name__: f for f in (reconcile_models, reconcile_provenance, reconcile_changes, reconcile_providers, fact_rank, diff_features, diff_limits, diff_providers, diff_authors)}
+QUERIES = {f.__name__: f for f in (reconcile_models, reconcile_provenance, reconcile_changes, reconcile_providers, fact_rank, diff_features, diff_limits, diff_metadata, diff_providers, diff_authors)}
 
 _PRESENT = "case when {s} = 0 then 'missing' when {s} = 1 then 'unknown' else {v} end"
 
@@ -159,6 +171,10 @@ _SHORT = "case when {v} >= 1000000 then printf('%.1fM', {v} / 1000000) when {v}
 _BOTH = "x.m is not null and y.m is not null"
 _WORDS = "coalesce(array_to_string(list_filter(regexp_split_to_array(lower({s}.o), '[^a-z]+'), lambda w: w <> ''), ','), '')"
 
+_KNOWN = "x.c is not null and y.c is not null"
+_DAY = "(date '1970-01-01' + floor({s}.k / 86400)::integer)"
+_TAGS = "list_filter(string_split({s}.o, ' '), lambda w: w <> '')"
+
 SQL = {
     "reconcile_models": f"with {_sql_merged('m')} select model_ref, name, authors, context_window, input_tokens, pricing from m",
     "reconcile_provenance": f"""with {_sql_merged('m')} select model_ref, 'name' field, name_source source, name \"value\", {_SCORE.format(order="['providers', 'models_dev_http', 'models_dev_git', 'local_catalog', 'release_artifact', 'embedded_catalog']", source='name_source')}::double authority from m where name is not null
@@ -183,6 +199,11 @@ select model_ref, case when min(v) = max(v) then min(v) end max_input_tokens, mi
 select * from f union all {_sql_diff('features.streaming', '$.a', 'true', '($.a)::varchar', _BOTH)} union all {_sql_diff('features.tools', '($.c > 100000)', '($.c is not null)', '($.c > 100000)::varchar', _BOTH)}
 union all select provider_id, id, 'updated', 'features.modalities.input', {_WORDS.format(s='x')}, {_WORDS.format(s='y')} from b where {_BOTH} and {_WORDS.format(s='x')} <> {_WORDS.format(s='y')}""",
     "diff_limits": f"""with {_VERSIONS} {_sql_diff('limits.context_window', '$.c', '(coalesce($.a, false) or $.c is not null)', _SHORT.format(v='$.c'), 'true')} union all {_sql_diff('limits.output_tokens', '$.m', '(coalesce($.a, false) or $.m is not null)', _SHORT.format(v='$.m'), 'true')}""",
+    "diff_metadata": f"""with {_VERSIONS}, s as (select provider_id, id, 'updated' change_type, 'metadata' path, (x.c is not null)::varchar old, (y.c is not null)::varchar \"new\" from b where (x.c is null) <> (y.c is null))
+select * from s union all {_sql_diff('description', "nullif($.o, '')", '($.o is not null)', "nullif($.o, '')", 'true')}
+union all select provider_id, id, 'updated', 'metadata.release_date', coalesce({_DAY.format(s='x')}::varchar, ''), coalesce({_DAY.format(s='y')}::varchar, '') from b where {_KNOWN} and {_DAY.format(s='x')} is distinct from {_DAY.format(s='y')}
+union all {_sql_diff('metadata.open_weights', '$.a', 'true', '($.a)::varchar', _KNOWN)}
+union all select provider_id, id, 'updated', 'metadata.tags', coalesce(len({_TAGS.format(s='x')}), 0) || ' tags', coalesce(len({_TAGS.format(s='y')}), 0) || ' tags' from b where {_KNOWN} and {_TAGS.format(s='x')} is distinct from {_TAGS.format(s='y')}""",
     "diff_providers": """with n as (select id, trim(replace(name, 'Cloud', '')) name, list_distinct(list_append(aliases, upper(id))) aliases, coalesce(headquarters, 'Vask') headquarters from provider where id > 'b')
 select id, 'removed' change_type, null path, null old, null "new" from provider where id not in (select id from n)
 union all select id, 'updated', 'name', p.name, n.name from provider p join n using (id) where p.name <> n.name

@@ -255,6 +255,16 @@ def offering_by_alias(spark: SparkSession, sf: str) -> DataFrame:
     return U.restricted(rows, "provider_id", folded).select("listing_id", "provider_id", "id")
 
 
+@query(f"""with {_MODELS}, n as (select lower(id) a, id t from author union select lower(unnest(aliases)), id from author), u as (select a, min(t) t from n group by 1 having count(distinct t) = 1)
+select m.provider_id, m.id, t || '/' || string_split(m.id, '/')[2] definition_id from models m join u on a = lower(string_split(m.id, '/')[1]) where len(string_split(m.id, '/')) = 2""")
+def definition_by_alias(spark: SparkSession, sf: str) -> DataFrame:
+    """Models whose owner is written as an author's id or alias, under the definition of that author."""
+    names = L.alias_table(L.alias_rows(table(spark, sf, "author"), "id", F.coalesce("aliases", F.array().cast("array<string>")), fold_case=True).withColumn("direct", F.lit(False)))
+    parts = S.definition_parts(F.col("id"))
+    rows = models(spark, sf).select("provider_id", "id", F.lower(parts["owner"]).alias("owner"), parts["slug"].alias("slug")).where("owner is not null")
+    return L.resolve(rows, "owner", names).where("target is not null").select("provider_id", "id", F.concat_ws("/", "target", "slug").alias("definition_id"))
+
+
 # Payloads, converters and documents.
 
 
