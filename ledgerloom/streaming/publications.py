@@ -24,11 +24,15 @@ def decided(publications: DataFrame, stream: str = "stream", sequence: str = "se
     another digest is a conflict.  Rows that were turned down never lie ahead of the active one, so the
     running maximum of the times is the active generation's.
 
-    A stream is cut by its sequence numbers into blocks of about `block_rows` rows.  The running maximum
-    goes over the blocks' maxima first and then inside each block, so that no stream is one task.
+    Where a stream has more than `block_rows` rows, streams are cut by their sequence numbers into blocks of
+    about so many.  The running maximum then goes over the blocks' maxima first and then inside each
+    block, so that no stream is one task.
     """
     row = F.struct(F.col("generated_at").alias("at"), (-F.col(sequence)).alias("s"), F.col("generation_id").alias("id"), F.col("digest").alias("d"))
     sizes = publications.groupBy(F.col(stream).alias("_stream")).agg(F.min(sequence).alias("_low"), F.max(sequence).alias("_high"), F.count(F.lit(1)).alias("_rows"))
+    if sizes.where(F.col("_rows") > block_rows).isEmpty():
+        whole = Window.partitionBy(stream).orderBy(sequence).rowsBetween(Window.unboundedPreceding, -1)
+        return _told(publications.withColumn("_active", F.max(row).over(whole)))
     blocks = F.ceil(F.col("_rows") / F.lit(float(block_rows)))
     block = F.floor((F.col(sequence) - F.col("_low")) / (F.col("_high") - F.col("_low") + 1) * blocks).cast("int")
     cut = publications.join(bounded_side(sizes), F.col(stream).eqNullSafe(F.col("_stream"))).withColumn("_block", block).drop("_stream", "_low", "_high", "_rows")
@@ -36,7 +40,11 @@ def decided(publications: DataFrame, stream: str = "stream", sequence: str = "se
     tops = cut.groupBy(stream, "_block").agg(F.max(row).alias("_top")).select(F.col(stream).alias("_s"), F.col("_block").alias("_b"), F.max("_top").over(so_far).alias("_ahead"))
     cut = cut.join(bounded_side(tops), F.col(stream).eqNullSafe(F.col("_s")) & F.col("_block").eqNullSafe(F.col("_b"))).drop("_s", "_b")
     before = Window.partitionBy(stream, "_block").orderBy(sequence).rowsBetween(Window.unboundedPreceding, -1)
-    active = F.greatest(F.max(row).over(before), "_ahead")
+    return _told(cut.withColumn("_active", F.greatest(F.max(row).over(before), "_ahead"))).drop("_ahead", "_block")
+
+
+def _told(publications: DataFrame) -> DataFrame:
+    """The decision on each publication by the `_active` one before it."""
     a = F.col("_active")
     decision = (
         F.when(a.isNull(), "activated")
@@ -45,7 +53,7 @@ def decided(publications: DataFrame, stream: str = "stream", sequence: str = "se
         .when(F.col("generated_at") == a["at"], F.when(F.col("digest") == a["d"], "duplicate").otherwise("conflict"))
         .otherwise("activated")
     )
-    return cut.withColumn("_active", active).withColumn("decision", decision).drop("_active", "_ahead", "_block")
+    return publications.withColumn("decision", decision).drop("_active")
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
