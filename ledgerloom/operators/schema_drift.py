@@ -334,7 +334,7 @@ def field_names(paths: Iterable[str]) -> dict[str, str]:
     return names
 
 
-def unified(payloads: DataFrame, *, effort: tuple[str, ...] = EFFORT, context: tuple[str, ...] = CONTEXT, most_paths: int = MOST_PATHS, renames: bool = True) -> DataFrame:
+def unified(payloads: DataFrame, *, effort: tuple[str, ...] = EFFORT, context: tuple[str, ...] = CONTEXT, most_paths: int = MOST_PATHS, renames: bool = True, fields: bool = True) -> DataFrame:
     """One consistent table of all readable records, whatever fields their files used.
 
     Columns: feed_id, file_no, record_id, id; `effort_supported boolean` and `context_limit bigint`,
@@ -355,11 +355,15 @@ def unified(payloads: DataFrame, *, effort: tuple[str, ...] = EFFORT, context: t
     `effort` and `context` are the spellings that are known; with `renames`, every path that files of
     the feeds renamed to or from one of them, at any remove, counts as a further one.  Where there are
     more than `most_paths` paths, the rarer ones are in the map `others` with their canonical text.
+    Without `fields` only the two canonical values are read from the records.
     """
     kinds = durable(file_kinds(payloads))
     schema, more = inferred(kinds, most_paths)
     pairs = durable(renamed_fields(payloads, kinds=kinds)) if renames and schema else None
     effort, context = _same_field(pairs, effort, schema), _same_field(pairs, context, schema)
+    if not fields:
+        schema, more = {}, False
+    wanted = None if fields else frozenset((*effort, *context, "id"))
     names = field_names(schema)
     keys = ["feed_id", "file_no", "record_id"]
     picked = payloads.select(*keys, "payload").where("feed_id is not null and file_no is not null").distinct()
@@ -368,7 +372,7 @@ def unified(payloads: DataFrame, *, effort: tuple[str, ...] = EFFORT, context: t
     shape = f"feed_id bigint, file_no int, record_id bigint, id string, _e {leaf}, _c {leaf}"
     shape += f", fields struct<{','.join(f'`{names[p]}`:{struct(bits)}' for p, bits in schema.items())}>" if schema else ""
     shape += ", others map<string,string>" if more else ""
-    rows = picked.mapInArrow(_records(schema, names, effort, context, more), shape)
+    rows = picked.mapInArrow(_records(schema, names, effort, context, more, wanted), shape)
     branch = lambda s, kind: F.when(F.col(f"{s}.kind") == KINDS[kind], F.col(f"{s}.value"))
     supported = F.when(F.col("_e.same").isin("true", "1"), True).when(F.col("_e.same").isin("false", "0"), False)
     limit = F.when(F.col("_c.same").rlike(r"^\d{1,18}$"), F.col("_c.same")).try_cast("bigint")
@@ -394,12 +398,12 @@ def _typed(kind: str, text: str | None) -> object:
 _ARROW = {"boolean": pa.bool_(), "integer": pa.int64(), "decimal": pa.float64(), "string": pa.string(), "array": pa.string()}
 
 
-def _records(schema: dict[str, int], names: dict[str, str], effort: tuple[str, ...], context: tuple[str, ...], more: bool):  # noqa: ANN202
+def _records(schema: dict[str, int], names: dict[str, str], effort: tuple[str, ...], context: tuple[str, ...], more: bool, wanted: frozenset[str] | None = None):  # noqa: ANN202
     """A reader of Arrow batches of records: one row for each readable one, every path of the schema a struct of its typed branches."""
     leaf = pa.struct([("path", pa.string()), ("kind", pa.int32()), ("value", pa.string()), ("same", pa.string())])
 
     def held_of(text: str | None) -> dict[str, tuple] | None:
-        found = leaves_of(text, nulls=True)
+        found = leaves_of(text, nulls=True, wanted=wanted)
         if found is None:
             return None
         held: dict[str, tuple] = {}

@@ -34,7 +34,7 @@ def p6_unified(spark: SparkSession, sf: str) -> DataFrame:
 
 def p6_compared(spark: SparkSession, sf: str) -> DataFrame:
     """The effort support and the context limit of each record, and which of its fields states them."""
-    return unified(table(spark, sf, "list_payload")).select("feed_id", "file_no", "record_id", "id", "effort_supported", "effort_path", "context_limit", "context_path")
+    return unified(table(spark, sf, "list_payload"), fields=False).select("feed_id", "file_no", "record_id", "id", "effort_supported", "effort_path", "context_limit", "context_path")
 
 
 def p6_fields(spark: SparkSession, sf: str) -> DataFrame:
