@@ -11,6 +11,7 @@ Texts are cut, hashed and scored a batch at a time with NumPy over their bytes.
 
 from __future__ import annotations
 
+import io
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -431,7 +432,9 @@ def features(found: Cut, place: np.ndarray, count: np.ndarray, known: bytes, bli
         near = mark | np.append(mark[1:], False) & ~closes | np.insert(mark[:-1], 0, False) & ~opens
         triple = _mix(_mix(left * touch ^ shape) * (next_touch + _U(7)) ^ right)
         slots[near, 3] = (triple[near] & _MASK).astype(np.int64)
-        wide = _mix(np.roll(triple, 1) * _U(31) ^ np.roll(triple, -1))
+        back, ahead = np.roll(triple, 1), np.roll(triple, -1)
+        back[opens], ahead[closes] = _START, _END  # a text reads the same whatever stands beside it
+        wide = _mix(back * _U(31) ^ ahead)
         slots[near, 4] = (wide[near] & _MASK).astype(np.int64)
     # Windows.
     first, last = found.first, found.last
@@ -458,6 +461,17 @@ class Classifier:
     bias: float
     known: bytes
 
+    def dumps(self) -> bytes:
+        """The classifier as bytes, to be kept and read again by `loads`, so that a later run needn't fit it."""
+        buffer = io.BytesIO()
+        np.savez_compressed(buffer, weights=self.weights, bias=np.float64(self.bias), known=np.frombuffer(self.known, np.uint8))
+        return buffer.getvalue()
+
+    @staticmethod
+    def loads(kept: bytes) -> Classifier:
+        with np.load(io.BytesIO(kept)) as file:
+            return Classifier(file["weights"], float(file["bias"]), file["known"].tobytes())
+
     def windows(self, found: Cut, place: np.ndarray, count: np.ndarray) -> np.ndarray:
         """The score of each window."""
         if not len(found.first):

@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from ledgerloom.llm.residue import labelled_sample, quotes_removed, residue, segments, train, validation, weak_label
+from ledgerloom.llm.residue import DIMENSIONS, Classifier, labelled_sample, quotes_removed, residue, segments, train, validation, weak_label
 
 POSITIVE = [
     "The motion on {{DEADLINE}} was lost by __vote_count__ votes.", "I call on ${member_name} to reply.", "My colleague [object Object] asked.", "Speaker: [INSERT name]", "Dear <#MINISTER#>, thank you.",
@@ -66,3 +67,27 @@ def test_nothing_to_find(spark):
     assert residue(empty).count() == 0 and labelled_sample(empty).num_rows == 0
     clean = spark.createDataFrame([(1, "The sitting is open.", "a"), (2, None, None)], "doc_id bigint, text string, source string")
     assert residue(clean).count() == 0
+
+
+def test_a_kept_classifier_finds_the_same(spark):
+    documents = corpus(spark)
+    fitted = train(labelled_sample(documents))
+    again = Classifier.loads(fitted.dumps())
+    assert (again.weights == fitted.weights).all() and again.bias == fitted.bias and again.known == fitted.known
+    assert sorted(r.doc_id for r in residue(documents, classifier=again).collect()) == sorted(r.doc_id for r in residue(documents).collect())
+
+
+def test_the_score_reads_no_phrase():
+    """What is scored are hashed words, shapes and lengths: with no weight on any of them, phrases and marks change nothing."""
+    blank = Classifier(np.zeros(DIMENSIONS, np.float32), -1.0, bytes(DIMENSIONS))
+    scores = blank.documents([*POSITIVE, *NEGATIVE, "x " * 5000, None, " ", "\n"])
+    assert len(set(scores[: len(POSITIVE) + len(NEGATIVE) + 1])) == 1 and list(scores[-3:]) == [0.0, 0.0, 0.0]
+
+
+@pytest.mark.parametrize("text", ["", "\n\n", "é", "«", "…", "'", "’", "a\u00a0b", "😀", "\x00", "{", "日本語。次", "İ", "a" * 5000, '"' + "q " * 2000 + '"'])
+def test_odd_texts_are_cut_as_they_are(text):
+    """Windows are parts of the text, whatever stands at its ends, and the same wherever it stands in a batch."""
+    assert all(part in text for part in segments(text) if text.count('"') < 2)
+    model = Classifier(np.random.RandomState(1).normal(size=DIMENSIONS).astype(np.float32), 0.0, bytes(DIMENSIONS))
+    alone, [_, among, _] = model.documents([text]), model.documents(["Before it.", text, "after it"])
+    assert alone[0] == pytest.approx(among)
