@@ -711,14 +711,19 @@ def wire_models(spark: SparkSession, sf: str) -> DataFrame:
     return openai_models(rows.withColumnRenamed("payload", "record")).select("record_id", "provider_id", "id", "owner", "created", "context_window", "output_tokens")
 
 
-@query("""with p as (select distinct payload_id, payload::json j from endpoint_payload where json_valid(payload)), d as (select payload_id, j->'$.data' d from p where json_type(j, '$.data') = 'OBJECT' and json_type(j, '$.data.architecture.input_modalities') = 'ARRAY'),
-m as (select payload_id, unnest(cast(d->>'$.architecture.input_modalities[*]' as varchar[])) v from d), o as (select payload_id, v, coalesce(list_position(['text', 'image', 'file', 'audio', 'video', 'embeddings'], v), 7) r from m where v is not null group by all)
+@query("""with p as (select distinct payload_id, case when json_valid(payload) then payload::json end j from endpoint_payload), d as (select payload_id, case when json_type(j, '$.data') = 'VARCHAR' then case when json_valid(j->>'$.data') then (j->>'$.data')::json end else j->'$.data' end d from p),
+m as (select payload_id, unnest(case json_type(d, '$.architecture.input_modalities') when 'ARRAY' then cast(d->>'$.architecture.input_modalities[*]' as varchar[]) when 'VARCHAR' then list_transform(string_split(d->>'$.architecture.input_modalities', ','), lambda x: trim(x)) end) v from d),
+n as (select payload_id, case v when 'pdf' then 'file' when 'embedding' then 'embeddings' else v end v from m), o as (select payload_id, v, coalesce(list_position(['text', 'image', 'file', 'audio', 'video', 'embeddings'], v), 7) r from n where v <> '' group by all)
 select payload_id, string_agg(v, '+' order by r, v) || '->' modality from o group by 1""")
 def modality_strings(spark: SparkSession, sf: str) -> DataFrame:
+    """The modalities of each envelope, delivered as a list or as one text, in an object or in JSON held as text."""
     rows = table(spark, sf, "endpoint_payload").select("payload_id", "payload").distinct()
-    found = rows.select("payload_id", F.try_variant_get(F.try_parse_json("payload"), "$.data.architecture.input_modalities", "array<string>").alias("m")).where("m is not null")
-    shown = J.architecture(F.array_compact("m"), F.array().cast("array<string>"), F.lit(None).cast("string"))
-    return found.where(F.size(F.array_compact("m")) > 0).select("payload_id", shown["modality"].alias("modality"))
+    data = F.try_parse_json(F.try_variant_get(F.try_parse_json("payload"), "$.data", "string"))
+    said = rows.select("payload_id", F.explode(F.array(F.try_variant_get(data, "$.architecture.input_modalities", "variant"))).alias("v"))
+    listed = F.coalesce(F.try_variant_get("v", "$", "array<string>"), F.transform(F.split(F.try_variant_get("v", "$", "string"), ","), lambda x: F.trim(x)))
+    found = said.select("payload_id", F.filter(listed, lambda x: x != "").alias("m")).where("size(m) > 0")
+    shown = J.architecture(F.col("m"), F.array().cast("array<string>"), F.lit(None).cast("string"))
+    return found.groupBy("payload_id").agg(F.flatten(F.collect_set("m")).alias("m")).select("payload_id", shown["modality"].alias("modality"))
 
 
 @query(f"with {_MODELS}, b as (select *, row_number() over (partition by id order by context_window desc nulls last, provider_id) n from models) select id, coalesce(max(context_window), 0) max_context, count(*) offerings, max(provider_id) filter (n = 1) top_provider from b group by 1")
