@@ -86,11 +86,11 @@ def surviving_fields(listings: DataFrame, authority: DataFrame, fields: list[Fie
 def surviving_records(listings: DataFrame, authority: DataFrame, fields: list[Field] | None = None, *, group: str = "model_ref", key: str = "listing_id", source: str = "source_id", seen: str = "observed_at", trusted: bool = False, every_group: bool = False) -> DataFrame:
     """One row for each group of two or more keys: the most complete record and the value that survives for each field.
 
-    `key` is the record with the most usable fields, then the latest, then the smallest key.  With
-    `trusted` the record whose source has the best priorities comes before the latest: listed for the
-    most of the fields, then the lowest sum of priorities over them.  Each field is a struct (value, key) of where its value came from.  The
-    cases are those of surviving_fields; a group without a usable value has no row, or with `every_group`
-    its best record with null fields.
+    `key` is the record with the most usable fields, then, with `trusted`, the one whose source is trusted
+    most (listed for the most of the fields, then the lowest sum of priorities over them), then the latest,
+    then the smallest key.  Each field has its value and the key of the record that
+    it came from.  The cases are those of surviving_fields; a group without a usable value has no row, or
+    with `every_group` its best record with null fields.
     """
     fields = listing_fields() if fields is None else fields
     usable = [F.when(f.usable, 1).otherwise(0) for f in fields]
